@@ -209,6 +209,8 @@ BINDING_SQL = ",".join([_OCC, _USERS, _CLAIMS, _AGENTS, _OTHER])
 def with_binding(body: str) -> str:
     """Prefix ``body`` (a SELECT, or further CTEs starting with a comma) with the binding."""
     body = body.strip()
+    if body[:5].upper() == "WITH ":
+        body = ", " + body[5:]
     if body.startswith(","):
         return "WITH " + BINDING_SQL + body
     return "WITH " + BINDING_SQL + "\n" + body
