@@ -38,3 +38,331 @@ def agent_counts(scope: DataFrame, occurrence_agents: DataFrame, agents: DataFra
     return (scope.join(links, "occurrence_id")
             .groupBy(*keys, "agent_id")
             .agg(F.count(F.lit(1)).alias("count_all")))
+
+
+# ---------------------------------------------------------------------------
+# Per-person aggregates
+# ---------------------------------------------------------------------------
+
+def _visible(claims: DataFrame) -> DataFrame:
+    return claims.filter(P.vis())
+
+
+def _helped_only(claims: DataFrame, helped: bool) -> DataFrame:
+    return claims.filter(F.col("created_by") != F.col("user_id")) if helped else claims
+
+
+def families_by_role(claims: DataFrame, taxon_occurrences: DataFrame, kind: str = "recorded",
+                     helped: bool = False) -> DataFrame:
+    """(user_id, family, count) of visible claims in a role."""
+    c = _helped_only(_visible(claims).filter(P.role(kind)), helped).select("user_id", "occurrence_id")
+    return (c.join(taxon_occurrences, "occurrence_id")
+            .groupBy("user_id", "family").agg(F.count(F.lit(1)).alias("n")))
+
+
+def role_counts(claims: DataFrame) -> DataFrame:
+    """One pass over visible claims: identified, recorded, all, both, either."""
+    return (_visible(claims).groupBy("user_id")
+            .agg(F.count_if(P.idn()).alias("identified"),
+                 F.count_if(P.rec()).alias("recorded"),
+                 F.count(F.lit(1)).alias("all_claims"),
+                 F.count_if(P.both()).alias("both_roles"),
+                 F.count_if(P.any_role()).alias("either_role")))
+
+
+def country_counts(claims: DataFrame, occurrences: DataFrame, countries: DataFrame,
+                   helped: bool = False) -> DataFrame:
+    """(user_id, country, recorded, identified). Combined-role claims count in
+    both; NULL and unknown codes are summed under ``OTHER``."""
+    c = _helped_only(_visible(claims).filter(P.any_role()), helped).select("user_id", "occurrence_id", "action")
+    occ = occurrences.select(F.col("gbifID").alias("occurrence_id"),
+                             F.coalesce("countryCode", F.lit("ZZ")).alias("code"))
+    known = countries.select(F.col("code").alias("code"), F.lit(True).alias("known"))
+    j = c.join(occ, "occurrence_id").join(known, "code", "left")
+    country = F.when(F.col("known"), F.col("code")).otherwise(F.lit("OTHER"))
+    combined = P.both()
+    return (j.groupBy("user_id", country.alias("country"))
+            .agg(F.count_if((F.col("action") == P.RECORDED) | combined).alias("recorded"),
+                 F.count_if((F.col("action") == P.IDENTIFIED) | combined).alias("identified")))
+
+
+def distinct_countries(claims: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Number of distinct country codes of a person's recordings."""
+    c = _visible(claims).filter(P.rec()).select("user_id", F.col("occurrence_id").alias("gbifID"))
+    return (c.join(occurrences.select("gbifID", "countryCode"), "gbifID")
+            .groupBy("user_id").agg(F.count_distinct("countryCode").alias("countries")))
+
+
+def families_countries(claims: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Distinct (user_id, role, family, countryCode); combined claims go to recorded."""
+    c = _visible(claims).filter(P.any_role()).select("user_id", F.col("occurrence_id").alias("gbifID"), "action")
+    j = c.join(occurrences.select("gbifID", "family", "countryCode"), "gbifID").filter(F.col("family").isNotNull())
+    role_col = (F.when(F.col("action").contains("recorded"), F.lit("recorded"))
+                .when(F.col("action").contains("identified"), F.lit("identified")))
+    return j.select("user_id", role_col.alias("role"), "family", "countryCode").distinct()
+
+
+def year_bins(claims: DataFrame, occurrences: DataFrame, kind: str = "recorded", width: int = 5,
+              helped: bool = False, as_of=None) -> DataFrame:
+    """(user_id, bin, n) with bins floor(year/width)*width, zero-filled
+    between each person's first and last bin. Dates after ``as_of`` are left out."""
+    field = "eventDate_processed" if kind == "recorded" else "dateIdentified_processed"
+    c = _helped_only(_visible(claims).filter(P.role(kind)), helped).select(
+        "user_id", F.col("occurrence_id").alias("gbifID"))
+    limit = F.lit(as_of) if as_of is not None else F.current_date()
+    occ = occurrences.filter(F.col(f"{field}_year").isNotNull() & (F.col(field) <= limit)).select(
+        "gbifID", (F.floor(F.col(f"{field}_year") / width) * width).cast("int").alias("bin"))
+    counts = c.join(occ, "gbifID").groupBy("user_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    spans = counts.groupBy("user_id").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    grid = spans.select("user_id", F.explode(F.sequence("lo", "hi", F.lit(width))).alias("bin"))
+    return (grid.join(counts, ["user_id", "bin"], "left")
+            .select("user_id", "bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+
+
+def deposited_at(claims: DataFrame, occurrences: DataFrame, kind: str = "recorded") -> DataFrame:
+    """(user_id, institutionCode, n) of visible claims in a role."""
+    c = _visible(claims).filter(P.role(kind)).select("user_id", F.col("occurrence_id").alias("gbifID"))
+    return (c.join(occurrences.filter(F.col("institutionCode").isNotNull()).select("gbifID", "institutionCode"),
+                   "gbifID")
+            .groupBy("user_id", "institutionCode").agg(F.count(F.lit(1)).alias("n")))
+
+
+def collector_strings(claims: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(user_id, recordedBy, n) of a person's visible recordings."""
+    c = _visible(claims).filter(P.rec()).select("user_id", F.col("occurrence_id").alias("gbifID"))
+    return (c.join(occurrences.select("gbifID", "recordedBy"), "gbifID")
+            .groupBy("user_id", "recordedBy").agg(F.count(F.lit(1)).alias("n")))
+
+
+def helped_counts(claims: DataFrame) -> DataFrame:
+    """(claimant_id, user_id, n, latest) of visible claims made for others."""
+    return (_visible(claims).filter(F.col("created_by") != F.col("user_id"))
+            .groupBy(F.col("created_by").alias("claimant_id"), "user_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("created").alias("latest")))
+
+
+def latest_attribution(claims: DataFrame) -> DataFrame:
+    """Per person greatest(max created, max updated) of visible claims."""
+    return (_visible(claims).groupBy("user_id")
+            .agg(F.greatest(F.max("created"), F.coalesce(F.max("updated"), F.max("created"))).alias("latest")))
+
+
+def lifelist_rank(claims: DataFrame, taxon_occurrences: DataFrame) -> DataFrame:
+    """Number of distinct families a person recorded."""
+    c = _visible(claims).filter(P.rec()).select("user_id", "occurrence_id")
+    return (c.join(taxon_occurrences, "occurrence_id").groupBy("user_id")
+            .agg(F.count_distinct("family").alias("rank")))
+
+
+# ---------------------------------------------------------------------------
+# Per-scope aggregates
+# ---------------------------------------------------------------------------
+
+def source_counts(occurrences: DataFrame) -> DataFrame:
+    """G1: rows per dataset carrying a source person id."""
+    return (occurrences.filter(F.col("recordedByID").isNotNull() | F.col("identifiedByID").isNotNull())
+            .groupBy("datasetKey").agg(F.count(F.lit(1)).alias("n")))
+
+
+def timeline(claims: DataFrame, occurrences: DataFrame, scope: str, kind: str = "recorded",
+             start_year: int = 1000, end_year: int | None = None) -> DataFrame:
+    """(scope, user_id, min_date, max_date) of visible claims in a role
+    whose year lies in [start_year, end_year]."""
+    field = "eventDate_processed" if kind == "recorded" else "dateIdentified_processed"
+    occ = occurrences.select(F.col("gbifID").alias("occurrence_id"), scope, F.col(field).alias("d"),
+                             F.col(f"{field}_year").alias("y"))
+    if end_year is None:
+        end_year = 9999
+    occ = occ.filter(F.col("y").between(start_year, end_year) & F.col("d").isNotNull())
+    c = _visible(claims).filter(P.role(kind)).select("user_id", "occurrence_id")
+    return (c.join(occ, "occurrence_id").groupBy(scope, "user_id")
+            .agg(F.min("d").alias("min_date"), F.max("d").alias("max_date")))
+
+
+def dataset_progress(occurrences: DataFrame, claims: DataFrame) -> DataFrame:
+    """Total, claimed (distinct visible) and unclaimed occurrences per dataset."""
+    occ = occurrences.select("datasetKey", F.col("gbifID").alias("occurrence_id"))
+    claimed = (occ.join(_visible(claims).select("occurrence_id").distinct(), "occurrence_id")
+               .groupBy("datasetKey").agg(F.count(F.lit(1)).alias("claimed")))
+    total = occ.groupBy("datasetKey").agg(F.count(F.lit(1)).alias("total"))
+    return (total.join(claimed, "datasetKey", "left")
+            .select("datasetKey", "total", F.coalesce("claimed", F.lit(0)).cast("bigint").alias("claimed"))
+            .withColumn("unclaimed", F.greatest(F.col("total") - F.col("claimed"), F.lit(0)).cast("bigint")))
+
+
+def code_counts(occurrences: DataFrame, code: str) -> DataFrame:
+    """(datasetKey, code, n) for institutionCode or collectionCode; NULL codes skipped."""
+    return (occurrences.filter(F.col(code).isNotNull()).groupBy("datasetKey", code)
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def code_lists(occurrences: DataFrame, code: str) -> DataFrame:
+    """Sorted distinct codes per dataset, joined by ``|``."""
+    return (occurrences.filter(F.col(code).isNotNull()).select("datasetKey", code).distinct()
+            .groupBy("datasetKey").agg(F.array_join(F.sort_array(F.collect_list(code)), "|").alias("codes")))
+
+
+def scribes(occurrences: DataFrame, claims: DataFrame) -> DataFrame:
+    """(datasetKey, scribe_id): claimants of visible claims for others, not bots."""
+    c = (_visible(claims).filter((F.col("created_by") != F.col("user_id")) & ~P.is_bot("created_by"))
+         .select("occurrence_id", "created_by"))
+    occ = occurrences.select("datasetKey", F.col("gbifID").alias("occurrence_id"))
+    return c.join(occ, "occurrence_id").select("datasetKey", F.col("created_by").alias("scribe_id")).distinct()
+
+
+def article_stats(article_occurrences: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per article distinct claimed specimens and total linked specimens."""
+    vis = _visible(claims).select("occurrence_id").distinct()
+    claimed = (article_occurrences.join(vis, "occurrence_id").groupBy("article_id")
+               .agg(F.count(F.lit(1)).alias("claimed")))
+    total = article_occurrences.groupBy("article_id").agg(F.count(F.lit(1)).alias("total"))
+    return (total.join(claimed, "article_id", "left")
+            .select("article_id", "total", F.coalesce("claimed", F.lit(0)).cast("bigint").alias("claimed")))
+
+
+def article_user_counts(article_occurrences: DataFrame, claims: DataFrame) -> DataFrame:
+    """(article_id, user_id, n) visible claims of a person cited by the article."""
+    return (article_occurrences.join(_visible(claims).select("occurrence_id", "user_id"), "occurrence_id")
+            .groupBy("article_id", "user_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def occurrence_counts(claims: DataFrame, occurrence_agents: DataFrame) -> DataFrame:
+    """Occurrences with more than one recorded claim (any visibility), with
+    their recorder-agent count; counts of NULL, 1 or 2 agents dropped."""
+    users = (claims.filter(F.col("action").like("%recorded%")).groupBy("occurrence_id")
+             .agg(F.count(F.lit(1)).alias("user_count")).filter(F.col("user_count") > 1))
+    agents = (occurrence_agents.filter(F.col("agent_role")).groupBy("occurrence_id")
+              .agg(F.count_distinct("agent_id").alias("agent_count")))
+    return (users.join(agents, "occurrence_id", "left")
+            .filter(F.col("agent_count").isNotNull() & ~F.col("agent_count").isin(1, 2)))
+
+
+def recorder_report(occurrence_agents: DataFrame, occurrences: DataFrame, as_of=None) -> DataFrame:
+    """Per recorder agent: specimens, year range, families, institution codes."""
+    from herbaria.functions import scalars as S
+    links = occurrence_agents.filter(F.col("agent_role")).select("agent_id", F.col("occurrence_id").alias("gbifID"))
+    occ = occurrences.select("gbifID", "family", "institutionCode",
+                             S.valid_year("year", as_of).alias("vy"))
+    return (links.join(occ, "gbifID").groupBy("agent_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("vy").alias("min_year"), F.max("vy").alias("max_year"),
+                 F.array_join(F.sort_array(F.collect_set("family")), ", ").alias("families"),
+                 F.array_join(F.sort_array(F.collect_set("institutionCode")), ", ").alias("institutions")))
+
+
+def agent_profile(occurrence_agents: DataFrame, occurrences: DataFrame, as_of=None) -> DataFrame:
+    """Per agent and role: distinct institutions, countries, names and year range."""
+    from herbaria.functions import scalars as S
+    links = occurrence_agents.select("agent_id", "agent_role", F.col("occurrence_id").alias("gbifID"))
+    occ = occurrences.select("gbifID", "institutionCode", "countryCode", "scientificName",
+                             S.valid_year("year", as_of).alias("vy"),
+                             S.valid_year("dateIdentified", as_of).alias("iy"))
+    year = F.when(F.col("agent_role"), F.col("vy")).otherwise(F.col("iy"))
+    return (links.join(occ, "gbifID").groupBy("agent_id", "agent_role")
+            .agg(F.count_distinct("institutionCode").alias("institutions"),
+                 F.count_distinct("countryCode").alias("countries"),
+                 F.count_distinct("scientificName").alias("names"),
+                 F.min(year).alias("min_year"), F.max(year).alias("max_year")))
+
+
+def orphan_counts(orphans: DataFrame) -> DataFrame:
+    """Per person: orphan count and the sorted distinct claimant ids."""
+    return (orphans.groupBy("user_id")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.array_join(F.sort_array(F.collect_set(F.col("created_by").cast("string"))), ",")
+                 .alias("claimants")))
+
+
+def dataset_counters(occurrences: DataFrame, claims: DataFrame) -> DataFrame:
+    """Occurrences per dataset and claims made by the source agent per dataset."""
+    occ = occurrences.select("datasetKey", F.col("gbifID").alias("occurrence_id"))
+    total = occ.groupBy("datasetKey").agg(F.count(F.lit(1)).alias("occurrences_count"))
+    src = (claims.filter(F.col("created_by") == P.SOURCE_AGENT_ID).select("occurrence_id")
+           .join(occ, "occurrence_id").groupBy("datasetKey")
+           .agg(F.count(F.lit(1)).alias("source_attribution_count")))
+    return (total.join(src, "datasetKey", "left")
+            .select("datasetKey", "occurrences_count",
+                    F.coalesce("source_attribution_count", F.lit(0)).cast("bigint").alias("source_attribution_count")))
+
+
+def duplicate_values(organizations: DataFrame, attr: str) -> DataFrame:
+    """Organisations whose ``attr`` value is shared with another organisation."""
+    dup = (organizations.filter(F.col(attr).isNotNull()).groupBy(attr)
+           .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(attr))
+    return organizations.join(dup, attr, "left_semi")
+
+
+def country_people(users: DataFrame) -> DataFrame:
+    """People per country code of the pipe list."""
+    codes = users.select(F.explode(F.split("country_code", r"\|")).alias("code")).filter(F.col("code") != "")
+    return codes.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scribe_stats(claims: DataFrame) -> DataFrame:
+    """Attributions made for others (non-NULL action, non-bot claimant),
+    distinct scribes and distinct recipients, in one aggregate."""
+    c = claims.filter(F.col("action").isNotNull() & ~P.is_bot("created_by")
+                      & (F.col("user_id") != F.col("created_by")))
+    return c.agg(F.count(F.lit(1)).alias("attribution_count"),
+                 F.count_distinct("created_by").alias("scribe_count"),
+                 F.count_distinct("user_id").alias("recipient_count"))
+
+
+def monthly(claims: DataFrame, kind: str, as_of) -> DataFrame:
+    """Per (year, month) count before the first day of ``as_of``'s month,
+    with a running total (N1). ``kind`` is claims / attributions / rejected."""
+    from herbaria.operators.windows import running_total
+    c = claims.filter(~P.is_bot("created_by"))
+    if kind == "claims":
+        c = c.filter(P.vis() & (F.col("created_by") == F.col("user_id")))
+    elif kind == "attributions":
+        c = c.filter(P.vis() & (F.col("created_by") != F.col("user_id")))
+    elif kind == "rejected":
+        c = c.filter(F.col("visible") == F.lit(False))
+    else:
+        raise ValueError(kind)
+    first_of_month = F.trunc(F.lit(as_of).cast("date"), "month").cast("timestamp_ntz")
+    c = c.filter(F.col("created") < first_of_month)
+    counts = c.groupBy(F.year("created").alias("year"), F.month("created").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return running_total(counts, "n", "total")
+
+
+def monthly_profiles(users: DataFrame, as_of) -> DataFrame:
+    """Per month profiles with wikidata / ORCID and their running totals."""
+    from herbaria.operators.windows import running_total
+    first_of_month = F.trunc(F.lit(as_of).cast("date"), "month").cast("timestamp_ntz")
+    counts = (users.filter(F.col("created") < first_of_month)
+              .groupBy(F.year("created").alias("year"), F.month("created").alias("month"))
+              .agg(F.count("wikidata").alias("wikidata_n"), F.count("orcid").alias("orcid_n")))
+    return running_total(running_total(counts, "wikidata_n", "wikidata_total"), "orcid_n", "orcid_total")
+
+
+def profile_totals(users: DataFrame) -> DataFrame:
+    """Per identifier kind: total, visited, public, with deposit (non-NULL)."""
+    kind = F.when(F.col("orcid").isNotNull(), F.lit("orcid")).when(F.col("wikidata").isNotNull(), F.lit("wikidata"))
+    return (users.filter(kind.isNotNull()).groupBy(kind.alias("kind"))
+            .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("visited")).alias("visited"),
+                 F.count_if(F.col("is_public")).alias("public"), F.count("zenodo_doi").alias("doi")))
+
+
+def org_user_counts(user_organizations: DataFrame) -> DataFrame:
+    """Members per organisation."""
+    return user_organizations.groupBy("organization_id").agg(F.count("user_id").alias("user_count"))
+
+
+def others_tally(employment: DataFrame) -> DataFrame:
+    """J15/J16 rows tallied per (organisation, institutionCode)."""
+    return employment.groupBy("organization_id", "institutionCode").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unattributed_counts(candidates: DataFrame) -> DataFrame:
+    """Distinct unclaimed candidate occurrences per person and per (person, agent)."""
+    total = candidates.groupBy("user_id").agg(F.count_distinct("occurrence_id").alias("n"))
+    return total
+
+
+def download_totals(articles: DataFrame, downloads: DataFrame) -> DataFrame:
+    """Per article the sum of record totals over its download keys."""
+    keys = articles.select(F.col("id").alias("article_id"), F.explode("gbif_downloadkeys").alias("key"))
+    return (keys.join(downloads, "key").groupBy("article_id")
+            .agg(F.sum("total_records").cast("bigint").alias("total_records")))

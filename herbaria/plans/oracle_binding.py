@@ -196,6 +196,9 @@ user_organizations AS (
          CAST(NULL AS INTEGER) AS end_day
   FROM customer
 ),
+countries AS (SELECT {_code('n_nationkey')} AS code, n_name AS name FROM nation),
+downloads AS (SELECT '0000' || CAST(l_orderkey AS VARCHAR) AS key, count(*) AS total_records
+              FROM lineitem GROUP BY l_orderkey),
 destroyed_users AS (
   SELECT CAST(c_custkey + 1 AS VARCHAR) AS identifier,
          CASE WHEN c_custkey % 70 = 0 THEN NULL ELSE CAST(c_custkey + 11 AS VARCHAR) END AS redirect_to,

@@ -304,6 +304,19 @@ class Model:
             F.lit(None).cast("int").alias("end_day"),
         )
 
+    @cached_property
+    def countries(self) -> DataFrame:
+        """(code, name) of known countries: one per nation."""
+        return self.raw("nation").select(_code("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+
+    @cached_property
+    def downloads(self) -> DataFrame:
+        """(key, total_records) of the download behind each article."""
+        li = self.raw("lineitem").select("l_orderkey")
+        return (li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("total_records"))
+                .select(F.concat(F.lit("0000"), F.col("l_orderkey").cast("string")).alias("key"),
+                        "total_records"))
+
     # -- redirects -----------------------------------------------------------
     @cached_property
     def destroyed_users(self) -> DataFrame:
