@@ -76,6 +76,34 @@ occurrences AS (
   FROM occ_base
 )"""
 
+_RAW = """
+raw_download AS (
+  SELECT l_partkey + 1 AS gbifID, p_brand AS datasetKey,
+         CASE WHEN l_linenumber = 7 THEN 'HUMAN_OBSERVATION' WHEN l_linenumber = 6 THEN 'FOSSIL_SPECIMEN'
+              ELSE 'PRESERVED_SPECIMEN' END AS basisOfRecord,
+         CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'ABSENT' ELSE 'PRESENT' END AS occurrenceStatus,
+         'occ-' || CAST(l_partkey AS VARCHAR) AS v_occurrenceID,
+         CASE WHEN l_suppkey % 9 = 0 THEN NULL WHEN l_suppkey % 9 = 1 THEN 'BOLD:' || p_type
+              ELSE concat_ws(' ', p_type, split_part(p_name, ' ', 2)) END AS v_scientificName,
+         p_type AS scientificName,
+         CASE WHEN l_linenumber = 5 THEN '2099-01-01 00:00:00'
+              WHEN l_linenumber = 4 AND l_quantity > 40 THEN 'n/a'
+              ELSE CAST(l_shipdate AS VARCHAR) END AS eventDate,
+         CASE WHEN l_tax = 0 THEN NULL ELSE CAST(l_shipdate AS VARCHAR) END AS dateIdentified,
+         CAST(l_shipdate AS VARCHAR) AS v_eventDate,
+         upper(p_name) AS recordedBy,
+         CASE WHEN l_linenumber = 3 THEN NULL ELSE p_name END AS v_recordedBy,
+         CASE WHEN l_linenumber = 2 THEN NULL ELSE 'Det. ' || p_name END AS v_identifiedBy,
+         CASE WHEN l_suppkey % 5 = 0 THEN 'http://www.wikidata.org/entity/Q' || CAST(l_suppkey + 1000 AS VARCHAR) END AS v_recordedByID,
+         CAST(p_size AS VARCHAR) AS v_institutionCode,
+         'C' || CAST(l_partkey AS VARCHAR) AS v_catalogNumber,
+         CASE WHEN l_partkey % 20 = 0 THEN 'HoloType' END AS v_typeStatus,
+         l_discount > 0.05 AS hasImage,
+         l_orderkey AS source_row,
+         l_linenumber AS source_line
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+)"""
+
 _BORN = f"CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE {_day('1990-01-01', 'c_custkey * 41 % 3000')} END"
 _DIED = f"CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE {_day('1990-01-01', 'c_custkey * 41 % 3000 + c_custkey * 37 % 4000')} END"
 _CREATED = f"CAST({_day('1995-06-01', 'c_custkey * 17 % 2000')} AS TIMESTAMP)"
@@ -206,7 +234,7 @@ destroyed_users AS (
   FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 50 <> 40
 )"""
 
-BINDING_SQL = ",".join([_OCC, _USERS, _CLAIMS, _AGENTS, _OTHER])
+BINDING_SQL = ",".join([_OCC, _RAW, _USERS, _CLAIMS, _AGENTS, _OTHER])
 
 
 def with_binding(body: str) -> str:

@@ -122,6 +122,46 @@ class Model:
                 .withColumn("dateIdentified_processed_month", F.month("dateIdentified_processed"))
                 .withColumn("dateIdentified_processed_day", F.dayofmonth("dateIdentified_processed")))
 
+    @cached_property
+    def raw_download(self) -> DataFrame:
+        """Bulk download before cleaning: one row per line item, so every
+        gbifID comes in several copies (input of X1 and the refresh job B1)."""
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+        p = self.raw("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+        j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+        ln, sk = F.col("l_linenumber"), F.col("l_suppkey")
+        ship = F.col("l_shipdate").cast("string")
+        none = F.lit(None).cast("string")
+        return j.select(
+            (F.col("l_partkey") + 1).alias("gbifID"),
+            F.col("p_brand").alias("datasetKey"),
+            F.when(ln == 7, F.lit("HUMAN_OBSERVATION")).when(ln == 6, F.lit("FOSSIL_SPECIMEN"))
+             .otherwise(F.lit("PRESERVED_SPECIMEN")).alias("basisOfRecord"),
+            F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), F.lit("ABSENT"))
+             .otherwise(F.lit("PRESENT")).alias("occurrenceStatus"),
+            F.concat(F.lit("occ-"), F.col("l_partkey").cast("string")).alias("v_occurrenceID"),
+            F.when(sk % 9 == 0, none).when(sk % 9 == 1, F.concat(F.lit("BOLD:"), F.col("p_type")))
+             .otherwise(F.concat_ws(" ", F.col("p_type"), F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))))
+             .alias("v_scientificName"),
+            F.col("p_type").alias("scientificName"),
+            F.when(ln == 5, F.lit("2099-01-01 00:00:00")).when((ln == 4) & (F.col("l_quantity") > 40), F.lit("n/a"))
+             .otherwise(ship).alias("eventDate"),
+            F.when(F.col("l_tax") == 0, none).otherwise(ship).alias("dateIdentified"),
+            ship.alias("v_eventDate"),
+            F.upper(F.col("p_name")).alias("recordedBy"),
+            F.when(ln == 3, none).otherwise(F.col("p_name")).alias("v_recordedBy"),
+            F.when(ln == 2, none).otherwise(F.concat(F.lit("Det. "), F.col("p_name"))).alias("v_identifiedBy"),
+            F.when(sk % 5 == 0, F.concat(F.lit("http://www.wikidata.org/entity/Q"), (sk + 1000).cast("string")))
+             .otherwise(none).alias("v_recordedByID"),
+            F.col("p_size").cast("string").alias("v_institutionCode"),
+            F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("v_catalogNumber"),
+            F.when(F.col("l_partkey") % 20 == 0, F.lit("HoloType")).otherwise(none).alias("v_typeStatus"),
+            (F.col("l_discount") > 0.05).alias("hasImage"),
+            F.col("l_orderkey").alias("source_row"),
+            ln.alias("source_line"),
+        )
+
     # -- people --------------------------------------------------------------
     @cached_property
     def users(self) -> DataFrame:
