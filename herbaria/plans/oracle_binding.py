@@ -240,6 +240,8 @@ BINDING_SQL = ",".join([_OCC, _RAW, _USERS, _CLAIMS, _AGENTS, _OTHER])
 def with_binding(body: str) -> str:
     """Prefix ``body`` (a SELECT, or further CTEs starting with a comma) with the binding."""
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + BINDING_SQL + ", " + body[15:]
     if body[:5].upper() == "WITH ":
         body = ", " + body[5:]
     if body.startswith(","):
