@@ -21,3 +21,78 @@ def occurrence_refresh(raw: DataFrame, as_of=None, order: tuple[str, ...] = ("so
     order_cols = [c for c in order if c in admitted.columns]
     deduped = X.dedupe_occurrences(admitted, order_cols).drop(*order_cols)
     return S.clean_occurrences(deduped, as_of=as_of)
+
+
+def agent_build(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """B2: parsed names -> agents and (agent, role, occurrence) links.
+
+    U2 expands each job's JSON names (a job with none keeps one row and falls
+    back to its raw string), P8-P10 build the nine-part key, X3 keeps distinct
+    keys, the surrogate id is an ``xxhash64`` of the key (no read-back from a
+    database), U3 explodes both id lists and X2 de-duplicates the links.
+    """
+    from herbaria.operators import enrich as U
+    names = U.expand_names(jobs)
+    cols = [F.col("name")[f].alias(f) for f in S.NAME_FIELDS]
+    named = names.select("id", "agents", "gbifIDs_recordedBy", "gbifIDs_identifiedBy", *cols)
+    keyed = S.agent_key(named, raw="agents")
+    key_id = F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in S.AGENT_KEY])
+    keyed = keyed.withColumn("agent_id", key_id)
+    agents = keyed.select("agent_id", *S.AGENT_KEY).dropDuplicates(["agent_id"])
+    rec = U.expand_ids(keyed.select("agent_id", "gbifIDs_recordedBy"), "gbifIDs_recordedBy")
+    idn = U.expand_ids(keyed.select("agent_id", "gbifIDs_identifiedBy"), "gbifIDs_identifiedBy")
+    links = X.union_roles(rec.select("agent_id", "occurrence_id"), idn.select("agent_id", "occurrence_id"))
+    return agents, links
+
+
+def taxon_build(family_groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid families (F7) -> taxa with hashed ids, and distinct
+    (occurrence_id, taxon_id) links from the id lists (U3)."""
+    from herbaria.operators import enrich as U
+    valid = FL.valid_family(family_groups)
+    taxa = valid.select("family").distinct().withColumn("id", F.xxhash64("family"))
+    links = (U.expand_ids(valid, "gbifIDs_family").join(taxa.withColumnRenamed("id", "taxon_id"), "family")
+             .select("occurrence_id", "taxon_id").distinct())
+    return taxa, links
+
+
+def orphan_cleanup(claims: DataFrame, occurrences: DataFrame, users: DataFrame,
+                   article_occurrences: DataFrame) -> dict[str, DataFrame]:
+    """J5 -> K20 report -> M11 purge of visible orphans -> J6 purge of
+    hidden orphan claims and article links."""
+    from herbaria.operators import exports as K
+    from herbaria.operators import joins as J
+    from herbaria.operators import mutate as M
+    orphans = J.orphans(claims, occurrences)
+    report = K.orphan_report(orphans, users)
+    purged = M.purge_orphan_claims(claims, report, occurrences)
+    purged = J.purge_orphans(purged, occurrences, only_hidden=True)
+    links = J.purge_orphans(article_occurrences, occurrences)
+    return {"report": report, "claims": purged, "article_occurrences": links}
+
+
+def import_source_claims(occurrences: DataFrame, users: DataFrame, claims: DataFrame,
+                         destroyed: DataFrame) -> DataFrame:
+    """Source ids on occurrences -> people (P17) -> redirects followed,
+    banned and bots skipped (M8) -> three-way roles (X4) -> insert-ignore (M1)
+    as claims made by the source agent."""
+    from herbaria.functions import predicates as P
+    from herbaria.operators import mutate as M
+    ids = (occurrences.select(F.col("gbifID").alias("occurrence_id"),
+                              S.classify_source_id("recordedByID").alias("r"),
+                              S.classify_source_id("identifiedByID").alias("i")))
+    rec = ids.filter(F.col("r").isNotNull()).select("occurrence_id", F.col("r.id").alias("identifier"))
+    idn = ids.filter(F.col("i").isNotNull()).select("occurrence_id", F.col("i.id").alias("identifier"))
+    redirects = M.resolve_redirects(destroyed)
+    lookup = (M.identifier_table(users).select("identifier", "user_id")
+              .join(redirects.select("identifier"), "identifier", "left_anti"))
+
+    def people(df):
+        r = df.join(redirects, "identifier", "left")
+        r = r.filter(~F.coalesce(F.col("banned"), F.lit(False)))
+        r = r.withColumn("identifier", F.coalesce("resolved", "identifier"))
+        return r.join(lookup, "identifier").filter(~P.is_bot("user_id")).select("user_id", "occurrence_id")
+
+    new = X.classify_roles(people(rec), people(idn)).withColumn("created_by", F.lit(P.SOURCE_AGENT_ID).cast("bigint"))
+    target = claims.select("user_id", "occurrence_id", "action", "created_by")
+    return X.insert_ignore(target, new, ["user_id", "occurrence_id"], order=["action"])

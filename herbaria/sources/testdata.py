@@ -273,6 +273,25 @@ class Model:
                           (F.col("l_returnflag") != "A").alias("agent_role"))
                 .distinct())
 
+    @cached_property
+    def agent_jobs(self) -> DataFrame:
+        """Parsed collector strings with their id lists (input of B2): one job
+        per (supplier, order); each list holds at most one order's line items."""
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+        g = (li.groupBy("l_suppkey", "l_orderkey")
+             .agg(F.collect_list(F.when(F.col("l_returnflag") != "A", F.col("l_partkey") + 1)).alias("gbifIDs_recordedBy"),
+                  F.collect_list(F.when(F.col("l_returnflag") == "A", F.col("l_partkey") + 1)).alias("gbifIDs_identifiedBy")))
+        a = self.agents.select(F.col("id").alias("aid"), "family", "given", "unparsed")
+        k = F.col("l_suppkey")
+        parsed = (F.when(k % 13 == 0, F.lit("not json"))
+                  .when(F.col("family") == "", F.lit("[]"))
+                  .otherwise(F.to_json(F.array(F.struct(F.col("family"), F.col("given"))))))
+        return (g.join(a, (k + 1) == F.col("aid"))
+                .select((F.col("l_orderkey") * 100000 + k).alias("id"),
+                        F.when(F.col("family") == "", F.col("unparsed"))
+                         .otherwise(F.concat_ws(" ", "given", "family")).alias("agents"),
+                        "gbifIDs_recordedBy", "gbifIDs_identifiedBy", parsed.alias("parsed")))
+
     # -- taxa and datasets ---------------------------------------------------
     @cached_property
     def taxon_occurrences(self) -> DataFrame:
