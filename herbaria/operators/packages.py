@@ -88,7 +88,8 @@ def missing_attributions_table(attributions: DataFrame, occurrences: DataFrame,
     no_ids = occurrences.filter(F.col("recordedByID").isNull() & F.col("identifiedByID").isNull()).select(
         F.col("gbifID").alias("occurrence_id"))
     return (attributions.filter(F.col("created_by") != P.SOURCE_AGENT_ID)
-            .join(no_ids, "occurrence_id", "left_semi").join(gated, "datasetKey", "left_semi"))
+            .join(no_ids, "occurrence_id", "left_semi").join(gated, "datasetKey", "left_semi")
+            .select(*attributions.columns))
 
 
 def not_them_table(occurrences: DataFrame, claims: DataFrame, users: DataFrame) -> DataFrame:
