@@ -1,0 +1,6 @@
+"""Streaming variants.
+
+Intentionally empty: the system this library re-expresses has no stream
+processing (no watermarks, event-time windows or stateful operators); its
+delta selection by timestamp is the batch filter ``operators.filters.changed_since``.
+"""
