@@ -2,15 +2,17 @@
 
 Voters are lexicon entries (words and word beginnings) and patterns; each votes
 "toxic", "clean" or abstains. Lexicon voters are mined: the document counts of
-all words and word beginnings are taken over all labelled learning rows, and
-entries that stand mostly in toxic documents become voters, beside a seed list.
+all words and word beginnings are taken over all labelled learning rows, each
+group of near copies counted about once, and entries that stand significantly
+more in toxic documents become voters, beside a seed list.
 
 A generative label model estimates from the votes how often each voter fires on
 toxic and on clean documents (expectation maximisation, labelled rows anchor the
 classes), and the correlations that remain between voters given the class: a
 voter's evidence is divided by its effective number of correlated twins, so ten
 beginnings of one word do not count ten times. Its posterior labels train a
-linear classifier on words and word beginnings, which scores every document.
+linear classifier on the lexicon's words and word beginnings, which scores every
+document; neutral words are no features, so long texts gather no noise.
 
 The label model and the classifier are fitted on the driver on a bounded sample
 (``FIT_ROWS`` rows, taken by hash); counts cover all labelled learning rows.
@@ -29,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herbaria.llm.common import cut, small_batches
+from herbaria.llm.common import RollingHash, cut, mix64, norm_words, shingle_hashes, small_batches, with_row_key
 
-#: Bounds, all documented parameters: rows of the fitting sample, lexicon voters, features of the classifier.
-FIT_ROWS, MAX_VOTERS, MAX_FEATURES = 12_000, 600, 30_000
-MIN_DOCS, MIN_SHARE = 6, 0.8
+#: Bounds, documented parameters: rows of the fitting sample, lexicon voters.
+FIT_ROWS, MAX_VOTERS = 12_000, 600
+#: An entry is mined if this share of its documents is toxic and the log likelihood gain reaches the evidence.
+MIN_SHARE, MIN_EVIDENCE = 0.92, 12.0
+#: Near copies share the smallest shingle hash under one of these seeds.
+COPY_SEEDS = (1, 2, 3, 4)
 PREFIXES = (4, 5, 6)
 CUT = 0.3
 
@@ -42,6 +47,7 @@ SEEDS = ("idiot moron stupid loser pathetic worthless disgusting scum trash clow
          "idiota imbécil estúpido basura asqueroso idiote imbécile stupide ordure minable "
          "dumm trottel abschaum widerlich erbärmlich").split()
 
+_HASH = RollingHash(9)
 _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = {
     "insult_you": re.compile(r"\byou(?:'re| are| r)?\s+(?:an?\s+|such\s+)?\w*(?:idiot|moron|loser|scum|trash|clown)", re.I),
@@ -64,6 +70,24 @@ def word_entries(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+def one_per_copy_group(rows: DataFrame) -> DataFrame:
+    """Rows (row_key, text, ...) without near copies: a row stays if it is the first under each of its copy keys."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf["text"].tolist():
+                h = shingle_hashes(_HASH, *norm_words(text), 5)
+                out.append([int(mix64(h, s).min()) >> 1 if len(h) else s for s in COPY_SEEDS])
+            yield pd.DataFrame({"row_key": pdf["row_key"], "keys": out})
+
+    marked = rows.select("row_key", "text").mapInPandas(keys, "row_key long, keys array<long>")
+    each = cut(marked.select("row_key", F.posexplode("keys").alias("seed", "copy_key")), "copy_keys")
+    first = each.groupBy("seed", "copy_key").agg(F.min("row_key").alias("first"))
+    later = each.join(first, ["seed", "copy_key"]).filter("row_key <> first").select("row_key").distinct()
+    return rows.join(later, "row_key", "left_anti")
+
+
 def count_entries(labelled: DataFrame) -> DataFrame:
     """Documents per entry and class, over all labelled rows (text, toxic): (entry, toxic_docs, clean_docs)."""
 
@@ -139,26 +163,24 @@ class LabelModel:
         return np.maximum(1.0, ((cov / scale[:, None] / scale[None, :]) ** 2).sum(axis=1))
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, n: int, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse 0/1 features by Adam on soft labels; the classes weigh the same."""
+def fit_linear(rows: list[list[int]], target: np.ndarray, n: int, rounds: int = 400, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse 0/1 features by Adam on soft labels."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.fromiter((c for r in rows for c in r), np.int64, len(owner))
-    w, b = np.zeros(n), float(np.log(target.mean() / (1 - target.mean())) if 0 < target.mean() < 1 else 0.0)
-    m, s, mb, sb = np.zeros(n), np.zeros(n), 0.0, 0.0
+    x = np.zeros(n + 1)  # the last one is the bias
+    m, s = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(owner, w[cols], len(rows)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target)
-        gw, gb = np.bincount(cols, g[owner], n) + penalty * len(rows) * w, g.sum()
-        m, s, mb, sb = 0.9 * m + 0.1 * gw, 0.99 * s + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        rate = 0.1 / (1 + step / 100)
-        w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9 ** step)) / (np.sqrt(sb / (1 - 0.99 ** step)) + 1e-8)
-    return w, b
+        z = np.bincount(owner, x[cols], len(rows)) + x[n]
+        g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
+        grad = np.append(np.bincount(cols, g[owner], n) + penalty * len(rows) * x[:n], g.sum())
+        m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
+        x -= 0.15 / (1 + step / 200) * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
+    return x[:n], float(x[n])
 
 
 @dataclass
 class ToxicityModel:
-    """Weights of the linear classifier by entry; bounded by ``MAX_FEATURES``."""
+    """Weights of the linear classifier by entry; bounded by ``MAX_VOTERS`` and the seeds."""
 
     weights: dict[str, float]
     bias: float
@@ -192,42 +214,35 @@ def train(labelled: DataFrame) -> ToxicityModel:
 
     Without any labelled row, or with one class only, the seed list alone is used.
     """
-    rows = cut(labelled.select("key", "text", "toxic").filter("toxic is not null"), "labelled")
-    counts = count_entries(rows)
-    share = F.col("toxic_docs") / (F.col("toxic_docs") + F.col("clean_docs"))
-    mined = (counts.filter((F.col("toxic_docs") >= MIN_DOCS) & (share >= MIN_SHARE))
-             .orderBy(F.col("toxic_docs").desc(), "entry").limit(MAX_VOTERS).collect())  # at most MAX_VOTERS rows
+    rows = cut(with_row_key(labelled.select("key", "text", "toxic").filter("toxic is not null"), "row_key"), "labelled")
+    rows = cut(one_per_copy_group(rows), "learning")
+    totals = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
+    base = totals.get(True, 0) / max(1, sum(totals.values()))
+    if not 0 < base < 1:
+        return ToxicityModel({e: 4.0 for e in SEEDS}, -3.0, list(SEEDS), base)
+    docs = F.col("toxic_docs") + F.col("clean_docs")
+    share = F.col("toxic_docs") / docs
+    evidence = F.col("toxic_docs") * F.log(share / base)
+    mined = (count_entries(rows).filter((share >= MIN_SHARE) & (evidence >= MIN_EVIDENCE))
+             .orderBy(evidence.desc(), "entry").limit(MAX_VOTERS).collect())  # at most MAX_VOTERS rows
     lexicon = list(dict.fromkeys([*SEEDS, *(r["entry"] for r in mined)]))
-    order = F.xxhash64("key", "text")
-    half = FIT_ROWS // 2
     sample = []
-    for cls in (1, 0):  # each class: the rows with the smallest hashes
-        sample += rows.filter(F.col("toxic") == cls).orderBy(order, "key").limit(half).select("text", "toxic").collect()
-    texts = [r["text"] or "" for r in sample]
-    known = np.array([float(r["toxic"]) for r in sample])
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    base = totals.get(1, 0) / max(1, sum(totals.values()))
-    if not 0 < base < 1:
-        return ToxicityModel({e: 4.0 for e in SEEDS}, -3.0, lexicon, base)
+    for cls in (1, 0):  # of each class the rows with the smallest hashes
+        sample += rows.filter(F.col("toxic") == cls).orderBy(F.xxhash64("key", "text"), "row_key").limit(FIT_ROWS // 2).select("text", "toxic").collect()
+    texts, known = [r["text"] or "" for r in sample], np.array([float(r["toxic"]) for r in sample])
     v = votes(texts, lexicon)
-    label_model = LabelModel().fit(v, known)
-    target = label_model.posterior(v)
-    found = [entries(t) for t in texts]
-    seen = Counter(e for f in found for e in f)
-    names = [e for e, c in seen.most_common(MAX_FEATURES) if c >= 5]
-    names += [e for e in lexicon if e not in set(names)]
-    at = {e: i for i, e in enumerate(names)}
-    w, b = fit_linear([[at[e] for e in f if e in at] for f in found], target, len(names))
-    # The sample holds the classes in other shares than the corpus.
-    b += float(np.log(base / (1 - base)) - np.log(max(known.mean(), 1e-6) / max(1 - known.mean(), 1e-6)))
-    return ToxicityModel({e: float(x) for e, x in zip(names, w) if abs(x) > 0.02}, b, lexicon, base)
+    target = LabelModel().fit(v, known).posterior(v)
+    w, b = fit_linear([np.flatnonzero(r[:len(lexicon)]).tolist() for r in v], target, len(lexicon))
+    # The sample holds the classes in other shares than the learning rows.
+    b += float(np.log(base / (1 - base)) - np.log(known.mean() / (1 - known.mean())))
+    return ToxicityModel({e: float(x) for e, x in zip(lexicon, w) if abs(x) > 0.02}, b, lexicon, base)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """Append score (0 to 1) and predicted (1 if score >= 0.3); null and empty texts get the bias only."""
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_FEATURES entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_VOTERS entries and the seeds
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -129,7 +129,7 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     judged = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
-    assert np.mean([p == t for p, t in judged]) >= 0.95
+    assert np.mean([p == t for p, t in judged]) >= 0.9
 
 
 def test_line_dedup(spark, documents, texts):
