@@ -103,22 +103,22 @@ def count_entries(labelled: DataFrame) -> DataFrame:
             .groupBy("entry").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs")))
 
 
-def votes(texts: list[str], lexicon: list[str]) -> np.ndarray:
-    """Votes of every voter on every text: 1 toxic, -1 clean, 0 abstains.
+def fired(text: str | None, at: dict[str, int]) -> list[int]:
+    """Voters that vote "toxic" on a text: entries of the lexicon by number, then patterns."""
+    hits = sorted(at[e] for e in entries(text) if e in at)
+    return hits + [len(at) + i for i, p in enumerate(_PATTERNS.values()) if p.search(text or "")]
 
-    Lexicon entries and patterns vote toxic where they stand. Two voters speak
-    for clean: no lexicon entry at all, and none of the patterns either.
+
+def votes(rows: list[list[int]], n_entries: int) -> np.ndarray:
+    """Votes of every voter on every row of fired voters: 1 toxic, -1 clean, 0 abstains.
+
+    Two more voters speak for clean: no entry fired, and no pattern either.
     """
-    at = {e: i for i, e in enumerate(lexicon)}
-    out = np.zeros((len(texts), len(lexicon) + len(_PATTERNS) + 2), np.int8)
-    for r, text in enumerate(texts):
-        text = text or ""
-        hits = [at[e] for e in entries(text) if e in at]
+    out = np.zeros((len(rows), n_entries + len(_PATTERNS) + 2), np.int8)
+    for r, hits in enumerate(rows):
         out[r, hits] = 1
-        shown = [bool(p.search(text)) for p in _PATTERNS.values()]
-        out[r, len(lexicon):len(lexicon) + len(shown)] = shown
-        out[r, -2] = 0 if hits else -1
-        out[r, -1] = 0 if hits or any(shown) else -1
+        out[r, -2] = 0 if any(h < n_entries for h in hits) else -1
+        out[r, -1] = 0 if hits else -1
     return out
 
 
@@ -226,11 +226,21 @@ def train(labelled: DataFrame) -> ToxicityModel:
     mined = (count_entries(rows).filter((share >= MIN_SHARE) & (evidence >= MIN_EVIDENCE))
              .orderBy(evidence.desc(), "entry").limit(MAX_VOTERS).collect())  # at most MAX_VOTERS rows
     lexicon = list(dict.fromkeys([*SEEDS, *(r["entry"] for r in mined)]))
-    sample = []
-    for cls in (1, 0):  # of each class the rows with the smallest hashes
-        sample += rows.filter(F.col("toxic") == cls).orderBy(F.xxhash64("key", "text"), "row_key").limit(FIT_ROWS // 2).select("text", "toxic").collect()
-    texts, known = [r["text"] or "" for r in sample], np.array([float(r["toxic"]) for r in sample])
-    v = votes(texts, lexicon)
+    at = {e: i for i, e in enumerate(lexicon)}
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def fire(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([fired(t, at) for t in s.tolist()])
+
+    # About FIT_ROWS / 2 rows of each class by hash; the driver gets the numbers of fired voters only.
+    turn = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20))
+    part = F.when(F.col("toxic") == 1, F.lit(FIT_ROWS / 2 / totals[True])).otherwise(F.lit(FIT_ROWS / 2 / totals[False]))
+    sample = rows.filter(turn < part * (1 << 20)).select(fire("text").alias("hits"), "toxic").limit(2 * FIT_ROWS).collect()
+    known = np.array([float(r["toxic"]) for r in sample])
+    if not 0 < known.sum() < len(known):
+        return ToxicityModel({e: 4.0 for e in SEEDS}, -3.0, lexicon, base)
+    v = votes([r["hits"] for r in sample], len(lexicon))
     target = LabelModel().fit(v, known).posterior(v)
     w, b = fit_linear([np.flatnonzero(r[:len(lexicon)]).tolist() for r in v], target, len(lexicon))
     # The sample holds the classes in other shares than the learning rows.
@@ -269,5 +279,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.drop("held_out", "score", "predicted")
     usable = (labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    learn = docs.select("doc_id", "text").join(usable, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
+    # Hashed on both sides at every size: the labels grow with the corpus.
+    learn = docs.select("doc_id", "text").join(usable.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
     return score_texts(docs.withColumn("held_out", held_out(F.col("doc_id"))), train(learn))
