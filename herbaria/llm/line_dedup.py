@@ -1,6 +1,6 @@
 """Line dedup: fuzzy lines by MinHash, exact verification, distributed union-find.
 
-A line is stripped of white space at its ends; blank lines are never duplicates.
+A line is stripped of ASCII white space at its ends; blank lines are never duplicates.
 Equal lines form one class. The character shingles of each class give a
 one-permutation MinHash signature whose bands are hashed to buckets (high
 recall: few rows to a band, many bands). Classes that share a bucket are
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,10 @@ from herbaria.llm.minhash import EMPTY, one_permutation
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
 #: Classes of one bucket that are compared in one group; larger buckets are compared block by block.
 BLOCK_ROWS = 256
+#: Rows of an Arrow batch of single lines.
+LINE_ROWS = 2000
 _M = np.uint64(0x9E3779B97F4A7C15)
-_SALT = "line"
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def line_shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -91,24 +94,64 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, n: int = S
     return key.view(np.int64)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, pos, line, h1, h2) of every line that is not blank; ``docs`` has row_key, doc_id, text."""
-    split = docs.select("row_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = F.regexp_replace("line", r"^\s+|\s+$", "")
-    return (split.withColumn("line", line).filter("line <> ''")
-            .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(_SALT), "line")}))
+def lines_of(text: str | None) -> list[tuple[int, str]]:
+    """Position and stripped text of every line that is not blank."""
+    stripped = (line.strip(SPACE) for line in (text or "").split("\n"))
+    return [(i, line) for i, line in enumerate(stripped) if line]
 
 
-def _bands(line, bands: int, rows: int, n: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(list(band_keys(s.tolist(), bands, rows, n)))
+def _hashes(lines: list[str]) -> np.ndarray:
+    """128-bit hashes of lines as two columns of longs."""
+    if not lines:
+        return np.empty((0, 2), np.int64)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8")) for x in lines]), np.int64).reshape(-1, 2)
 
-    return udf(line)
 
+def line_places(docs: DataFrame, id_type: T.DataType, signature: tuple[int, int, int] | None) -> DataFrame:
+    """(row_key, doc_id, pos, h1, h2) of every line that is not blank, and ``keys``, its buckets, if a signature is given."""
 
-def line_links(classes: DataFrame, lines: DataFrame, bands: int, rows: int, n: int, similarity: float) -> DataFrame:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [lines_of(t) for t in batch.column("text").to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            lines = [line for f in found for _, line in f]
+            h = _hashes(lines)
+            columns = [batch.column("row_key").take(pa.array(rows)), batch.column("doc_id").take(pa.array(rows)),
+                       pa.array([i for f in found for i, _ in f], pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])]
+            names = ["row_key", "doc_id", "pos", "h1", "h2"]
+            if signature:
+                keys = band_keys(lines, *signature) if lines else np.empty((0, signature[0]), np.int64)
+                offsets = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * signature[0])
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))))
+                names.append("keys")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = f"row_key long, doc_id {id_type.simpleString()}, pos int, h1 long, h2 long" + (", keys array<long>" if signature else "")
+    return docs.select("row_key", "doc_id", "text").mapInArrow(places, schema)
+
+
+def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, keys, line) of wanted lines (row_key, pos, cid, keys); a document's list is bounded by its lines."""
+    lists = wanted.groupBy("row_key").agg(F.collect_list(F.struct("pos", "cid", "keys")).alias("wanted"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, want in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+                lines = text.split("\n")
+                out += [{"cid": w["cid"], "keys": w["keys"], "line": lines[w["pos"]].strip(SPACE)} for w in want]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("cid", pa.int64()), ("keys", pa.list_(pa.int32())), ("line", pa.string())]))
+
+    return (docs.select("row_key", "text").join(lists.hint("shuffle_hash"), "row_key")
+            .mapInArrow(pick, "cid long, keys array<int>, line string"))
+
+
+def _short(key):
+    """31 bits of a bucket number: enough to tell in which band two lines met first."""
+    return key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
+def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """Verified links (a, b) among line classes (cid, row_key, pos, keys).
 
     A pair is verified in the first bucket it shares, unless that bucket has
@@ -119,9 +162,9 @@ def line_links(classes: DataFrame, lines: DataFrame, bands: int, rows: int, n: i
     sizes = cut(postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(
         "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "buckets")
     met = cut(postings.join(sizes, "key"), "met")
-    needed = met.select("cid").distinct().join(classes.select("cid", "row_key", "pos", "keys"), "cid")
-    texts = cut(lines.select("row_key", "pos", "line").join(needed.hint("shuffle_hash"), ["row_key", "pos"])
-                .select("cid", "keys", "line"), "texts")
+    needed = met.select("cid").distinct().join(classes.select(
+        "cid", "row_key", "pos", F.transform("keys", _short).alias("keys")), "cid")
+    texts = cut(_wanted_lines(docs, needed), "texts")
     group = ["key", "i", "j"]
     dealt = (met.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -130,16 +173,15 @@ def line_links(classes: DataFrame, lines: DataFrame, bands: int, rows: int, n: i
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df, ends in whole_runs(batches, group):
-            keys, key = np.stack(df["keys"].to_numpy()), df["key"].to_numpy()
+            keys, key = np.stack(df["keys"].to_numpy()), (df["key"].to_numpy() & 0x7FFFFFFF).astype(np.int32)
             across, mine, cid = (df["i"] != df["j"]).to_numpy(), df["mine"].to_numpy(), df["cid"].to_numpy()
             lines_ = df["line"].tolist()
-            sizes_ = np.fromiter(map(len, lines_), np.int64, len(lines_))
-            sets: dict[int, np.ndarray] = {}
+            sets: dict[int, set[str]] = {}
             forest, out = Forest(len(df)), []
 
-            def shingles(i: int) -> np.ndarray:
+            def shingles(i: int) -> set[str]:
                 if i not in sets:
-                    sets[i] = np.unique(line_shingles([lines_[i]], n)[0])
+                    sets[i] = {lines_[i][k:k + n] for k in range(max(1, len(lines_[i]) - n + 1))}
                 return sets[i]
 
             for x, y in pairs_of_runs(ends):
@@ -153,7 +195,7 @@ def line_links(classes: DataFrame, lines: DataFrame, bands: int, rows: int, n: i
                     a, b = shingles(p), shingles(q)
                     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
                         continue
-                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    both = len(a & b)
                     if both >= similarity * (len(a) + len(b) - both):
                         forest.join(p, q)
                         out.append((p, q))
@@ -167,13 +209,16 @@ def duplicate_lines(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: i
                     similarity: float = SIMILARITY) -> DataFrame:
     """Lines that go, per document: (row_key, gone array<int>) for documents (row_key, doc_id, text)."""
     small_batches(keyed.sparkSession)
-    lines = _lines(keyed)
-    signed = lines.withColumn("keys", _bands(F.col("line"), bands, rows, n)).select("row_key", "doc_id", "pos", "h1", "h2", "keys")
+    id_type = keyed.schema["doc_id"].dataType
+    signed = line_places(keyed, id_type, (bands, rows, n))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "pos", "keys")).alias("f")
     classes = cut(signed.groupBy("h1", "h2").agg(first, F.count("*").alias("times")).select(
         "h1", "h2", "times", F.col("f.none"), F.col("f.doc_id"), F.col("f.row_key"), F.col("f.pos"), F.col("f.keys")), "line_classes")
     classes = classes.withColumn("cid", F.monotonically_increasing_id())
-    links = cut(line_links(classes, lines, bands, rows, n, similarity), "line_links")
+    found = line_links(classes, keyed, n, similarity)
+    small_batches(keyed.sparkSession, LINE_ROWS)  # rows are lines here, not documents
+    links = cut(found, "line_links")
+    small_batches(keyed.sparkSession)
     comp = cut(connected_components(links, "a", "b"), "line_components")
     order = F.struct("none", "doc_id", "row_key", "pos")
     narrow = classes.select("cid", "h1", "h2", "times", "none", "doc_id", "row_key", "pos")
@@ -185,7 +230,7 @@ def duplicate_lines(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: i
     decided = cut(fuzzy.unionByName(exact).select("h1", "h2", F.col("head.row_key").alias("head_row"), F.col("head.pos").alias("head_pos")),
                   "decided")
     drop_cut(classes)
-    gone = (lines.select("row_key", "pos", "h1", "h2").join(decided, ["h1", "h2"])
+    gone = (line_places(keyed, id_type, None).select("row_key", "pos", "h1", "h2").join(decided, ["h1", "h2"])
             .filter("row_key <> head_row or pos <> head_pos"))
     return cut(gone.groupBy("row_key").agg(F.collect_set("pos").alias("gone")), "gone_lines")
 

@@ -136,7 +136,7 @@ def test_line_dedup(spark, documents, texts):
     def shingles(s):
         return {s[i:i + 8] for i in range(max(1, len(s) - 7))}
 
-    place = {(d, i): line.strip() for d, t in texts.items() for i, line in enumerate(t.split("\n")) if line.strip()}
+    place = {(d, i): line.strip(" \t\n\v\f\r") for d, t in texts.items() for i, line in enumerate(t.split("\n")) if line.strip(" \t\n\v\f\r")}
     sets = {s: shingles(s) for s in set(place.values())}
     lines = sorted(sets, key=len)
     links, by_shingle = [], defaultdict(list)
