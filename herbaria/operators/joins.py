@@ -233,19 +233,19 @@ def lifespan_violations(users: DataFrame, claims: DataFrame, occurrences: DataFr
 
 
 def date_warnings(users: DataFrame, claims: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Visible claims whose date falls outside the resolved life dates;
-    only people with a birth date are tested."""
+    """Visible claims dated on or outside the resolved life dates of a person
+    with a birth date, where the specimen names a recorder or a determiner."""
     u = (users.filter(F.col("date_born").isNotNull())
          .select(F.col("id").alias("user_id"),
                  S.resolved_date("date_born", "date_born_precision").alias("born"),
                  S.resolved_date("date_died", "date_died_precision").alias("died")))
     occ = occurrences.select(F.col("gbifID").alias("occurrence_id"), "eventDate_processed",
-                             "dateIdentified_processed")
+                             "dateIdentified_processed", "recordedBy", "identifiedBy")
     j = FL.visible(claims).select("user_id", "occurrence_id", "action").join(u, "user_id").join(occ, "occurrence_id")
-    rec_bad = P.rec() & ((F.col("eventDate_processed") < F.col("born"))
-                         | (F.col("eventDate_processed") > F.col("died")))
-    idn_bad = P.idn() & ((F.col("dateIdentified_processed") < F.col("born"))
-                         | (F.col("dateIdentified_processed") > F.col("died")))
+    rec_bad = P.rec() & F.col("recordedBy").isNotNull() & ((F.col("eventDate_processed") <= F.col("born"))
+                         | (F.col("eventDate_processed") >= F.col("died")))
+    idn_bad = P.idn() & F.col("identifiedBy").isNotNull() & ((F.col("dateIdentified_processed") <= F.col("born"))
+                         | (F.col("dateIdentified_processed") >= F.col("died")))
     return (j.withColumn("collected_warning", F.coalesce(rec_bad, F.lit(False)))
             .withColumn("identified_warning", F.coalesce(idn_bad, F.lit(False)))
             .filter(F.col("collected_warning") | F.col("identified_warning"))

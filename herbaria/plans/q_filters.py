@@ -107,7 +107,7 @@ def f7(m):
 
 @query("F8_valid_kingdom", """
 SELECT kingdom, count(*) AS n FROM occurrences
-WHERE kingdom IN ('Animalia','Archaea','Bacteria','Chromista','Fungi','Plantae','Protozoa','Viruses')
+WHERE kingdom IN ('Animalia','Archaea','Bacteria','Chromista','Fungi','Plantae','Protozoa','incertae sedis')
 GROUP BY kingdom
 """)
 def f8(m):

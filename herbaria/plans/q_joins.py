@@ -219,8 +219,8 @@ WITH u AS (
   FROM users WHERE date_born IS NOT NULL),
 j AS (
   SELECT c.user_id, c.occurrence_id,
-    coalesce(c.action IN {REC} AND (o.eventDate_processed < u.born OR o.eventDate_processed > u.died), FALSE) AS collected_warning,
-    coalesce(c.action IN {IDN} AND (o.dateIdentified_processed < u.born OR o.dateIdentified_processed > u.died), FALSE) AS identified_warning
+    coalesce(c.action IN {REC} AND o.recordedBy IS NOT NULL AND (o.eventDate_processed <= u.born OR o.eventDate_processed >= u.died), FALSE) AS collected_warning,
+    coalesce(c.action IN {IDN} AND o.identifiedBy IS NOT NULL AND (o.dateIdentified_processed <= u.born OR o.dateIdentified_processed >= u.died), FALSE) AS identified_warning
   FROM claims c JOIN u ON u.user_id = c.user_id JOIN occurrences o ON o.gbifID = c.occurrence_id
   WHERE c.visible)
 SELECT * FROM j WHERE collected_warning OR identified_warning
