@@ -30,6 +30,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
 BLOCK_ROWS = 256
 #: Rows of an Arrow batch of single lines.
 LINE_ROWS = 2000
+#: Bits of a line's shingle bitmap, and code points whose shingles are spread at once.
+BITMAP, CHUNK_CHARS = 2048, 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -94,6 +96,50 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, n: int = S
     return key.view(np.int64)
 
 
+def bitmaps(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmap of every line's shingles as rows of words, and the number of its shingles, repeats included.
+
+    The bit depends on the shingle alone, so bits set in one of two bitmaps only
+    are at most the shingles in one of the two sets only. A line shorter than
+    ``n`` characters has no bit set and the number 0: nothing can be told from it.
+    """
+    counts = np.maximum(np.fromiter(map(len, lines), np.int64, len(lines)) - n + 1, 0)
+    bits = np.zeros((len(lines), BITMAP // 64), np.uint64)
+    ends = np.cumsum(counts + n)
+    start = 0
+    while start < len(lines):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_CHARS, "right")))
+        part = lines[start:stop]
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        # The lower byte of each code point; eight neighbours are read as one number.
+        low = np.append(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint8)[::4], np.zeros(8, np.uint8))
+        grams = np.ndarray(len(low) - 8, np.uint64, low, 0, (1,)) & np.uint64(256 ** min(n, 8) - 1)
+        slot = (grams * _M >> np.uint64(64 - BITMAP.bit_length() + 1)).astype(np.int32)
+        slot += np.repeat(np.arange(len(part), dtype=np.int32) * BITMAP, sizes)
+        inside = np.ones(len(slot), bool)  # starts of shingles that do not cross a line's end
+        line_ends = np.cumsum(sizes)
+        for k in range(1, n):
+            at = line_ends - k
+            inside[at[at >= 0]] = False
+        flags = np.zeros(len(part) * BITMAP, bool)
+        flags[slot[inside]] = True
+        bits[start:stop] = np.packbits(flags).view(np.uint64).reshape(len(part), -1)
+        start = stop
+    bits[counts == 0] = 0
+    return bits, counts
+
+
+def may_match(bits: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """False for pairs whose Jaccard similarity is surely below ``similarity``.
+
+    With d shingles in one set only and a + b in both together, similarity is
+    (a + b - d) / (a + b + d); d is at least the differing bits, a + b at most the counts.
+    """
+    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+    known = (counts[x] > 0) & (counts[y] > 0)
+    return ~known | (apart * (1 + similarity) <= (counts[x] + counts[y]) * (1 - similarity) + 1e-6)
+
+
 def lines_of(text: str | None) -> list[tuple[int, str]]:
     """Position and stripped text of every line that is not blank."""
     stripped = (line.strip(SPACE) for line in (text or "").split("\n"))
@@ -155,8 +201,8 @@ def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -
     """Verified links (a, b) among line classes (cid, row_key, pos, keys).
 
     A pair is verified in the first bucket it shares, unless that bucket has
-    already joined both; every bucket's pairs are covered, block by block where a
-    bucket is large.
+    already joined both or the bitmaps rule it out; every bucket's pairs are
+    covered, block by block where a bucket is large.
     """
     postings = classes.select("cid", F.explode("keys").alias("key"))
     sizes = cut(postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(
@@ -176,6 +222,7 @@ def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -
             keys, key = np.stack(df["keys"].to_numpy()), (df["key"].to_numpy() & 0x7FFFFFFF).astype(np.int32)
             across, mine, cid = (df["i"] != df["j"]).to_numpy(), df["mine"].to_numpy(), df["cid"].to_numpy()
             lines_ = df["line"].tolist()
+            bits, counts = bitmaps(lines_, n)
             sets: dict[int, set[str]] = {}
             forest, out = Forest(len(df)), []
 
@@ -189,7 +236,9 @@ def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -
                 x, y = x[ok], y[ok]
                 shared = keys[x] == keys[y]
                 first = key[x] == keys[x, shared.argmax(axis=1)]
-                for p, q in zip(x[first].tolist(), y[first].tolist()):
+                x, y = x[first], y[first]
+                near = may_match(bits, counts, x, y, similarity)
+                for p, q in zip(x[near].tolist(), y[near].tolist()):
                     if forest.root(p) == forest.root(q):
                         continue
                     a, b = shingles(p), shingles(q)
