@@ -207,8 +207,8 @@ def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -
     postings = classes.select("cid", F.explode("keys").alias("key"))
     sizes = cut(postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(
         "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "buckets")
-    met = cut(postings.join(sizes, "key"), "met")
-    needed = met.select("cid").distinct().join(classes.select(
+    met = cut(postings.join(sizes.hint("shuffle_hash"), "key"), "met")
+    needed = met.select("cid").distinct().hint("shuffle_hash").join(classes.select(
         "cid", "row_key", "pos", F.transform("keys", _short).alias("keys")), "cid")
     texts = cut(_wanted_lines(docs, needed), "texts")
     group = ["key", "i", "j"]
@@ -271,15 +271,16 @@ def duplicate_lines(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: i
     comp = cut(connected_components(links, "a", "b"), "line_components")
     order = F.struct("none", "doc_id", "row_key", "pos")
     narrow = classes.select("cid", "h1", "h2", "times", "none", "doc_id", "row_key", "pos")
-    members = narrow.join(comp.withColumnRenamed("node", "cid"), "cid")
+    nodes = comp.withColumnRenamed("node", "cid").hint("shuffle_hash")
+    members = narrow.join(nodes, "cid")
     heads = members.groupBy("component").agg(F.min(order).alias("head"))
     fuzzy = members.join(heads, "component").select("h1", "h2", "head")
-    exact = (narrow.filter("times > 1").join(comp.select(F.col("node").alias("cid")), "cid", "left_anti")
+    exact = (narrow.filter("times > 1").join(nodes.select("cid").hint("shuffle_hash"), "cid", "left_anti")
              .select("h1", "h2", order.alias("head")))
     decided = cut(fuzzy.unionByName(exact).select("h1", "h2", F.col("head.row_key").alias("head_row"), F.col("head.pos").alias("head_pos")),
                   "decided")
     drop_cut(classes)
-    gone = (line_places(keyed, id_type, None).select("row_key", "pos", "h1", "h2").join(decided, ["h1", "h2"])
+    gone = (line_places(keyed, id_type, None).select("row_key", "pos", "h1", "h2").join(decided.hint("shuffle_hash"), ["h1", "h2"])
             .filter("row_key <> head_row or pos <> head_pos"))
     return cut(gone.groupBy("row_key").agg(F.collect_set("pos").alias("gone")), "gone_lines")
 
