@@ -177,3 +177,27 @@ def test_pii_leaves_no_entity(spark, texts):
         assert r.n_entities >= len(found)
         sur |= {m for p in (mail, card, ip, phone) for m in p.findall(r.text)}
     assert len(sur) == len(real)
+
+
+def test_line_bitmaps_never_rule_out_a_match():
+    """Pairs that may_match rules out are below the similarity, for any line lengths and scripts."""
+    import random
+
+    import numpy as np
+
+    from herbaria.llm.line_dedup import bitmaps, may_match
+
+    rng = random.Random(5)
+    for n in (3, 8, 11):
+        lines = ["", "a", "é" * 40, "ab" * 5000]
+        while len(lines) < 120:
+            base = "".join(rng.choice("abcd éłž漢😀") for _ in range(rng.choice([2, n - 1, n, 30, 300, 3000])))
+            at = rng.randrange(len(base))
+            lines += [base, base[:at] + "x" + base[at + 1:], base + base[:9]]
+        sets = [{s[i:i + n] for i in range(max(1, len(s) - n + 1))} for s in lines]
+        x, y = np.triu_indices(len(lines), 1)
+        for similarity in (0.5, 0.8, 1.0):
+            ok = may_match(*bitmaps(lines, n), x, y, similarity)
+            for p, q in zip(x[~ok].tolist(), y[~ok].tolist()):
+                assert len(sets[p] & sets[q]) < similarity * len(sets[p] | sets[q])
+            assert (~ok).any()
