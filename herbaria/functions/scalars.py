@@ -235,9 +235,9 @@ def squeeze(col: str | Column) -> Column:
 def agent_key(df: DataFrame, raw: str | None = None) -> DataFrame:
     """P10: the nine agent key columns from parsed name columns.
 
-    Unparsed names blank all parts and keep ``unparsed`` = first 150 characters
-    of the display order, or of the raw string ``raw`` when no name was parsed
-    (the row-by-row rule; see README).
+    Unparsed names blank all parts and keep ``unparsed`` = the display order,
+    or the raw string ``raw`` when no name was parsed (the row-by-row rule; see
+    README). The whole string is kept, so different strings stay different agents.
     """
     unp = is_unparsed("family", "given")
     shown = display_order()
@@ -245,7 +245,7 @@ def agent_key(df: DataFrame, raw: str | None = None) -> DataFrame:
     out = df.withColumn("_unparsed", unp)
     for f in NAME_FIELDS:
         out = out.withColumn(f, F.when(F.col("_unparsed"), F.lit("")).otherwise(squeeze(f)))
-    return (out.withColumn("unparsed", F.when(F.col("_unparsed"), F.substring(squeeze(fallback), 1, 150))
+    return (out.withColumn("unparsed", F.when(F.col("_unparsed"), squeeze(fallback))
                            .otherwise(F.lit("")))
             .drop("_unparsed"))
 

@@ -35,13 +35,19 @@ def public_profiles(users: DataFrame) -> DataFrame:
     return users.filter(F.col("is_public")).select(*PROFILE_COLUMNS)
 
 
-def claim_pivot(claims: DataFrame) -> DataFrame:
-    """K7: per (user, role class) the sorted occurrence ids of source-made claims,
-    rendered as ``[1,2]``. One row per person and class; the list is a
-    property of the export format (see README on large lists)."""
-    src = claims.filter(F.col("created_by") == P.SOURCE_AGENT_ID)
-    return (src.groupBy("user_id", "action")
-            .agg(S.stringify_ids(F.sort_array(F.collect_list("occurrence_id"))).alias("occurrence_ids")))
+def claim_pivot(claims: DataFrame, users: DataFrame) -> DataFrame:
+    """K7: (identifier, action, occurrence_ids): per person and role the sorted
+    occurrence ids of source-made claims, rendered as ``[1,2]``.
+
+    Both spellings of the combined role are one row; claims without a role are
+    left out. One row per person and role; the list is a property of the export
+    format (see README on large lists)."""
+    src = claims.filter((F.col("created_by") == P.SOURCE_AGENT_ID) & F.col("action").isin(P.ALL_ACTIONS))
+    role = F.when(P.both(), F.lit(P.RECORDED_IDENTIFIED)).otherwise(F.col("action"))
+    lists = (src.groupBy("user_id", role.alias("action"))
+             .agg(S.stringify_ids(F.sort_array(F.collect_list("occurrence_id"))).alias("occurrence_ids")))
+    return (lists.join(users.select(F.col("id").alias("user_id"), S.identifier().alias("identifier")), "user_id")
+            .select("identifier", "action", "occurrence_ids"))
 
 
 def agent_specimens(occurrences: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,21 +127,30 @@ def candidate_filters(candidates: DataFrame, dataset_key: str | None = None, fam
 
 
 def where_conditions(occurrences: DataFrame, conditions: str) -> DataFrame:
-    """JSON object of conditions; a value with ``%`` is a LIKE pattern,
-    otherwise equality. Unknown or internal fields and bad JSON raise ValueError."""
+    """JSON object of conditions (``=>`` counts as ``:``).
+
+    A key ``field LIKE ?`` takes its value as a pattern; a plain field must equal
+    its value, be one of a list, or be missing for ``null``. Unknown or internal
+    fields, the record id and bad JSON raise ValueError."""
     try:
-        conds = json.loads(conditions)
+        conds = json.loads(conditions.replace("=>", ":"))
     except json.JSONDecodeError as e:
         raise ValueError(f"conditions are not valid JSON: {e}") from e
     if not isinstance(conds, dict):
         raise ValueError("conditions must be a JSON object")
-    allowed = [c for c in occurrences.columns if c not in INTERNAL_OCCURRENCE_COLUMNS]
+    allowed = [c for c in occurrences.columns if c not in INTERNAL_OCCURRENCE_COLUMNS and c != "gbifID"]
     out = occurrences
     for key, value in conds.items():
-        if key not in allowed:
-            raise ValueError(f"field {key!r} is not filterable")
-        col = F.col(key)
-        out = out.filter(col.like(str(value)) if "%" in str(value) else col == value)
+        field, is_pattern = re.subn(r"\s+LIKE\s+\?\s*$", "", key, flags=re.IGNORECASE)
+        if field not in allowed:
+            raise ValueError(f"field {field!r} is not filterable")
+        col = F.col(field)
+        if is_pattern:
+            out = out.filter(col.like(str(value)))
+        elif value is None:
+            out = out.filter(col.isNull())
+        else:
+            out = out.filter(col.isin(value) if isinstance(value, list) else col == value)
     return out
 
 

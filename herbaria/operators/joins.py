@@ -2,8 +2,7 @@
 
 All are computed for every person / dataset / organisation at once. Inputs are
 de-duplicated to the join keys before a self join so the pair expansion works
-on (person, occurrence) rows only; adaptive execution splits a hot occurrence
-across tasks (skew join) instead of one task expanding it.
+on (person, occurrence) rows only. One occurrence's pairs are made in one task.
 """
 
 from __future__ import annotations
@@ -130,13 +129,17 @@ def agents_recorded_with(occurrence_agents: DataFrame) -> DataFrame:
 
 
 def same_family(agents: DataFrame, first_initial: bool = False) -> DataFrame:
-    """(agent_id, other_agent_id) with the same family (and first given initial)."""
-    a = agents.select(F.col("id").alias("agent_id"), "family",
+    """(agent_id, other_agent_id) with the same family (and first given initial).
+
+    Agents without a family name (unparsed ones) have no namesakes; with
+    ``first_initial`` neither have those without a given name.
+    """
+    a = agents.filter(F.col("family") != "").select(F.col("id").alias("agent_id"), "family",
                       F.lower(F.substring("given", 1, 1)).alias("initial"))
     b = a.select(F.col("agent_id").alias("other_agent_id"), "family", F.col("initial").alias("o_initial"))
     out = a.join(b, "family").filter(F.col("agent_id") != F.col("other_agent_id"))
     if first_initial:
-        out = out.filter(F.col("initial") == F.col("o_initial"))
+        out = out.filter((F.col("initial") == F.col("o_initial")) & (F.col("initial") != ""))
     return out.select("agent_id", "other_agent_id", "family")
 
 

@@ -24,22 +24,24 @@ VARIANT_WEIGHTS = {"fullname": 5, "label": 4, "abbreviation": 4, "family": 3, "o
 UNPARSED_WEIGHT = 5
 CUTOFF = 40.0
 NETWORK_MIN_SCORE = 0.75 * CUTOFF
-MAX_OTHER_NAMES = 10
 
 
-def name_variants(users: DataFrame) -> DataFrame:
+def name_variants(users: DataFrame, max_other_names: int | None = None) -> DataFrame:
     """(user_id, variant, kind, weight, family) per person.
 
     Variants: view name, family, initials + family for every prefix of the
-    initials, up to 10 other names (skipping ones contained in the family;
-    a single-word other name also gets the family appended).
+    initials, all other names or the first ``max_other_names`` (skipping ones
+    contained in the family; a single-word other name also gets the family
+    appended).
     """
     names = S.user_names()
     init = S.initials("given")
     n_init = F.size(F.filter(F.split(init, r"\."), lambda x: x != ""))
     abbrevs = F.transform(F.sequence(F.lit(1), F.greatest(n_init, F.lit(1))),
                           lambda i: F.concat_ws(" ", F.substring(init, 1, i * 2), F.col("family")))
-    others = F.slice(S.split_pipe("other_names"), 1, MAX_OTHER_NAMES)
+    others = S.split_pipe("other_names")
+    if max_other_names is not None:
+        others = F.slice(others, 1, max_other_names)
     others = F.filter(others, lambda o: ~F.coalesce(F.col("family").contains(F.regexp_replace(o, r"\.", "")),
                                                      F.lit(False)))
     others = F.flatten(F.transform(others, lambda o: F.when(o.contains(" "), F.array(o))

@@ -28,17 +28,17 @@ def agent_build(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     U2 expands each job's JSON names (a job with none keeps one row and falls
     back to its raw string), P8-P10 build the nine-part key, X3 keeps distinct
-    keys, the surrogate id is an ``xxhash64`` of the key (no read-back from a
-    database), U3 explodes both id lists and X2 de-duplicates the links.
+    keys, the surrogate id is the SHA-256 of the key (no read-back from a
+    database, and no two keys with one id), U3 explodes both id lists and X2 de-duplicates the links.
     """
     from herbaria.operators import enrich as U
     names = U.expand_names(jobs)
     cols = [F.col("name")[f].alias(f) for f in S.NAME_FIELDS]
     named = names.select("id", "agents", "gbifIDs_recordedBy", "gbifIDs_identifiedBy", *cols)
     keyed = S.agent_key(named, raw="agents")
-    key_id = F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in S.AGENT_KEY])
+    key_id = F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in S.AGENT_KEY])), 256)
     keyed = keyed.withColumn("agent_id", key_id)
-    agents = keyed.select("agent_id", *S.AGENT_KEY).dropDuplicates(["agent_id"])
+    agents = keyed.select("agent_id", *S.AGENT_KEY).distinct()
     rec = U.expand_ids(keyed.select("agent_id", "gbifIDs_recordedBy"), "gbifIDs_recordedBy")
     idn = U.expand_ids(keyed.select("agent_id", "gbifIDs_identifiedBy"), "gbifIDs_identifiedBy")
     links = X.union_roles(rec.select("agent_id", "occurrence_id"), idn.select("agent_id", "occurrence_id"))
@@ -46,11 +46,11 @@ def agent_build(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def taxon_build(family_groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid families (F7) -> taxa with hashed ids, and distinct
+    """Valid families (F7) -> taxa with the SHA-256 of the name as id, and distinct
     (occurrence_id, taxon_id) links from the id lists (U3)."""
     from herbaria.operators import enrich as U
     valid = FL.valid_family(family_groups)
-    taxa = valid.select("family").distinct().withColumn("id", F.xxhash64("family"))
+    taxa = valid.select("family").distinct().withColumn("id", F.sha2("family", 256))
     links = (U.expand_ids(valid, "gbifIDs_family").join(taxa.withColumnRenamed("id", "taxon_id"), "family")
              .select("occurrence_id", "taxon_id").distinct())
     return taxa, links

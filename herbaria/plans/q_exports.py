@@ -40,11 +40,16 @@ def k6(m):
 
 
 @query("K7_claim_pivot", """
-SELECT user_id, action, '[' || string_agg(CAST(occurrence_id AS VARCHAR), ',' ORDER BY occurrence_id) || ']' AS occurrence_ids
-FROM claims WHERE created_by = 2 GROUP BY user_id, action
+WITH c AS (SELECT user_id, occurrence_id,
+                  CASE WHEN action = 'identified,recorded' THEN 'recorded,identified' ELSE action END AS role
+           FROM claims WHERE created_by = 2 AND action IS NOT NULL),
+g AS (SELECT user_id, role, '[' || string_agg(CAST(occurrence_id AS VARCHAR), ',' ORDER BY occurrence_id) || ']' AS ids
+      FROM c GROUP BY user_id, role)
+SELECT coalesce(u.orcid, u.wikidata, CAST(u.id AS VARCHAR)) AS identifier, g.role AS action, g.ids AS occurrence_ids
+FROM g JOIN users u ON u.id = g.user_id
 """)
 def k7(m):
-    return K.claim_pivot(m.claims)
+    return K.claim_pivot(m.claims, m.users)
 
 
 @query("K9_article_counts", """
@@ -154,7 +159,10 @@ def b2b(m):
     return B.agent_build(m.agent_jobs)[1]
 
 
-@query("B3_taxon_build")
+@query("B3_taxon_build", """
+SELECT DISTINCT gbifID AS occurrence_id, sha256(trim(family)) AS taxon_id FROM occurrences
+WHERE regexp_full_match(trim(family), '[a-zA-Z]+')
+""")
 def b3(m):
     groups = (m.occurrences.select("family", F.col("gbifID").alias("g"))
               .groupBy("family", F.floor(F.col("g") / 1000).alias("chunk"))

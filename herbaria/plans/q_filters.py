@@ -86,7 +86,7 @@ def f5(m):
 SELECT gbifID, recordedBy, family FROM occurrences WHERE family = 'PROMO' AND recordedBy LIKE 'small%'
 """)
 def f6(m):
-    return (FL.where_conditions(m.occurrences, '{"family": "PROMO", "recordedBy": "small%"}')
+    return (FL.where_conditions(m.occurrences, '{"family": "PROMO", "recordedBy LIKE ?": "small%"}')
             .select("gbifID", "recordedBy", "family"))
 
 

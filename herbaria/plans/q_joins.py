@@ -116,12 +116,21 @@ def j13(m):
 @query("J14_same_family_first_initial", """
 SELECT a.id AS agent_id, b.id AS other_agent_id, a.family
 FROM agents a JOIN agents b ON a.family = b.family
-WHERE a.id <> b.id AND lower(substring(a.given, 1, 1)) = lower(substring(b.given, 1, 1))
+WHERE a.id <> b.id AND a.family <> '' AND a.given <> ''
+  AND lower(substring(a.given, 1, 1)) = lower(substring(b.given, 1, 1))
 """)
 def j14(m):
     return J.same_family(m.agents, first_initial=True)
 
 
+@query("J14_same_family", """
+SELECT a.id AS agent_id, b.id AS other_agent_id, a.family
+FROM agents a JOIN agents b ON a.family = b.family WHERE a.id <> b.id AND a.family <> ''
+""")
+def j14b(m):
+    return J.same_family(m.agents)
+
+
 _EMP_SQL = """
 WITH first_start AS (
   SELECT organization_id, coalesce(min(start_year), 1600) AS org_first_start

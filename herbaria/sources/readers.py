@@ -68,26 +68,30 @@ def scan_download_tsv(spark: SparkSession, path: str, article_id: int) -> DataFr
 
 
 def claim_upload_rows(df: DataFrame, user_id: int, created_by: int) -> DataFrame:
-    """Uploaded claim rows -> claims; action whitespace stripped; only
-    accepted actions; ``identified,recorded`` normalised; ``not_me`` true ->
-    NULL action and hidden; other rows dropped."""
+    """Uploaded claim rows -> claims; action whitespace stripped, case kept.
+
+    An accepted action makes a visible claim (``identified,recorded``
+    normalised), whatever ``not_me`` says; otherwise ``not_me`` true makes a
+    hidden claim without action; other rows are dropped."""
     from herbaria.functions import predicates as P
-    action = F.regexp_replace(F.lower(F.col("action")), r"\s+", "")
-    action = F.when(action == P.IDENTIFIED_RECORDED, F.lit(P.RECORDED_IDENTIFIED)).otherwise(action)
-    not_me = F.lower(F.trim(F.coalesce(F.col("not_me") if "not_me" in df.columns else F.lit(None), F.lit("")))) == "true"
-    out = df.select(F.col("gbifID").try_cast("bigint").alias("occurrence_id"), action.alias("action"),
-                    not_me.alias("not_me"))
-    out = out.filter(F.col("occurrence_id").isNotNull())
-    keep = out.filter(F.col("action").isin(P.ALL_ACTIONS) | F.col("not_me"))
-    return keep.select(F.lit(user_id).cast("bigint").alias("user_id"), "occurrence_id",
-                       F.when(F.col("not_me"), F.lit(None).cast("string")).otherwise(F.col("action")).alias("action"),
-                       (~F.col("not_me")).alias("visible"), F.lit(created_by).cast("bigint").alias("created_by"))
+    have = {c.lower() for c in df.columns}
+    text = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+    action = F.regexp_replace(text("action"), r"\s+", "")
+    claimed = F.coalesce(action.isin(P.ALL_ACTIONS), F.lit(False))
+    not_me = F.coalesce(F.lower(text("not_me")) == "true", F.lit(False))
+    rows = df.select(F.col("gbifID").try_cast("bigint").alias("occurrence_id"), action.alias("action"),
+                     claimed.alias("visible"), not_me.alias("not_me"))
+    named = (F.when(F.col("action") == P.IDENTIFIED_RECORDED, F.lit(P.RECORDED_IDENTIFIED))
+             .when(F.col("visible"), F.col("action")))
+    return (rows.filter(F.col("occurrence_id").isNotNull() & (F.col("visible") | F.col("not_me")))
+            .select(F.lit(user_id).cast("bigint").alias("user_id"), "occurrence_id", named.alias("action"), "visible",
+                    F.lit(created_by).cast("bigint").alias("created_by")))
 
 
 def scan_claim_upload(spark: SparkSession, path: str, user_id: int, created_by: int) -> DataFrame:
     """S8 from a CSV file (header required, ``gbifID`` required)."""
     df = spark.read.option("header", True).csv(path)
-    if "gbifID" not in df.columns:
+    if "gbifid" not in {c.lower() for c in df.columns}:
         raise ValueError("gbifID column is required")
     return claim_upload_rows(df, user_id, created_by)
 

@@ -97,3 +97,59 @@ def test_package_subsets(spark):
     a3 = A.attributions_table(m.occurrences, m.claims, m.users)
     a6 = A.missing_attributions_table(a3, m.occurrences, aggs.dataset_counters(m.occurrences, m.claims))
     assert a6.exceptAll(a3).count() == 0
+
+
+def test_same_family_skips_blank_names(spark):
+    rows = [(1, "Smith", "John"), (2, "Smith", "jane"), (3, "Smith", ""), (4, "Smith", "Mary"), (5, "", ""), (6, "", "")]
+    a = spark.createDataFrame(rows, "id long, family string, given string")
+    got = {(r.agent_id, r.other_agent_id) for r in J.same_family(a, first_initial=True).collect()}
+    assert got == {(1, 2), (2, 1)}
+    assert {r.agent_id for r in J.same_family(a).collect()} == {1, 2, 3, 4}
+
+
+def test_claim_pivot_merges_spellings_and_drops_rejections(spark):
+    from herbaria.operators import exports as K
+    claims = spark.createDataFrame(
+        [(7, 3, "recorded,identified", 2), (7, 1, "identified,recorded", 2), (7, 2, None, 2), (7, 4, "recorded", 2),
+         (7, 5, "recorded", 7), (8, 6, "identified", 2)],
+        "user_id long, occurrence_id long, action string, created_by long")
+    users = spark.createDataFrame([(7, "0000-0001-0000-0007", None), (8, None, "Q8")],
+                                  "id long, orcid string, wikidata string")
+    got = sorted(tuple(r) for r in K.claim_pivot(claims, users).collect())
+    assert got == [("0000-0001-0000-0007", "recorded", "[4]"), ("0000-0001-0000-0007", "recorded,identified", "[1,3]"),
+                   ("Q8", "identified", "[6]")]
+
+
+def test_where_conditions(spark):
+    import pytest
+
+    from herbaria.operators import filters as FL
+    occ = spark.createDataFrame([(1, "50%", "A"), (2, "50 m", "A"), (3, None, "B")],
+                                "gbifID long, recordedBy string, family string")
+    ids = lambda c: [r.gbifID for r in FL.where_conditions(occ, c).orderBy("gbifID").collect()]
+    assert ids('{"recordedBy": "50%"}') == [1]
+    assert ids('{"recordedBy LIKE ?": "50%"}') == [1, 2]
+    assert ids('{"recordedBy like ? " => "50%", "family": ["A", "B"]}') == [1, 2]
+    assert ids('{"recordedBy": null}') == [3]
+    for bad in ('{"gbifID": 1}', '{"nothing": 1}', "[1]", "{"):
+        with pytest.raises(ValueError):
+            FL.where_conditions(occ, bad)
+
+
+def test_claim_upload_prefers_the_action(spark):
+    from herbaria.sources import readers as R
+    rows = [("1", " recorded ", "true"), ("2", "identified, recorded", None), ("3", "Recorded", None),
+            ("4", None, "TRUE"), ("5", None, "false"), ("x", "recorded", None), ("6", "Recorded", "true")]
+    df = spark.createDataFrame(rows, "gbifid string, action string, not_me string")
+    got = sorted((r.occurrence_id, r.action, r.visible) for r in R.claim_upload_rows(df, 9, 5).collect())
+    assert got == [(1, "recorded", True), (2, "recorded,identified", True), (4, None, False), (6, None, False)]
+
+
+def test_name_variants_take_every_alias(spark):
+    from herbaria.operators import matching as T
+    names = "|".join(f"Alias Number{i}" for i in range(14))
+    u = spark.createDataFrame([(1, "Smith", "John", None, None, None, names)],
+                              "id long, family string, given string, particle string, label string, orcid string, "
+                              "other_names string")
+    assert T.name_variants(u).filter("kind = 'other'").count() == 14
+    assert T.name_variants(u, max_other_names=10).filter("kind = 'other'").count() == 10
