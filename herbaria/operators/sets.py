@@ -1,9 +1,9 @@
 """Set operations and de-duplication (X-series) and insert-ignore (M1).
 
-De-duplication uses a hash aggregate (``min`` of a struct that starts with the
-declared order), not a window: the aggregate combines map-side, so a key with
-millions of copies is reduced before the shuffle instead of being sorted in
-one task.
+De-duplication takes the ``min`` of a struct that starts with the declared
+order, not a window: the aggregate combines map-side, so a key with millions of
+copies is reduced before the shuffle. Spark plans it as two sort aggregates, so
+whole rows are sorted on both sides of the shuffle.
 """
 
 from __future__ import annotations

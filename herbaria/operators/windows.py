@@ -72,9 +72,10 @@ def sort_by_column(df: DataFrame, column: str | None, direction: str | None,
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page; size in 25/50/100/250 (else 25); the page is clamped to
-    the last page. The total is counted by Spark (one aggregate)."""
-    size = size if size in PAGE_SIZES else 25
+    """One page; size 25, 50, 100 or 250, others raise ValueError; the page is
+    clamped to the last page. The total is counted by Spark (one aggregate)."""
+    if size not in PAGE_SIZES:
+        raise ValueError(f"page size {size} is not one of {PAGE_SIZES}")
     total = df.count()
     last = max(1, -(-total // size))
     number = min(max(1, number), last)

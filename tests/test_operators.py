@@ -153,3 +153,11 @@ def test_name_variants_take_every_alias(spark):
                               "other_names string")
     assert T.name_variants(u).filter("kind = 'other'").count() == 14
     assert T.name_variants(u, max_other_names=10).filter("kind = 'other'").count() == 10
+
+
+def test_page_size_is_checked(spark):
+    import pytest
+    df = spark.range(60)
+    assert [r.id for r in N.page(df, [F.col("id")], 9, 25).collect()] == list(range(50, 60))
+    with pytest.raises(ValueError):
+        N.page(df, [F.col("id")], 1, 30)
