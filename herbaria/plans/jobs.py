@@ -72,19 +72,31 @@ def orphan_cleanup(claims: DataFrame, occurrences: DataFrame, users: DataFrame,
 
 
 def import_source_claims(occurrences: DataFrame, users: DataFrame, claims: DataFrame,
-                         destroyed: DataFrame) -> DataFrame:
+                         destroyed: DataFrame, authority_ids: DataFrame | None = None) -> DataFrame:
     """Source ids on occurrences -> people (P17) -> redirects followed,
     banned and bots skipped (M8) -> three-way roles (X4) -> insert-ignore (M1)
-    as claims made by the source agent."""
+    as claims made by the source agent.
+
+    ORCID and Wikidata ids are looked up as they are. Numbers of other
+    authorities count only through ``authority_ids`` (authority, id, wikidata);
+    without that table they name nobody. Local user ids are never matched."""
     from herbaria.functions import predicates as P
     from herbaria.operators import mutate as M
     ids = (occurrences.select(F.col("gbifID").alias("occurrence_id"),
                               S.classify_source_id("recordedByID").alias("r"),
                               S.classify_source_id("identifiedByID").alias("i")))
-    rec = ids.filter(F.col("r").isNotNull()).select("occurrence_id", F.col("r.id").alias("identifier"))
-    idn = ids.filter(F.col("i").isNotNull()).select("occurrence_id", F.col("i.id").alias("identifier"))
+
+    def named(source: str) -> DataFrame:
+        found = ids.filter(F.col(source).isNotNull()).select("occurrence_id", f"{source}.authority", f"{source}.id")
+        own = found.filter(F.col("authority").isin("orcid", "wikidata")).select("occurrence_id", F.col("id").alias("identifier"))
+        if authority_ids is None:
+            return own
+        mapped = found.join(authority_ids.select("authority", "id", F.col("wikidata").alias("identifier")), ["authority", "id"])
+        return own.unionByName(mapped.select("occurrence_id", "identifier"))
+
+    rec, idn = named("r"), named("i")
     redirects = M.resolve_redirects(destroyed)
-    lookup = (M.identifier_table(users).select("identifier", "user_id")
+    lookup = (M.identifier_table(users).filter("priority < 3").select("identifier", "user_id")
               .join(redirects.select("identifier"), "identifier", "left_anti"))
 
     def people(df):

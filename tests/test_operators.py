@@ -161,3 +161,18 @@ def test_page_size_is_checked(spark):
     assert [r.id for r in N.page(df, [F.col("id")], 9, 25).collect()] == list(range(50, 60))
     with pytest.raises(ValueError):
         N.page(df, [F.col("id")], 1, 30)
+
+
+def test_source_claims_need_the_authority(spark):
+    from herbaria.plans import jobs as B
+    occ = spark.createDataFrame(
+        [(1, "http://www.wikidata.org/entity/Q9", None), (2, "https://viaf.org/viaf/8", None), (3, None, "https://viaf.org/viaf/5")],
+        "gbifID long, recordedByID string, identifiedByID string")
+    users = spark.createDataFrame([(8, None, "Q8"), (9, None, "Q9")], "id long, orcid string, wikidata string")
+    claims = spark.createDataFrame([], "user_id long, occurrence_id long, action string, created_by long")
+    destroyed = spark.createDataFrame([], "identifier string, redirect_to string")
+    rows = lambda *a: sorted((r.user_id, r.occurrence_id) for r in
+                             B.import_source_claims(occ, users, claims, destroyed, *a).collect())
+    assert rows() == [(9, 1)]
+    known = spark.createDataFrame([("viaf", "5", "Q8")], "authority string, id string, wikidata string")
+    assert rows(known) == [(8, 3), (9, 1)]
