@@ -46,8 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again for the digest."""
-    ids = bpe.bpe_encode(_documents(docs), vocabulary())
-    return bpe.with_digests(bpe.bpe_decode(ids, vocabulary())).drop("decoded")
+    return bpe.with_digests(bpe.bpe_round_trip(_documents(docs), vocabulary())).drop("decoded")
 
 
 STAGES = [

@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -156,26 +156,25 @@ def _share(df: DataFrame, path: str) -> None:
         sc.addFile(path)
 
 
-def _per_text(df: DataFrame, out: T.StructField, fn) -> DataFrame:
-    """Append column ``out``, made by ``fn(record batch) -> array``; a clashing column is replaced."""
+def _per_text(df: DataFrame, made: list[tuple[T.StructField, Callable]]) -> DataFrame:
+    """Append the columns of ``made``, each by its ``fn(record batch so far) -> array``, in one Python worker.
+
+    Columns of the same names are replaced.
+    """
     small_batches(df.sparkSession)
-    df = df.drop(out.name)
-    schema = T.StructType([*df.schema.fields, out])
+    df = df.drop(*[field.name for field, _ in made])
+    schema = T.StructType([*df.schema.fields, *[field for field, _ in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, fn(batch)], names=[*batch.schema.names, out.name])
+            for field, fn in made:
+                batch = pa.RecordBatch.from_arrays([*batch.columns, fn(batch)], names=[*batch.schema.names, field.name])
+            yield batch
 
     return df.mapInArrow(run, schema)
 
 
-def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """Append the token ids of each whole text; null and empty texts get an empty array.
-
-    Other columns and repeated rows pass through; an empty table stays empty; a
-    column named like ``ids_col`` is replaced.
-    """
-    _share(df, vocab_path)
+def _encoding(vocab_path: str, text_col: str, ids_col: str) -> tuple[T.StructField, Callable]:
 
     def ids(batch: pa.RecordBatch) -> pa.Array:
         encoder = _encoder(vocab_path)
@@ -186,18 +185,39 @@ def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col:
         values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
         return pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets.tobytes())]), values)
 
-    return _per_text(df, T.StructField(ids_col, T.ArrayType(T.IntegerType())), ids)
+    return T.StructField(ids_col, T.ArrayType(T.IntegerType())), ids
 
 
-def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
-    """Append the text of each id array; a null array gives the empty text."""
-    _share(df, vocab_path)
+def _decoding(vocab_path: str, ids_col: str, text_col: str) -> tuple[T.StructField, Callable]:
 
     def texts(batch: pa.RecordBatch) -> pa.Array:
         encoder = _encoder(vocab_path)
         return pa.array([encoder.decode(x.values.to_pylist()) if x.is_valid else "" for x in batch.column(ids_col)], pa.string())
 
-    return _per_text(df, T.StructField(text_col, T.StringType()), texts)
+    return T.StructField(text_col, T.StringType()), texts
+
+
+def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+    """Append the token ids of each whole text; null and empty texts get an empty array.
+
+    Other columns and repeated rows pass through; an empty table stays empty; a
+    column named like ``ids_col`` is replaced.
+    """
+    _share(df, vocab_path)
+    return _per_text(df, [_encoding(vocab_path, text_col, ids_col)])
+
+
+def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
+    """Append the text of each id array; a null array gives the empty text."""
+    _share(df, vocab_path)
+    return _per_text(df, [_decoding(vocab_path, ids_col, text_col)])
+
+
+def bpe_round_trip(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids",
+                   decoded_col: str = "decoded") -> DataFrame:
+    """``bpe_encode`` and ``bpe_decode`` of its ids in one Python worker a task, which loads one vocabulary."""
+    _share(df, vocab_path)
+    return _per_text(df, [_encoding(vocab_path, text_col, ids_col), _decoding(vocab_path, ids_col, decoded_col)])
 
 
 def with_digests(df: DataFrame, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:

@@ -137,6 +137,8 @@ def test_bpe(spark, odd, none):
     t = Tokenizer.from_file(path)
     assert all(r.token_ids == t.encode(r.text or "", add_special_tokens=False).ids for r in out)
     assert bpe.bpe_encode(none, path).count() == 0
+    assert bpe.bpe_round_trip(none, path).count() == 0
+    assert sorted(bpe.bpe_round_trip(df, path).collect(), key=str) == sorted(out, key=str)
 
 
 def test_bpe_long_words_merge_alike():
