@@ -16,9 +16,9 @@ from herbaria.functions import scalars as S
 ISO = "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
 # Exported occurrence columns of a package (after gbifID).
 PACKAGE_OCCURRENCE_COLUMNS = [
-    "datasetKey", "occurrenceID", "dateIdentified", "decimalLatitude", "decimalLongitude", "country",
-    "countryCode", "eventDate", "year", "family", "identifiedBy", "institutionCode", "collectionCode",
-    "catalogNumber", "recordedBy", "scientificName", "typeStatus", "recordedByID", "identifiedByID",
+    "datasetKey", "license", "occurrenceID", "basisOfRecord", "dateIdentified", "decimalLatitude",
+    "decimalLongitude", "country", "countryCode", "eventDate", "year", "kingdom", "family", "identifiedBy",
+    "institutionCode", "collectionCode", "catalogNumber", "recordedBy", "scientificName", "typeStatus", "recordedByID", "identifiedByID",
 ]
 
 
@@ -31,14 +31,19 @@ def claimed_pairs(occurrences: DataFrame, claims: DataFrame) -> DataFrame:
 
 def occurrences_table(occurrences: DataFrame, claims: DataFrame) -> DataFrame:
     """A1."""
-    pairs = claimed_pairs(occurrences, claims).select(F.col("occurrence_id").alias("gbifID"))
-    return occurrences.join(pairs, "gbifID", "left_semi").select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS)
+    vis = claims.filter(P.vis()).select(F.col("occurrence_id").alias("gbifID"))
+    return occurrences.join(vis, "gbifID", "left_semi").select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS)
+
+
+def _in_datasets(claims: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Visible claims with the datasetKey of their occurrence."""
+    keys = occurrences.select("datasetKey", F.col("gbifID").alias("occurrence_id"))
+    return claims.filter(P.vis()).join(keys, "occurrence_id")
 
 
 def users_table(occurrences: DataFrame, claims: DataFrame, users: DataFrame) -> DataFrame:
     """A2: public people with a visible claim in the dataset; aliases split on pipe."""
-    pairs = claimed_pairs(occurrences, claims)
-    people = (claims.filter(P.vis()).select("occurrence_id", "user_id").join(pairs, "occurrence_id")
+    people = (_in_datasets(claims.select("occurrence_id", "user_id", "visible"), occurrences)
               .select("datasetKey", "user_id").distinct())
     u = users.filter(F.col("is_public")).select(
         F.col("id").alias("user_id"), "family", "given", "orcid", "wikidata",
@@ -50,8 +55,7 @@ def users_table(occurrences: DataFrame, claims: DataFrame, users: DataFrame) ->
 
 def attributions_table(occurrences: DataFrame, claims: DataFrame, users: DataFrame) -> DataFrame:
     """A3: claim provenance; the person URI goes to the column of its role."""
-    pairs = claimed_pairs(occurrences, claims)
-    c = claims.filter(P.vis()).join(pairs, "occurrence_id")
+    c = _in_datasets(claims, occurrences)
     person = users.select(F.col("id").alias("user_id"), S.person_uri().alias("uri"))
     names = S.user_names()
     claimant = users.select(F.col("id").alias("created_by"), names["viewname"].alias("createdName"),
