@@ -2,9 +2,9 @@
 
 Voters are lexicon entries (words and word beginnings) and patterns; each votes
 "toxic", "clean" or abstains. Lexicon voters are mined: the document counts of
-all words and word beginnings are taken over all labelled learning rows, each
-group of near copies counted about once, and entries that stand significantly
-more in toxic documents become voters, beside a seed list.
+all words and word beginnings are taken over all labelled learning rows, a row
+weighing 1 / size of its group of verified near copies of one label, and entries
+that stand significantly more in toxic documents become voters, beside a seed list.
 
 A generative label model estimates from the votes how often each voter fires on
 toxic and on clean documents (expectation maximisation, labelled rows anchor the
@@ -20,6 +20,7 @@ The label model and the classifier are fitted on the driver on a bounded sample
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from herbaria.llm.common import RollingHash, cut, mix64, norm_words, shingle_hashes, small_batches, with_row_key
+from herbaria.llm.components import connected_components
 
 #: Bounds, documented parameters: rows of the fitting sample, lexicon voters.
 FIT_ROWS, MAX_VOTERS = 12_000, 600
 #: An entry is mined if this share of its documents is toxic and the log likelihood gain reaches the evidence.
 MIN_SHARE, MIN_EVIDENCE = 0.92, 12.0
-#: Near copies share the smallest shingle hash under one of these seeds.
-COPY_SEEDS = (1, 2, 3, 4)
+#: Rows of one label are near copies from this five-word Jaccard on; candidates share two smallest hashes in one of the bands.
+COPY_SIMILARITY, COPY_BANDS = 0.8, 8
 PREFIXES = (4, 5, 6)
 CUT = 0.3
 
@@ -70,36 +72,75 @@ def word_entries(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def one_per_copy_group(rows: DataFrame) -> DataFrame:
-    """Rows (row_key, text, ...) without near copies: a row stays if it is the first under each of its copy keys."""
+def word_shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the five-word runs of a text."""
+    return np.unique(shingle_hashes(_HASH, *norm_words(text), 5))
+
+
+def copy_weights(rows: DataFrame) -> DataFrame:
+    """Append weight to rows (row_key, text, toxic): 1 / size of the row's group of near copies; no row is dropped.
+
+    Copies carry the same label and are linked if their five-word Jaccard is
+    ``COPY_SIMILARITY``, verified on the texts. A link that is not found leaves a
+    weight too large. Texts without words are no copies of each other.
+    """
+    small_batches(rows.sparkSession)  # a verified pair holds two texts
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            whole, out = [], []
             for text in pdf["text"].tolist():
-                h = shingle_hashes(_HASH, *norm_words(text), 5)
-                out.append([int(mix64(h, s).min()) >> 1 if len(h) else s for s in COPY_SEEDS])
-            yield pd.DataFrame({"row_key": pdf["row_key"], "keys": out})
-
-    marked = rows.select("row_key", "text").mapInPandas(keys, "row_key long, keys array<long>")
-    each = cut(marked.select("row_key", F.posexplode("keys").alias("seed", "copy_key")), "copy_keys")
-    first = each.groupBy("seed", "copy_key").agg(F.min("row_key").alias("first"))
-    later = each.join(first, ["seed", "copy_key"]).filter("row_key <> first").select("row_key").distinct()
-    return rows.join(later, "row_key", "left_anti")
+                words = norm_words(text)
+                h = shingle_hashes(_HASH, *words, 5)
+                least = np.array([mix64(h, s).min() for s in range(2 * COPY_BANDS)] if len(h) else [], np.uint64)
+                whole.append(hashlib.blake2b(words[0], digest_size=16).digest())
+                out.append((mix64(least[::2] ^ (least[1::2] >> np.uint64(1))) >> np.uint64(1)).tolist())
+            yield pd.DataFrame({"row_key": pdf["row_key"], "toxic": pdf["toxic"], "whole": whole, "keys": out})
+
+    @F.pandas_udf(T.BooleanType())
+    def copies(left: pd.Series, right: pd.Series) -> pd.Series:
+        def alike(a: str, b: str) -> bool:
+            x, y = word_shingles(a), word_shingles(b)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= COPY_SIMILARITY * (len(x) + len(y) - both)
+        return pd.Series([alike(a, b) for a, b in zip(left.tolist(), right.tolist())], dtype=bool)
+
+    label = (F.col("toxic") == 1).alias("toxic")
+    marked = cut(rows.select("row_key", label, "text").mapInPandas(
+        keys, "row_key long, toxic boolean, whole binary, keys array<long>"), "copy_keys")
+    # Equal texts collapse first, so a text that is repeated often meets its near copies once.
+    heads = cut(marked.filter(F.size("keys") > 0).groupBy("toxic", "whole")
+                .agg(F.min("row_key").alias("node"), F.first("keys").alias("keys"), F.count("*").alias("n")), "copy_heads")
+    each = heads.select("node", "toxic", F.posexplode("keys").alias("band", "copy_key"))
+    first = each.groupBy("toxic", "band", "copy_key").agg(F.min("node").alias("other"))
+    pairs = each.join(first, ["toxic", "band", "copy_key"]).filter("node <> other").select("node", "other").distinct()
+    text = rows.select("row_key", "text")
+    links = cut(pairs.join(text.toDF("node", "left"), "node").join(text.toDF("other", "right"), "other")
+                .filter(copies("left", "right")).select("node", "other"), "copy_links")
+    found = connected_components(links, "node", "other")
+    grouped = heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    size = grouped.groupBy("component").agg(F.sum("n").alias("size"))
+    weights = grouped.join(size, "component").select("toxic", "whole", (1 / F.col("size")).alias("weight"))
+    weights = marked.join(weights, ["toxic", "whole"], "left").select("row_key", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    return rows.join(weights, "row_key")
 
 
 def count_entries(labelled: DataFrame) -> DataFrame:
-    """Documents per entry and class, over all labelled rows (text, toxic): (entry, toxic_docs, clean_docs)."""
+    """Weight of documents per entry and class, over all labelled rows (text, toxic, weight): (entry, toxic_docs, clean_docs)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tox, clean = Counter(), Counter()
-            for text, toxic in zip(pdf["text"].tolist(), pdf["toxic"].tolist()):
-                (tox if toxic else clean).update(entries(text))
+            for text, toxic, weight in zip(pdf["text"].tolist(), pdf["toxic"].tolist(), pdf["weight"].tolist()):
+                counts = tox if toxic else clean
+                for e in entries(text):
+                    counts[e] += weight
             keys = list(tox.keys() | clean.keys())
-            yield pd.DataFrame({"entry": keys, "toxic_docs": [tox[k] for k in keys], "clean_docs": [clean[k] for k in keys]})
+            if keys:  # Arrow takes an empty column for numbers
+                yield pd.DataFrame({"entry": keys, "toxic_docs": [float(tox[k]) for k in keys],
+                                    "clean_docs": [float(clean[k]) for k in keys]})
 
-    return (labelled.select("text", "toxic").mapInPandas(count, "entry string, toxic_docs long, clean_docs long")
+    return (labelled.select("text", "toxic", "weight").mapInPandas(count, "entry string, toxic_docs double, clean_docs double")
             .groupBy("entry").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs")))
 
 
@@ -215,9 +256,10 @@ def train(labelled: DataFrame) -> ToxicityModel:
     Without any labelled row, or with one class only, the seed list alone is used.
     """
     rows = cut(with_row_key(labelled.select("key", "text", "toxic").filter("toxic is not null"), "row_key"), "labelled")
-    rows = cut(one_per_copy_group(rows), "learning")
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
-    base = totals.get(True, 0) / max(1, sum(totals.values()))
+    rows = cut(copy_weights(rows), "learning")
+    by_class = rows.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()
+    totals = {r["toxic"]: r["n"] for r in by_class}
+    base = sum(r["weight"] for r in by_class if r["toxic"]) / max(1.0, sum(r["weight"] for r in by_class))
     if not 0 < base < 1:
         return ToxicityModel({e: 4.0 for e in SEEDS}, -3.0, list(SEEDS), base)
     docs = F.col("toxic_docs") + F.col("clean_docs")

@@ -116,6 +116,18 @@ def test_toxicity(spark, odd, none):
     assert bad.predicted == 1
 
 
+def test_toxicity_weighs_verified_copies_only(spark):
+    """Documents that share a passage, or have no words, all count in full; near copies of one label share one weight."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"d{d}n{i}" for i in range(120)]) for d in range(12)]  # Jaccard about 0.2
+    copy = texts[0] + " tail"
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(20, copy, 1), (21, copy, 0), (22, "", 0), (23, None, 0), (24, " ", 0)]
+    frame = cut(spark.createDataFrame(rows, "row_key long, text string, toxic int"), "in")
+    got = {r.row_key: r.weight for r in toxicity.copy_weights(frame).collect()}
+    assert got == {k: 0.5 if k in (0, 20) else 1.0 for k, _, _ in rows}
+    assert toxicity.train(frame.withColumnRenamed("row_key", "key")).prior == pytest.approx(12 / 16)
+
+
 def test_label_model_discounts_twins():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.2
