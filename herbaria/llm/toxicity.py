@@ -11,11 +11,14 @@ toxic and on clean documents (expectation maximisation, labelled rows anchor the
 classes), and the correlations that remain between voters given the class: a
 voter's evidence is divided by its effective number of correlated twins, so ten
 beginnings of one word do not count ten times. Its posterior labels train a
-linear classifier on the lexicon's words and word beginnings, which scores every
-document; neutral words are no features, so long texts gather no noise.
+linear classifier on all of the lexicon's words and word beginnings and on the
+patterns, which scores every document; neutral words are no features, so long
+texts gather no noise.
 
 The label model and the classifier are fitted on the driver on a bounded sample
-(``FIT_ROWS`` rows, taken by hash); counts cover all labelled learning rows.
+(``FIT_ROWS`` rows, taken by hash); counts cover all labelled learning rows, and
+an entry that the sample misses takes its weight from them. The lexicon has no
+bound but the vocabulary of toxic texts; driver and tasks hold it as one dict.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ from pyspark.sql import types as T
 from herbaria.llm.common import RollingHash, cut, mix64, norm_words, shingle_hashes, small_batches, with_row_key
 from herbaria.llm.components import connected_components
 
-#: Bounds, documented parameters: rows of the fitting sample, lexicon voters.
-FIT_ROWS, MAX_VOTERS = 12_000, 600
-#: An entry is mined if this share of its documents is toxic and the log likelihood gain reaches the evidence.
-MIN_SHARE, MIN_EVIDENCE = 0.92, 12.0
+#: Bounds, documented parameters: rows of the fitting sample, projections of the voters' correlations.
+FIT_ROWS, SKETCH = 12_000, 256
+#: An entry is mined if more than this share of its documents is toxic, at this many standard errors.
+MIN_SHARE, SURE = 0.5, 1.96
 #: Rows of one label are near copies from this five-word Jaccard on; candidates share two smallest hashes in one of the bands.
 COPY_SIMILARITY, COPY_BANDS = 0.8, 8
 PREFIXES = (4, 5, 6)
@@ -150,17 +153,37 @@ def fired(text: str | None, at: dict[str, int]) -> list[int]:
     return hits + [len(at) + i for i, p in enumerate(_PATTERNS.values()) if p.search(text or "")]
 
 
-def votes(rows: list[list[int]], n_entries: int) -> np.ndarray:
-    """Votes of every voter on every row of fired voters: 1 toxic, -1 clean, 0 abstains.
+@dataclass
+class Votes:
+    """Votes that do not abstain, as (row, voter) pairs; rows with a vote for toxic."""
+
+    owner: np.ndarray
+    cols: np.ndarray
+    voters: int
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, v: "Votes | np.ndarray") -> "Votes":
+        return v if isinstance(v, Votes) else cls(*np.nonzero(v), v.shape[1], (v == 1).any(axis=1))
+
+    def by_voter(self, x: np.ndarray) -> np.ndarray:
+        """Sum of a value of the rows over the votes of each voter."""
+        return np.bincount(self.cols, x[self.owner], self.voters)
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        """Sum of a value of the voters over the votes on each row."""
+        return np.bincount(self.owner, x[self.cols], len(self.toxic))
+
+
+def votes(rows: list[list[int]], n_entries: int) -> Votes:
+    """Votes of every voter on every row of fired voters: toxic, clean or abstaining.
 
     Two more voters speak for clean: no entry fired, and no pattern either.
     """
-    out = np.zeros((len(rows), n_entries + len(_PATTERNS) + 2), np.int8)
-    for r, hits in enumerate(rows):
-        out[r, hits] = 1
-        out[r, -2] = 0 if any(h < n_entries for h in hits) else -1
-        out[r, -1] = 0 if hits else -1
-    return out
+    n = n_entries + len(_PATTERNS)
+    cast = [[*hits, *([n] if all(h >= n_entries for h in hits) else []), *([] if hits else [n + 1])] for hits in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in cast])
+    return Votes(owner, np.fromiter((c for r in cast for c in r), np.int64, len(owner)), n + 2, np.array([bool(h) for h in rows]))
 
 
 @dataclass
@@ -172,48 +195,63 @@ class LabelModel:
     on_clean: np.ndarray = field(default_factory=lambda: np.empty(0))
     twins: np.ndarray = field(default_factory=lambda: np.empty(0))
 
-    def posterior(self, v: np.ndarray) -> np.ndarray:
-        fired = v != 0
+    def posterior(self, v: Votes | np.ndarray) -> np.ndarray:
         pro = np.log(self.on_toxic / self.on_clean) / self.twins
         con = np.log((1 - self.on_toxic) / (1 - self.on_clean)) / self.twins
-        z = np.log(self.prior / (1 - self.prior)) + fired @ pro + (~fired) @ con
+        z = np.log(self.prior / (1 - self.prior)) + con.sum() + Votes.of(v).by_row(pro - con)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def fit(self, v: np.ndarray, known: np.ndarray, rounds: int = 12) -> "LabelModel":
+    def fit(self, v: Votes | np.ndarray, known: np.ndarray, rounds: int = 12) -> "LabelModel":
         """``known``: 1 or 0 for labelled rows, NaN for others; they start from the votes and follow the model."""
-        fired = (v != 0).astype(np.float64)
+        v = Votes.of(v)
         labelled = ~np.isnan(known)
-        q = np.where(labelled, known, (v == 1).any(axis=1) * 0.9 + 0.02)
-        self.twins = np.ones(v.shape[1])
+        q = np.where(labelled, known, v.toxic * 0.9 + 0.02)
+        self.twins = np.ones(v.voters)
         for step in range(rounds):
             self.prior = float(np.clip(q.mean(), 1e-3, 0.999))
-            self.on_toxic = (q @ fired + 0.1) / (q.sum() + 1)
-            self.on_clean = ((1 - q) @ fired + 0.1) / ((1 - q).sum() + 1)
+            self.on_toxic = (v.by_voter(q) + 0.1) / (q.sum() + 1)
+            self.on_clean = (v.by_voter(1 - q) + 0.1) / ((1 - q).sum() + 1)
             if step in (1, rounds // 2):
-                self.twins = self._correlations(fired, q)
+                self.twins = self._correlations(v, q)
             p = self.posterior(v)
             # A label is strong but not certain evidence, so single mislabelled rows bend nothing.
             q = np.where(labelled, 0.95 * known + 0.05 * p, p)
         return self
 
-    def _correlations(self, fired: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Effective number of twins: sum of squared correlations that remain given the class."""
-        rest = fired - np.outer(q, self.on_toxic) - np.outer(1 - q, self.on_clean)
-        cov = rest.T @ rest
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        return np.maximum(1.0, ((cov / scale[:, None] / scale[None, :]) ** 2).sum(axis=1))
-
-
-def fit_linear(rows: list[list[int]], target: np.ndarray, n: int, rounds: int = 400, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse 0/1 features by Adam on soft labels."""
+    def _correlations(self, v: Votes, q: np.ndarray) -> np.ndarray:
+        """Effective number of twins: sum of squared correlations that remain given the class.
+
+        Over ``SKETCH`` voters the sum is estimated by as many random projections, so
+        memory follows the number of voters and not its square.
+        """
+        a, b, r = self.on_toxic, self.on_clean, 1 - q
+        square = (a * a * (q @ q) + 2 * a * b * (q @ r) + b * b * (r @ r)
+                  - 2 * (a * v.by_voter(q) + b * v.by_voter(r)) + v.by_voter(np.ones(len(q))))
+        scale = np.sqrt(np.maximum(square, 1e-9))
+        rng = np.random.default_rng(0)
+        total = np.zeros(v.voters)
+        for k in range(min(v.voters, SKETCH)):
+            if v.voters <= SKETCH:
+                g = np.zeros(v.voters)
+                g[k] = 1 / scale[k]
+            else:
+                g = rng.choice((-1.0, 1.0), v.voters) / np.sqrt(SKETCH) / scale
+            y = v.by_row(g) - q * (a @ g) - r * (b @ g)
+            total += ((v.by_voter(y) - a * (q @ y) - b * (r @ y)) / scale) ** 2
+        return np.maximum(1.0, total)
+
+
+def fit_linear(rows: list[list[int]], target: np.ndarray, start: np.ndarray, rounds: int = 400, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse 0/1 features by Adam on soft labels; weights are drawn to ``start`` and stay there without rows."""
+    n = len(start)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.fromiter((c for r in rows for c in r), np.int64, len(owner))
-    x = np.zeros(n + 1)  # the last one is the bias
+    x = np.append(start, 0.0)  # the last one is the bias
     m, s = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
         z = np.bincount(owner, x[cols], len(rows)) + x[n]
         g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        grad = np.append(np.bincount(cols, g[owner], n) + penalty * len(rows) * x[:n], g.sum())
+        grad = np.append(np.bincount(cols, g[owner], n) + penalty * len(rows) * (x[:n] - start), g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         x -= 0.15 / (1 + step / 200) * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
     return x[:n], float(x[n])
@@ -221,7 +259,7 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, n: int, rounds: int =
 
 @dataclass
 class ToxicityModel:
-    """Weights of the linear classifier by entry; bounded by ``MAX_VOTERS`` and the seeds."""
+    """Weights of the linear classifier by entry, and by name in angle brackets for patterns."""
 
     weights: dict[str, float]
     bias: float
@@ -231,6 +269,7 @@ class ToxicityModel:
     def scorer(self):
         """A function text -> score; a word's weight is summed once and kept."""
         weights, known = self.weights, {}
+        patterns = [(p, weights[f"<{k}>"]) for k, p in _PATTERNS.items() if weights.get(f"<{k}>")]
 
         def score(text: str | None) -> float:
             words = set(_WORD.findall((text or "").lower()))
@@ -245,6 +284,9 @@ class ToxicityModel:
                     if e not in seen:
                         seen.add(e)
                         z += weights[e]
+            for p, w in patterns:
+                if p.search(text or ""):
+                    z += w
             return 1 / (1 + float(np.exp(-min(max(z, -40.0), 40.0))))
 
         return score
@@ -264,11 +306,15 @@ def train(labelled: DataFrame) -> ToxicityModel:
         return ToxicityModel({e: 4.0 for e in SEEDS}, -3.0, list(SEEDS), base)
     docs = F.col("toxic_docs") + F.col("clean_docs")
     share = F.col("toxic_docs") / docs
-    evidence = F.col("toxic_docs") * F.log(share / base)
-    mined = (count_entries(rows).filter((share >= MIN_SHARE) & (evidence >= MIN_EVIDENCE))
-             .orderBy(evidence.desc(), "entry").limit(MAX_VOTERS).collect())  # at most MAX_VOTERS rows
-    lexicon = list(dict.fromkeys([*SEEDS, *(r["entry"] for r in mined)]))
+    # Lower end of Wilson's interval of the toxic share; it depends on the entry's own counts only.
+    z2 = SURE * SURE
+    least = (share + z2 / (2 * docs) - SURE * F.sqrt(share * (1 - share) / docs + z2 / (4 * docs * docs))) / (1 + z2 / docs)
+    mined = count_entries(rows).filter(least >= MIN_SHARE).collect()  # follows the vocabulary of toxic texts
+    odds = {r["entry"]: (r["toxic_docs"] + 0.5) / (r["clean_docs"] + 0.5) * (1 - base) / base for r in mined}
+    lexicon = list(dict.fromkeys([*SEEDS, *sorted(odds)]))
     at = {e: i for i, e in enumerate(lexicon)}
+    # Entries that the sample misses keep the evidence of all rows, shared with the other entries of the word.
+    start = np.array([np.log(odds.get(e, 1.0)) / len(word_entries(e.replace("*", "."))) for e in lexicon] + [0.0] * len(_PATTERNS))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def fire(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -282,19 +328,21 @@ def train(labelled: DataFrame) -> ToxicityModel:
     known = np.array([float(r["toxic"]) for r in sample])
     if not 0 < known.sum() < len(known):
         return ToxicityModel({e: 4.0 for e in SEEDS}, -3.0, lexicon, base)
-    v = votes([r["hits"] for r in sample], len(lexicon))
+    hits = [r["hits"] for r in sample]
+    v = votes(hits, len(lexicon))
     target = LabelModel().fit(v, known).posterior(v)
-    w, b = fit_linear([np.flatnonzero(r[:len(lexicon)]).tolist() for r in v], target, len(lexicon))
+    w, b = fit_linear(hits, target, start)
     # The sample holds the classes in other shares than the learning rows.
     b += float(np.log(base / (1 - base)) - np.log(known.mean() / (1 - known.mean())))
-    return ToxicityModel({e: float(x) for e, x in zip(lexicon, w) if abs(x) > 0.02}, b, lexicon, base)
+    names = [*lexicon, *(f"<{k}>" for k in _PATTERNS)]
+    return ToxicityModel({e: float(x) for e, x in zip(names, w) if x}, b, lexicon, base)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """Append score (0 to 1) and predicted (1 if score >= 0.3); null and empty texts get the bias only."""
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_VOTERS entries and the seeds
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the mined lexicon
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

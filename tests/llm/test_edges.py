@@ -128,6 +128,30 @@ def test_toxicity_weighs_verified_copies_only(spark):
     assert toxicity.train(frame.withColumnRenamed("row_key", "key")).prior == pytest.approx(12 / 16)
 
 
+def test_toxicity_keeps_every_mined_entry(spark):
+    """More sure entries than the old bound of 600, some standing in clean documents too: each marks a text by itself."""
+    words = [f"bad{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(700)]
+    rows = [(i, f"t{chr(97 + i % 26)} {words[i % 700]} {chr(97 + i // 700)}{chr(97 + i % 23)}", 1) for i in range(8 * 700)]
+    rows += [(10_000 + i, f"fine {chr(97 + i % 26)} {chr(97 + i // 26 % 26)} {chr(97 + i // 676)}", 0) for i in range(9_000)]
+    rows += [(30_000 + i, f"fine {w} again", 0) for i, w in enumerate(words[:50])]  # a toxic share of 8 / 9
+    model = toxicity.train(cut(spark.createDataFrame(rows, "key long, text string, toxic int"), "in"))
+    score = model.scorer()
+    assert set(words) <= set(model.lexicon) and min(score(w) for w in words) >= toxicity.CUT > score("fine again")
+    shout = toxicity.ToxicityModel({"<exclaim>": 3.0}, -2.0, [], 0.1).scorer()
+    assert shout("so!!!") > 0.5 > shout("so")
+
+
+def test_sketched_correlations_are_near_the_exact_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    y = rng.random(3000) < 0.3
+    one = np.where(y, rng.random(3000) < 0.6, rng.random(3000) < 0.1)
+    v = np.stack([one] * 6 + [rng.random(3000) < 0.2 for _ in range(60)], axis=1).astype(np.int8)
+    exact = toxicity.LabelModel().fit(v, y.astype(float)).twins
+    monkeypatch.setattr(toxicity, "SKETCH", 64)
+    sketched = toxicity.LabelModel().fit(v, y.astype(float)).twins
+    assert np.abs(exact[:6] - 6).max() < 1 and np.abs(sketched / exact - 1).max() < 0.8 and abs(np.mean(sketched / exact) - 1) < 0.2
+
+
 def test_label_model_discounts_twins():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.2
