@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herbaria.llm import bpe, embedding_dedup, fingerprints, line_dedup, mixing, pii, simhash, substring, toxicity, warc
+from herbaria.llm import (bpe, embedding_dedup, fingerprints, hard_negatives, line_dedup, mixing, packing, pii, runs, simhash,
+                          substring, toxicity, warc)
 from herbaria.llm.common import cut, scratch, table
-from herbaria.llm.oracle import MIXING_SQL, WARC_SQL
+from herbaria.llm.oracle import HARD_NEGATIVES_SQL, MIXING_SQL, WARC_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -78,8 +79,49 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_chain(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, below each of its positives."""
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, shifted)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of about a tenth of the documents repeat one stretch of their words to the end."""
+    words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(ws: Column) -> Column:
+        a = g % F.size(ws)
+        p = 1 + F.floor((F.size(ws) - a) / (3 + g % 8))
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + (i - a) % p).cast("int")))), " ")
+
+    planted = F.transform(F.array(words), repeat)[0]  # one lambda variable holds the words, so they are split once
+    return docs.withColumn("text", F.when(h % 10 == 0, F.coalesce(planted, F.col("text"))).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and the text without their repeats."""
+    docs = planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = runs.periodic_runs(docs, min_length=6, repeats=4)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best_run.start", "best_run.length", "best_run.period",
+        F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_line_dedup, op2_embedding_dedup, op3_toxicity, op4_bpe, op5_mixing, op6_simhash_dedup, op7_warc, op8_pii,
-    op9_substring_dedup, op10_fingerprints)}
+    op9_substring_dedup, op10_fingerprints, op11_hard_negatives, op12_periodic_runs, op13_packing)}
 
-ORACLE: dict[str, str] = {"op5_mixing": MIXING_SQL, "op7_warc": WARC_SQL}
+ORACLE: dict[str, str] = {"op5_mixing": MIXING_SQL, "op7_warc": WARC_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
