@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +31,10 @@ WINDOW = 2048
 #: Ids of one shard (the work of one task) and of one index block in it; no result is cut by them.
 SHARD_IDS = 6_000_000
 BLOCK_IDS, BLOCK_DOCS = 1_500_000, 2048
-#: Words whose ids a worker keeps; results do not depend on it.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps, and bytes of text it encodes at a time; results do not depend on them.
+CACHE_WORDS, TEXT_BYTES = 2_000_000, 16 << 20
 K1, B = 1.2, 0.75
+HASHES = 4
 
 
 def id_type(vocab_path: str, end_id: int) -> str:
@@ -46,40 +47,81 @@ def id_type(vocab_path: str, end_id: int) -> str:
 class WordTokens:
     """Ids of texts by a vocabulary whose words never reach over white space.
 
-    The file drops white space, so a text's ids are those of its words in a row,
-    and the ids of a word seen before come from a cache.
+    The file drops white space, so a text's ids are those of its words in a row.
+    The words of many texts are numbered at once; words not met before are encoded
+    by the tokenizers library, the ids of all others are copied from a table.
     """
 
     def __init__(self, path: str, kind: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.no_truncation()
-        self.encoder.no_padding()
-        self.code = {"<u2": "H", "<u4": "I"}[kind]
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Packed ids of each text and the end id; a null text has the end id alone."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        end, out = self._pack([end_id]), []
-        for t in texts:
-            words = t.encode("utf-8").split() if t else []
-            parts = list(map(self.cache.get, words))
-            if None in parts:
-                at = [i for i, p in enumerate(parts) if p is None]
-                new = list({words[i] for i in at})
-                made = self.encoder.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-                self.cache.update(zip(new, [self._pack(e.ids) for e in made]))
-                for i in at:
-                    parts[i] = self.cache[words[i]]
-            out.append(b"".join(parts) + end)
-        return out
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
+        # words of ASCII letters need no more than lower case: the same model without the rest
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        for encoder in (self.encoder, self.plain):
+            encoder.no_truncation()
+            encoder.no_padding()
+        vocab = self.encoder.get_vocab()
+        self.kind, self.ends = kind, np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.starts, self.sizes = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, self.kind)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words and append them to the table in their order."""
+        groups: tuple[list[int], ...] = ([], [], [], [], [])  # ASCII letters, with a stop; letters, with a stop; others
+        for i, w in enumerate(words):
+            stop = w[-1:] in ".,;:!?" and len(w) > 1
+            kind = 4 if not (w[:-1] if stop else w).isalpha() else 2 * (not w.isascii()) + stop
+            groups[kind].append(i)
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        for kind, at in enumerate(groups):
+            ids, n = self._encoded([words[i] for i in at], kind)
+            starts[at], sizes[at] = len(self.ids) + np.cumsum(n) - n, n
+            self.ids = np.concatenate((self.ids, ids))
+        self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
+
+    def _encoded(self, words: list[str], kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one kind in a row, and the number of ids of each.
+
+        Words of letters, or of letters and a stop, are encoded as one text. They
+        make at least one and two words of the model each, so if the ends of words
+        among the ids are as many as that, every word's ids lie between them.
+        """
+        if words and kind < 4:
+            parts = 1 + kind % 2
+            texts = words if kind > 1 else [w.lower() for w in words] if parts == 1 else [f"{w[:-1].lower()} {w[-1]}" for w in words]
+            encoder = self.encoder if kind > 1 else self.plain
+            ids = np.array(encoder.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == parts * len(words):
+                return ids, np.diff(ends[parts - 1:: parts], prepend=0)
+        found = [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], self.kind), np.array([len(ids) for ids in found], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids begin (one more entry: the end)."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        numbered = words.values.dictionary_encode()
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        at = pc.index_in(numbered.dictionary, value_set=self.known)
+        fresh = numbered.dictionary.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = len(self.known) + np.arange(len(fresh))
+        self.learn(fresh.to_pylist())
+        self.known = pa.concat_arrays([self.known, fresh])
+        at = at[numbered.indices.to_numpy()]
+        sizes = self.sizes[at]
+        place = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.ids[np.repeat(self.starts[at] - place[:-1], sizes) + np.arange(place[-1])]
+        return ids, place[words.offsets.to_numpy()]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -91,65 +133,112 @@ def _tokens(name: str, kind: str) -> WordTokens:
     return _loaded[name + kind]
 
 
-def drops_white_space(vocab_path: str) -> bool:
-    """True if the vocabulary's pre-tokenizer removes all white space between words."""
+def check_vocabulary(vocab_path: str) -> None:
+    """Raise if words cannot be encoded one by one: white space must be dropped, letters only lower-cased."""
     with open(vocab_path, encoding="utf-8") as f:
-        pre = json.load(f).get("pre_tokenizer") or {}
-    return any(step.get("type") == "Split" and step.get("behavior") == "Removed" and step.get("invert") and "\\s" in str(step.get("pattern"))
-               for step in pre.get("pretokenizers", [pre]))
+        spec = json.load(f)
+    normal = [step["type"] for step in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    drops = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+    if normal != ["NFC", "Replace", "Lowercase"] or not drops or spec["model"].get("end_of_word_suffix") != "</w>":
+        raise ValueError("the vocabulary must lower-case words and drop white space, so that words can be encoded one by one")
 
 
-def order_key(terms: np.ndarray) -> int:
-    """Four 15-bit min-hashes of a document's distinct ids in one number: alike documents sort near."""
-    key = 0
-    for seed in range(4):
-        key = key << 15 | int(mix64(terms.astype(np.uint64), seed + 1).min() >> np.uint64(49))
-    return key
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Arrow binary values of the slices of ``values`` between consecutive ``starts``."""
+    offsets = (starts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _slices(column: pa.Array, kind: str) -> list[np.ndarray]:
+    """The ids of each row of a binary column, without copies."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
+    return [data[a:b].view(kind) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
 def tokenize(df: DataFrame, vocab_path: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """Replace ``text_col`` by ids (packed, see ``id_type``) and pack_key, the place in the shard order."""
-    if not drops_white_space(vocab_path):
-        raise ValueError("the vocabulary must drop white space, so that words can be encoded one by one")
+    """Replace ``text_col`` by ids (packed, see ``id_type``) and pack_key, the place in the shard order.
+
+    pack_key is four min-hashes of the ids in one number, so that alike documents
+    sort near. Each task adds a last row with is_count true: its ids are the
+    numbers of the task's documents that hold each id (packed 64-bit), pack_key the
+    number of its documents.
+    """
+    check_vocabulary(vocab_path)
     sc, name = df.sparkSession.sparkContext, vocab_path.rsplit("/", 1)[-1]
     if not any(f.rsplit("/", 1)[-1] == name for f in sc.listFiles):
         sc.addFile(vocab_path)
     small_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name != text_col]
-    schema = T.StructType([*kept, T.StructField("ids", T.BinaryType()), T.StructField("pack_key", T.LongType())])
+    kept = [T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name != text_col]  # null in the row of counts
+    schema = T.StructType([*kept, T.StructField("ids", T.BinaryType()), T.StructField("pack_key", T.LongType()),
+                           T.StructField("is_count", T.BooleanType())])
     kind = id_type(vocab_path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(name, kind)
+        n_ids = max(len(tokens.ends), end_id + 1)
+        hashes = [(mix64(np.arange(n_ids, dtype=np.uint64), seed + 1) >> np.uint64(49)).astype(np.uint16) for seed in range(HASHES)]
+        counts, seen, docs = np.zeros(n_ids, np.int64), np.zeros(n_ids, bool), 0
+        held: list[pa.RecordBatch] = []
+
+        def encoded() -> Iterator[pa.RecordBatch]:
+            nonlocal docs
+            for batch in held:
+                raw, begin = tokens.encode(batch.column(text_col))
+                n = len(batch)
+                ids = np.insert(raw, begin[1:], end_id) if n else raw
+                begin = begin + np.arange(n + 1)
+                for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                    if b - a > 500:  # distinct ids by marking them, or by sorting few
+                        seen[ids[a:b]] = True
+                        counts[seen] += 1
+                        seen[ids[a:b]] = False
+                    else:
+                        counts[np.unique(ids[a:b])] += 1
+                docs += n
+                keys = np.zeros(n, np.int64)
+                for h in hashes:
+                    keys = keys << 15 | np.minimum.reduceat(h[ids], begin[:-1]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(f.name) for f in kept], _binary(ids, begin), pa.array(keys), pa.array(np.zeros(n, bool))], names=schema.names)
+
+        size, types = 0, None
         for batch in batches:
-            packed = tokens.encode(batch.column(text_col).to_pylist(), end_id)
-            keys = [order_key(np.unique(np.frombuffer(p, kind))) for p in packed]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(f.name) for f in kept], pa.array(packed, pa.binary()), pa.array(keys, pa.int64())], names=schema.names)
+            types = batch.schema
+            held.append(batch)
+            size += batch.column(text_col).nbytes
+            if size >= TEXT_BYTES:
+                held = [pa.Table.from_batches(held).combine_chunks().to_batches()[0]]
+                yield from encoded()
+                held, size = [], 0
+        if size:
+            held = pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield from encoded()
+        if docs:
+            nulls = [pa.nulls(1, types.field(f.name).type) for f in kept]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array([counts.tobytes()], pa.binary()), pa.array([docs]), pa.array([True])], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def term_counts(tokens: DataFrame, kind: str) -> DataFrame:
-    """(term, docs): documents that hold each id; counted in the tasks, so few rows are shuffled.
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """(term, docs): documents that hold each id, summed over the tasks that encoded them.
 
-    The row of term -1 holds the number of documents, that of -2 the number of all ids.
+    The row of term -1 holds the number of documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs, ids = np.zeros(1 << 16, np.int64), 0, 0
+        counts, docs = np.zeros(0, np.int64), 0
         for batch in batches:
-            for packed in batch.column("ids"):
-                held = np.frombuffer(packed.as_buffer(), kind)
-                terms = np.unique(held)
-                if terms[-1] >= len(counts):
-                    counts = np.concatenate((counts, np.zeros(int(terms[-1]) + 1, np.int64)))
-                counts[terms] += 1
-                docs, ids = docs + 1, ids + len(held)
+            for packed, n in zip(batch.column("ids").to_pylist(), batch.column("pack_key").to_pylist()):
+                more = np.frombuffer(packed, np.int64)
+                counts, docs = more + counts if len(counts) else more.copy(), docs + n
         found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, (-1, -2))), pa.array(np.append(counts[found], (docs, ids)))], names=["term", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(counts[found], docs))], names=["term", "docs"])
 
-    return tokens.select("ids").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    per_task = tokens.filter("is_count").select("ids", "pack_key").mapInArrow(run, "term long, docs long")
+    return per_task.groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 class Block:
@@ -158,11 +247,13 @@ class Block:
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         self.n = len(ids)
         lengths = np.array([len(x) for x in ids])
-        counted = [np.unique(x, return_counts=True) for x in ids]
-        self.terms = [t[idf[t] > 0] for t, _ in counted]
-        term = np.concatenate(self.terms)
-        tf = np.concatenate([c[idf[t] > 0] for t, c in counted]).astype(np.float64)
-        doc = np.repeat(np.arange(self.n), [len(t) for t in self.terms])
+        of = np.repeat(np.arange(self.n, dtype=np.int64), lengths)
+        pairs, tf = np.unique(of * len(idf) + np.concatenate(ids), return_counts=True)
+        doc, term = np.divmod(pairs, len(idf))
+        counted = idf[term] > 0
+        doc, term, tf = doc[counted], term[counted], tf[counted].astype(np.float64)
+        ends = np.searchsorted(doc, np.arange(self.n + 1))
+        self.terms = [term[a:b] for a, b in zip(ends[:-1], ends[1:])]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
@@ -243,8 +334,11 @@ def pack(df: DataFrame, vocab_path: str, end_id: int, doc_col: str = "doc_id", t
     kind = id_type(vocab_path, end_id)
     kept = df.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     tokens = cut(tokenize(with_row_key(kept, "row_key"), vocab_path, end_id), "packing-ids")
-    counts = {r["term"]: r["docs"] for r in term_counts(tokens, kind).collect()}  # at most one row per vocabulary entry
-    docs, all_ids = counts.pop(-1, 0), counts.pop(-2, 0)
+    counts = {r["term"]: r["docs"] for r in term_counts(tokens).collect()}  # at most one row per vocabulary entry
+    docs = counts.pop(-1, 0)
+    tokens = tokens.filter("not is_count")
+    all_ids = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    all_ids //= np.dtype(kind).itemsize
     idf = np.zeros(max(counts, default=0) + 1)
     found = np.array(list(counts), np.int64), np.array(list(counts.values()), np.float64)
     if docs:
@@ -261,19 +355,20 @@ def pack(df: DataFrame, vocab_path: str, end_id: int, doc_col: str = "doc_id", t
 
         def emit(windows: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
             nonlocal next_id
-            out = {f.name: [] for f in schema.fields}
-            for pieces in windows:
+            pieces, numbers = [], []
+            for window_pieces in windows:
                 offset = 0
-                for d, start, n in pieces:
-                    doc, ids, packed = rows[d]
-                    piece = ids[packed + start: packed + start + n].astype("<u4").tobytes()
-                    values = (doc, piece, packed + start, n, len(ids), next_id, offset)
-                    for column, value in zip(out.values(), values):
-                        column.append(value)
+                for d, start, n in window_pieces:
+                    _, ids, packed = rows[d]
+                    pieces.append(ids[packed + start: packed + start + n])
+                    numbers.append((packed + start, n, len(ids), next_id, offset))
                     offset += n
                 next_id += 1
-            columns = [pa.array(v, t) for v, t in zip(out.values(), [doc_type, pa.binary(), *[pa.int64()] * len(longs)])]
-            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+            table = np.array(numbers, np.int64).reshape(len(numbers), len(longs))
+            docs_of = [rows[d][0] for window_pieces in windows for d, _, _ in window_pieces]
+            values = np.concatenate(pieces).astype("<u4") if pieces else np.empty(0, "<u4")
+            begin = np.concatenate(([0], np.cumsum(table[:, 1])))
+            return pa.RecordBatch.from_arrays([pa.array(docs_of, doc_type), _binary(values, begin), *[pa.array(c) for c in table.T]], names=schema.names)
 
         def fill(last: bool) -> pa.RecordBatch:
             nonlocal rows
@@ -289,8 +384,7 @@ def pack(df: DataFrame, vocab_path: str, end_id: int, doc_col: str = "doc_id", t
 
         for batch in batches:
             doc_type = batch.schema.field("doc").type
-            for doc, packed in zip(batch.column("doc").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(packed.as_py(), kind)
+            for doc, ids in zip(batch.column("doc").to_pylist(), _slices(batch.column("ids"), kind)):
                 rows.append((doc, ids, 0))
                 held += len(ids)
                 if held >= BLOCK_IDS or len(rows) >= BLOCK_DOCS:
