@@ -39,7 +39,7 @@ DOWNLOAD_RENAMES = {
 
 # Identifier patterns (P14, P16). Look-behinds of the source are expressed as
 # a prefix plus capture group 1.
-ORCID_PATTERN = r"^(?:0000-000(?:1-[5-9]|2-[0-9]|3-[0-4])\d{3}-\d{3}[\dX]|0009-00[0,1]\d-\d{4}-\d{3}[\dX])\z"
+ORCID_PATTERN = r"^(?:0000-000(?:1-[5-9]|2-[0-9]|3-[0-4])\d{3}-\d{3}[\dX]|0009-00[01]\d-\d{4}-\d{3}[\dX])\z"
 WIKI_PATTERN = r"^Q[0-9]{1,}\z"
 DOI_PATTERN = r"(?i)^10.\d{4,9}/[-._;()/:<>A-Z0-9]+\z"
 VIDEO_ID_PATTERN = r"(?i)^[A-Z0-9_\-]{11}\z"
@@ -80,16 +80,16 @@ KINGDOMS = ["Animalia", "Archaea", "Bacteria", "Chromista", "Fungi", "Plantae",
 # Earliest accepted year for free-text years and dates.
 MIN_YEAR = 1756
 
-# Accent folding table (P30, P32), built by rule: every lower-case letter of
-# Latin-1 Supplement and Latin Extended-A maps to the ASCII base letter of its
-# canonical decomposition; a few letters without one map by the table below.
+# Accent folding table (P30, P32), built by rule: every lower-case Latin letter
+# with marks (U+00E0 to U+024F, U+1E00 to U+1EFF) maps to the ASCII base letter of
+# its canonical decomposition; a few letters without one map by the table below.
 _NO_DECOMPOSITION = {"ø": "o", "đ": "d", "ł": "l", "ı": "i", "ħ": "h", "ŧ": "t", "æ": "a", "œ": "o"}
 
 
 def _fold_tables() -> tuple[str, str]:
     import unicodedata
     src, dst = [], []
-    for cp in list(range(0xE0, 0x100)) + list(range(0x100, 0x180)):
+    for cp in [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]:
         ch = chr(cp)
         if not ch.islower():
             continue
@@ -105,7 +105,6 @@ FOLD_FROM, FOLD_TO = _fold_tables()
 # Name tokeniser and the initials filter of the search index.
 NAME_SPLIT = r"\.|,| "
 INITIALS_STRIP = r"[a-z.\s]"
-EDGE_NGRAM_MAX = 50
 
 # Wikidata statement ranks (N11) and date precisions.
 RANK_SCORES = {"preferred": 2, "normal": 1, "deprecated": -1}
@@ -199,20 +198,22 @@ def parse_names(col: str | Column) -> Column:
     return F.from_json(_c(col), NAME_SCHEMA, {"mode": "PERMISSIVE"})
 
 
-def _count_char(col: Column, ch: str) -> Column:
-    return F.length(col) - F.length(F.regexp_replace(col, ch, ""))
+#: Most characters, dots and spaces of a usable name part.
+NAME_LIMITS = {"family": {"length": 40, "dots": 4, "spaces": 2}, "given": {"length": 40, "dots": 5}}
 
 
 def is_unparsed(family: str | Column = "family", given: str | Column = "given",
                 check_spaces: bool = True) -> Column:
-    """The parse is unusable (blank family, too long, too many dots or spaces)."""
-    fam, giv = _c(family), _c(given)
-    cond = (fam.isNull() | (F.trim(fam) == "") | (F.length(fam) > 40) | (_count_char(fam, r"\.") > 4)
-            | (giv.isNotNull() & (F.length(giv) > 40))
-            | (giv.isNotNull() & (_count_char(giv, r"\.") > 5)))
-    if check_spaces:
-        cond = cond | (_count_char(fam, " ") > 2)
-    return F.coalesce(cond, F.lit(True))
+    """The parse is unusable: no family name, or a part over one of ``NAME_LIMITS``.
+
+    The limit on spaces holds for single names only; the bulk job has none."""
+    measure = {"length": F.length, "dots": lambda c: F.regexp_count(c, F.lit("[.]")),
+               "spaces": lambda c: F.regexp_count(c, F.lit(" "))}
+    parts = {"family": _c(family), "given": _c(given)}
+    over = [F.coalesce(measure[kind](parts[part]) > most, F.lit(False))
+            for part, limits in NAME_LIMITS.items() for kind, most in limits.items()
+            if check_spaces or kind != "spaces"]
+    return F.array_contains(F.array(_nonblank(parts["family"]).isNull(), *over), True)
 
 
 def _nonblank(col: Column) -> Column:
@@ -221,10 +222,9 @@ def _nonblank(col: Column) -> Column:
 
 def display_order(given="given", dropping_particle="dropping_particle", particle="particle",
                   family="family", suffix="suffix") -> Column:
-    """Given + dropping particle, particle + family, suffix, joined by spaces."""
-    given_part = F.concat_ws(" ", _nonblank(_c(given)), _nonblank(_c(dropping_particle)))
-    family_part = F.concat_ws(" ", _nonblank(_c(particle)), _nonblank(_c(family)))
-    return F.trim(F.concat_ws(" ", _nonblank(given_part), _nonblank(family_part), _nonblank(_c(suffix))))
+    """The parts of a name as they are written, blank ones left out, one space between them."""
+    written = F.transform(F.array(*map(_c, (given, dropping_particle, particle, family, suffix))), F.trim)
+    return F.array_join(F.filter(written, lambda part: part != ""), " ")
 
 
 def squeeze(col: str | Column) -> Column:
@@ -239,7 +239,7 @@ def agent_key(df: DataFrame, raw: str | None = None) -> DataFrame:
     or the raw string ``raw`` when no name was parsed (the row-by-row rule; see
     README). The whole string is kept, so different strings stay different agents.
     """
-    unp = is_unparsed("family", "given")
+    unp = is_unparsed("family", "given", check_spaces=False)
     shown = display_order()
     fallback = F.coalesce(F.when(shown != "", shown), F.col(raw) if raw else F.lit(""))
     out = df.withColumn("_unparsed", unp)
@@ -483,7 +483,7 @@ def strip_markup(col: str | Column) -> Column:
     return F.regexp_replace(_c(col), r"<[^>]*>", "")
 
 
-def truncate(col: str | Column, n: int = 80, omission: str = "...") -> Column:
+def truncate(col: str | Column, n: int, omission: str = "...") -> Column:
     """Cut to ``n`` characters including the omission marker."""
     c = _c(col)
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - len(omission)), F.lit(omission))).otherwise(c)
@@ -514,10 +514,10 @@ def name_tokens(col: str | Column) -> Column:
     return F.filter(F.split(fold_name(col), NAME_SPLIT), lambda x: x != "")
 
 
-def edge_ngrams(col: str | Column, max_gram: int = EDGE_NGRAM_MAX) -> Column:
-    """Prefixes of length 1..min(len, max_gram)."""
+def edge_ngrams(col: str | Column, max_gram: int | None = None) -> Column:
+    """All prefixes, or those of at most ``max_gram`` characters."""
     c = _c(col)
-    n = F.least(F.length(c), F.lit(max_gram))
+    n = F.length(c) if max_gram is None else F.least(F.length(c), F.lit(max_gram))
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, 1, i))).otherwise(
         F.array().cast("array<string>"))
 
@@ -545,7 +545,7 @@ def primary_contact(col: str | Column) -> Column:
 def extract_prefixed_tags(col: str | Column, prefix: str = "gbifDOI:") -> Column:
     """Tags that start with ``prefix``, prefix removed."""
     return F.transform(F.filter(_c(col), lambda t: t.startswith(prefix)),
-                       lambda t: F.substring(t, len(prefix) + 1, 100000))
+                       lambda t: F.substr(t, F.lit(len(prefix) + 1)))
 
 
 def authority_date(time: str | Column, precision: str | Column) -> dict[str, Column]:

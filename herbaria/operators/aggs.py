@@ -237,31 +237,56 @@ def occurrence_counts(claims: DataFrame, occurrence_agents: DataFrame) -> DataFr
             .filter(F.col("agent_count").isNotNull() & ~F.col("agent_count").isin(1, 2)))
 
 
-def recorder_report(occurrence_agents: DataFrame, occurrences: DataFrame, as_of=None) -> DataFrame:
-    """Per recorder agent: specimens, year range, families, institution codes."""
-    from herbaria.functions import scalars as S
+def recorder_report(occurrence_agents: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Per recorder agent: specimens, range of the years as written, families, institution codes.
+
+    Lists are as long as there are distinct families and codes, not specimens."""
     links = occurrence_agents.filter(F.col("agent_role")).select("agent_id", F.col("occurrence_id").alias("gbifID"))
-    occ = occurrences.select("gbifID", "family", "institutionCode",
-                             S.valid_year("year", as_of).alias("vy"))
+    occ = occurrences.select("gbifID", "family", "institutionCode", "year")
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " | ")
     return (links.join(occ, "gbifID").groupBy("agent_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("vy").alias("min_year"), F.max("vy").alias("max_year"),
-                 F.array_join(F.sort_array(F.collect_set("family")), ", ").alias("families"),
-                 F.array_join(F.sort_array(F.collect_set("institutionCode")), ", ").alias("institutions")))
+            .agg(F.count(F.lit(1)).alias("n"), F.concat_ws("–", F.min("year"), F.max("year")).alias("event_range"),
+                 joined("family").alias("families"), joined("institutionCode").alias("institutions")))
 
 
-def agent_profile(occurrence_agents: DataFrame, occurrences: DataFrame, as_of=None) -> DataFrame:
-    """Per agent and role: distinct institutions, countries, names and year range."""
+def agent_profile_values(occurrence_agents: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(agent_id, agent_role, kind, value, n): the distinct institutions, countries, scientific
+    names and, for recordings, coordinates of each agent, with their specimens.
+
+    Long form: an agent may have any number of coordinates and names. Each specimen
+    link is read once; equal values combine in the map tasks.
+    """
     from herbaria.functions import scalars as S
     links = occurrence_agents.select("agent_id", "agent_role", F.col("occurrence_id").alias("gbifID"))
-    occ = occurrences.select("gbifID", "institutionCode", "countryCode", "scientificName",
-                             S.valid_year("year", as_of).alias("vy"),
-                             S.valid_year("dateIdentified", as_of).alias("iy"))
-    year = F.when(F.col("agent_role"), F.col("vy")).otherwise(F.col("iy"))
-    return (links.join(occ, "gbifID").groupBy("agent_id", "agent_role")
-            .agg(F.count_distinct("institutionCode").alias("institutions"),
-                 F.count_distinct("countryCode").alias("countries"),
-                 F.count_distinct("scientificName").alias("names"),
-                 F.min(year).alias("min_year"), F.max(year).alias("max_year")))
+    occ = occurrences.select("gbifID", "institutionCode", "countryCode", "scientificName", S.coordinates().alias("at"))
+    value = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("value"))
+    place = F.when(F.col("agent_role"), F.concat_ws(",", F.transform("at", lambda x: x.cast("string"))))
+    facts = F.array(value("institution", F.col("institutionCode")), value("country", F.col("countryCode")),
+                    value("name", F.col("scientificName")), value("coordinates", F.when(F.col("at").isNotNull(), place)))
+    return (links.join(occ, "gbifID").select("agent_id", "agent_role", F.explode(facts).alias("f"))
+            .select("agent_id", "agent_role", "f.*").filter("value <> ''")
+            .groupBy("agent_id", "agent_role", "kind", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def agent_profile(occurrence_agents: DataFrame, occurrences: DataFrame, as_of=None) -> DataFrame:
+    """Per agent and role: numbers of distinct institutions, countries, names and coordinates, and
+    the range of years (of the event, or else the year; of the identification)."""
+    from herbaria.functions import scalars as S
+    values = agent_profile_values(occurrence_agents, occurrences)
+    number = lambda kind: F.count(F.when(F.col("kind") == kind, F.lit(1)))
+    counts = values.groupBy("agent_id", "agent_role").agg(
+        number("institution").alias("institutions"), number("country").alias("countries"),
+        number("name").alias("names"), number("coordinates").alias("coordinates"))
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    event = S.valid_year(F.coalesce(given("eventDate"), given("year")), as_of)
+    occ = occurrences.select(F.col("gbifID").alias("occurrence_id"), event.alias("event"), S.valid_year("dateIdentified", as_of).alias("det"))
+    year = F.when(F.col("agent_role"), F.col("event")).otherwise(F.col("det"))
+    years = (occurrence_agents.join(occ, "occurrence_id").groupBy("agent_id", "agent_role")
+             .agg(F.min(year).alias("min_year"), F.max(year).alias("max_year")))
+    zero = F.lit(0).cast("long")
+    return years.join(counts, ["agent_id", "agent_role"], "left").select(
+        "agent_id", "agent_role", *[F.coalesce(c, zero).alias(c) for c in ("institutions", "countries", "names", "coordinates")],
+        "min_year", "max_year")
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:
@@ -298,13 +323,17 @@ def country_people(users: DataFrame) -> DataFrame:
 
 
 def scribe_stats(claims: DataFrame) -> DataFrame:
-    """Attributions made for others (non-NULL action, non-bot claimant),
-    distinct scribes and distinct recipients, in one aggregate."""
+    """Attributions made for others (non-NULL action, non-bot claimant), distinct
+    scribes and distinct recipients: claims per (scribe, recipient) pair first, then
+    people of either side, so no row is copied for a distinct count."""
     c = claims.filter(F.col("action").isNotNull() & ~P.is_bot("created_by")
                       & (F.col("user_id") != F.col("created_by")))
-    return c.agg(F.count(F.lit(1)).alias("attribution_count"),
-                 F.count_distinct("created_by").alias("scribe_count"),
-                 F.count_distinct("user_id").alias("recipient_count"))
+    pairs = c.groupBy("created_by", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    people = F.explode(F.array(F.struct(F.lit(True).alias("scribe"), F.col("created_by").alias("id"), "n"),
+                               F.struct(F.lit(False).alias("scribe"), F.col("user_id").alias("id"), F.lit(0).cast("long").alias("n"))))
+    sides = pairs.select(people.alias("p")).select("p.*").groupBy("scribe", "id").agg(F.sum("n").alias("n"))
+    return sides.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("attribution_count"), F.count_if("scribe").alias("scribe_count"),
+                     F.count_if(~F.col("scribe")).alias("recipient_count"))
 
 
 def monthly(claims: DataFrame, kind: str, as_of) -> DataFrame:
@@ -338,13 +367,21 @@ def monthly_profiles(users: DataFrame, as_of) -> DataFrame:
 
 
 def profile_totals(users: DataFrame) -> DataFrame:
-    """Per identifier kind: total, visited, public, with deposit (non-NULL)."""
-    kind = F.when(F.col("orcid").isNotNull(), F.lit("orcid")).when(F.col("wikidata").isNotNull(), F.lit("wikidata"))
-    return (users.filter(kind.isNotNull()).groupBy(kind.alias("kind"))
+    """Per identifier kind: total, visited, public, with deposit. A person with both ids counts in both."""
+    kinds = F.array(F.when(F.col("orcid").isNotNull(), F.lit("orcid")), F.when(F.col("wikidata").isNotNull(), F.lit("wikidata")))
+    return (users.select(F.explode(kinds).alias("kind"), "visited", "is_public", "zenodo_doi").filter("kind is not null").groupBy("kind")
             .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("visited")).alias("visited"),
                  F.count_if(F.col("is_public")).alias("public"), F.count("zenodo_doi").alias("doi")))
 
 
+def site_totals(datasets: DataFrame, dataset_counts: DataFrame, destroyed: DataFrame, claims: DataFrame) -> DataFrame:
+    """(name, n): datasets, datasets with source attributions, merged Wikidata people, claims of the source."""
+    row = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    return (row(datasets, "datasets").unionByName(row(dataset_counts.filter("source_attribution_count > 0"), "datasets_with_identifiers"))
+            .unionByName(row(destroyed.filter("identifier like 'Q%'"), "wikidata_merged"))
+            .unionByName(row(claims.filter(F.col("created_by") == P.SOURCE_AGENT_ID), "source_claims")))
+
+
 def org_user_counts(user_organizations: DataFrame) -> DataFrame:
     """Members per organisation."""
     return user_organizations.groupBy("organization_id").agg(F.count("user_id").alias("user_count"))
@@ -355,10 +392,14 @@ def others_tally(employment: DataFrame) -> DataFrame:
     return employment.groupBy("organization_id", "institutionCode").agg(F.count(F.lit(1)).alias("n"))
 
 
+def unattributed_by_agent(candidates: DataFrame) -> DataFrame:
+    """(user_id, agent_id, n): unclaimed candidate occurrences per matched agent."""
+    return candidates.select("user_id", "agent_id", "occurrence_id").distinct().groupBy("user_id", "agent_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def unattributed_counts(candidates: DataFrame) -> DataFrame:
-    """Distinct unclaimed candidate occurrences per person and per (person, agent)."""
-    total = candidates.groupBy("user_id").agg(F.count_distinct("occurrence_id").alias("n"))
-    return total
+    """Distinct unclaimed candidate occurrences per person."""
+    return candidates.select("user_id", "occurrence_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def download_totals(articles: DataFrame, downloads: DataFrame) -> DataFrame:

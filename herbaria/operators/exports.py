@@ -14,25 +14,30 @@ from herbaria.operators.packages import PACKAGE_OCCURRENCE_COLUMNS
 # Predicates of the public claim dump and the profile columns.
 RECORDED_PREDICATE = "http://rs.tdwg.org/dwc/iri/recordedBy"
 IDENTIFIED_PREDICATE = "http://rs.tdwg.org/dwc/iri/identifiedBy"
-PROFILE_COLUMNS = ["id", "family", "given", "particle", "orcid", "wikidata", "date_born", "date_died",
-                   "other_names", "country_code"]
 
 
 def claim_triples(claims: DataFrame, users: DataFrame) -> DataFrame:
-    """K5: (Subject, Predicate, Object) for visible claims of public people:
-    one row per role; Wikidata URI preferred over ORCID; NULL actions skipped."""
+    """K5: (Subject, Predicate, Object) for claims of public people: one row per
+    role; Wikidata URI preferred over ORCID. Claims without a role have no row."""
     u = users.filter(F.col("is_public")).select(F.col("id").alias("user_id"),
                                                 S.person_uri(wikidata_first=True).alias("Object"))
-    c = claims.filter(P.vis() & F.col("action").isNotNull()).select("user_id", "occurrence_id", "action")
+    c = claims.filter(F.col("action").isNotNull()).select("user_id", "occurrence_id", "action")
     j = c.join(u, "user_id").select(S.occurrence_uri("occurrence_id").alias("Subject"),
                                     F.explode(F.split("action", ",")).alias("role"), "Object")
-    pred = F.when(F.col("role") == "recorded", F.lit(RECORDED_PREDICATE)).otherwise(F.lit(IDENTIFIED_PREDICATE))
+    pred = F.when(F.trim("role") == "recorded", F.lit(RECORDED_PREDICATE)).otherwise(F.lit(IDENTIFIED_PREDICATE))
     return j.select("Subject", pred.alias("Predicate"), "Object")
 
 
-def public_profiles(users: DataFrame) -> DataFrame:
-    """K6."""
-    return users.filter(F.col("is_public")).select(*PROFILE_COLUMNS)
+def public_profiles(users: DataFrame, countries: DataFrame, base_url: str) -> DataFrame:
+    """K6: the public people, one row each; Country holds the names of their country codes in order."""
+    codes = users.filter("is_public").select("id", F.posexplode(F.split("country_code", r"\|")).alias("at", "code"))
+    named = (codes.join(countries.select("code", "name"), "code").groupBy("id")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda c: c["name"]), "|").alias("Country")))
+    u = users.filter("is_public").join(named, "id", "left")
+    return u.select(F.col("family").alias("Family"), F.col("given").alias("Given"), F.col("particle").alias("Particle"),
+                    F.col("other_names").alias("OtherNames"), F.col("label").alias("LabelName"), "Country",
+                    F.col("keywords").alias("Keywords"), "wikidata", F.col("orcid").alias("ORCID"),
+                    F.concat(F.lit(base_url.rstrip("/") + "/"), S.identifier()).alias("URL"))
 
 
 def claim_pivot(claims: DataFrame, users: DataFrame) -> DataFrame:
@@ -55,17 +60,27 @@ def agent_specimens(occurrences: DataFrame) -> DataFrame:
     return occurrences.select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS)
 
 
-def article_counts(claims: DataFrame, article_occurrences: DataFrame, articles: DataFrame) -> DataFrame:
-    """K9: per (user, article) doi, reference (``NO TITLE`` when missing), specimen count, URL."""
+def article_counts(claims: DataFrame, article_occurrences: DataFrame, articles: DataFrame, base_url: str) -> DataFrame:
+    """K9: per (user, article) doi, reference (``NO TITLE`` when missing), specimen count and
+    the page of the person's specimens cited there."""
     c = claims.filter(P.vis()).select("user_id", "occurrence_id")
     n = (c.join(article_occurrences, "occurrence_id").groupBy("user_id", "article_id")
          .agg(F.count(F.lit(1)).alias("num_specimens")))
     a = articles.select(F.col("id").alias("article_id"), "doi",
                         F.coalesce("citation", F.lit("NO TITLE")).alias("reference"),
-                        F.concat(F.lit("https://doi.org/"), F.col("doi")).alias("url"))
+                        F.concat(F.lit(base_url.rstrip("/") + "/profile/citation/"), F.col("doi")).alias("url"))
     return n.join(a, "article_id")
 
 
+def article_specimens(claims: DataFrame, article_occurrences: DataFrame, articles: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """A person's visible specimens used in an article: user_id, used_in_doi and the exported columns."""
+    c = claims.filter(P.vis()).select("user_id", F.col("occurrence_id").alias("gbifID"))
+    used = (article_occurrences.select("article_id", F.col("occurrence_id").alias("gbifID"))
+            .join(articles.select(F.col("id").alias("article_id"), F.col("doi").alias("used_in_doi")), "article_id"))
+    return (c.join(occurrences.select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS), "gbifID").join(used.drop("article_id"), "gbifID")
+            .select("user_id", "used_in_doi", "gbifID", *PACKAGE_OCCURRENCE_COLUMNS))
+
+
 def user_specimens(claims: DataFrame, occurrences: DataFrame, users: DataFrame) -> DataFrame:
     """Visible claims with specimen columns and claimant name / URI / date."""
     c = claims.filter(P.vis()).select("user_id", F.col("occurrence_id").alias("gbifID"), "action", "created_by",
@@ -76,15 +91,16 @@ def user_specimens(claims: DataFrame, occurrences: DataFrame, users: DataFrame)
 
 
 def attributions_given(claims: DataFrame, occurrences: DataFrame, users: DataFrame) -> DataFrame:
-    """Claims a claimant made for others, recordedByID / identifiedByID
-    filled with the person URI by role."""
-    c = claims.filter(P.vis() & (F.col("created_by") != F.col("user_id")))
+    """Claims a claimant made for others with the exported columns, the role, the
+    person's URI in the column of each role, and the date."""
+    c = claims.filter(P.vis() & (F.col("created_by") != F.col("user_id"))).select(
+        "created_by", "user_id", F.col("occurrence_id").alias("gbifID"), "action", "created")
     u = users.select(F.col("id").alias("user_id"), S.person_uri().alias("uri"))
-    j = c.join(u, "user_id").join(occurrences.select(F.col("gbifID").alias("occurrence_id"), "scientificName"),
-                                  "occurrence_id")
-    return j.select("created_by", "user_id", "occurrence_id", "scientificName",
-                    F.when(P.rec(), F.col("uri")).alias("recordedByID"),
-                    F.when(P.idn(), F.col("uri")).alias("identifiedByID"))
+    j = c.join(u, "user_id").join(occurrences.select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS), "gbifID")
+    recorded, identified = F.col("action").contains("recorded"), F.col("action").contains("identified")
+    return j.select("created_by", "user_id", "gbifID", *PACKAGE_OCCURRENCE_COLUMNS, "action",
+                    F.when(recorded, F.col("uri")).alias("attributedRecordedByID"),
+                    F.when(identified, F.col("uri")).alias("attributedIdentifiedByID"), F.col("created").alias("attributed"))
 
 
 def occurrence_documents(occurrences: DataFrame, claims: DataFrame, users: DataFrame,
@@ -118,20 +134,21 @@ def person_list_by_taxon(claims: DataFrame, taxon_occurrences: DataFrame) -> Dat
 
 
 def orphan_report(orphans: DataFrame, users: DataFrame) -> DataFrame:
-    """Identifier, name, count and claimant names joined by ``; ``."""
-    names = users.select(F.col("id").alias("created_by"), S.user_names()["fullname"].alias("claimant"))
+    """Identifier, name, count and claimant names joined by ``; `` (as many as the
+    person has claimants of orphans)."""
+    names = users.select(F.col("id").alias("created_by"), S.user_names()["viewname"].alias("claimant"))
     per = (orphans.join(names, "created_by", "left").groupBy("user_id")
            .agg(F.count(F.lit(1)).alias("n"),
                 F.array_join(F.sort_array(F.collect_set("claimant")), "; ").alias("claimants")))
     u = users.select(F.col("id").alias("user_id"), S.identifier().alias("identifier"),
-                     S.user_names()["fullname"].alias("name"))
+                     S.user_names()["viewname"].alias("name"))
     return per.join(u, "user_id")
 
 
 def new_identifiers(users: DataFrame, known: DataFrame) -> DataFrame:
-    """Public local identifiers not in a known list."""
-    ids = users.filter(F.col("is_public")).select(F.coalesce("orcid", "wikidata").alias("identifier")).filter(
-        F.col("identifier").isNotNull())
+    """Public local identifiers not in a known list; a person's ORCID and Wikidata id both count."""
+    ids = (users.filter(F.col("is_public")).select(F.explode(F.array("orcid", "wikidata")).alias("identifier"))
+           .filter(F.col("identifier").isNotNull()))
     return ids.join(known.select("identifier"), "identifier", "left_anti")
 
 
@@ -142,3 +159,20 @@ def timeline_rows(timeline: DataFrame, users: DataFrame, scope: str) -> DataFram
     return timeline.join(u, "user_id").select(scope, "identifier", "name",
                                               F.date_format("min_date", "yyyy-MM-dd").alias("min_date"),
                                               F.date_format("max_date", "yyyy-MM-dd").alias("max_date"), "lifespan")
+
+
+def network_rows(recorded_with: DataFrame, users: DataFrame, base_url: str) -> DataFrame:
+    """A person's network for JSON-LD, one row per co-collector: user_id, person, co_collector (JSON).
+
+    A document is the person with all rows of theirs; rows stay apart, as a person
+    may have any number of co-collectors.
+    """
+    alias = F.coalesce(F.split("other_names", r"\|"), F.array().cast("array<string>"))
+    person = F.to_json(F.struct(
+        F.lit("Person").alias("@type"), F.concat(F.lit(base_url.rstrip("/") + "/"), S.identifier()).alias("@id"),
+        F.col("given").alias("givenName"), F.col("family").alias("familyName"), S.user_names()["viewname"].alias("name"),
+        alias.alias("alternateName"), S.person_uri().alias("sameAs")))
+    p = users.select("id", person.alias("person"))
+    return (recorded_with.select("user_id", "other_id").join(p.withColumnRenamed("id", "user_id"), "user_id")
+            .join(p.select(F.col("id").alias("other_id"), F.col("person").alias("co_collector")), "other_id")
+            .select("user_id", "other_id", "person", "co_collector"))

@@ -2,7 +2,8 @@
 
 All are computed for every person / dataset / organisation at once. Inputs are
 de-duplicated to the join keys before a self join so the pair expansion works
-on (person, occurrence) rows only. One occurrence's pairs are made in one task.
+on (person, occurrence) rows only. Pairs of a large group are made in blocks
+(``herbaria.operators.pairs``), by many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from herbaria.functions import predicates as P
 from herbaria.functions import scalars as S
 from herbaria.operators import filters as FL
+from herbaria.operators.pairs import join_in_blocks
 
 
 def _occ_id(occurrences: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def network(claims: DataFrame, left_role: str, right_role: str) -> DataFrame:
     """
     a = _role_rows(claims, left_role).withColumnRenamed("user_id", "user_id")
     b = _role_rows(claims, right_role).withColumnRenamed("user_id", "other_id")
-    return (a.join(b, "occurrence_id").filter(F.col("user_id") != F.col("other_id"))
+    return (join_in_blocks(a, b, "occurrence_id").filter(F.col("user_id") != F.col("other_id"))
             .groupBy("user_id", "other_id").agg(F.count(F.lit(1)).alias("shared")))
 
 
@@ -117,14 +119,14 @@ def specimens_of_pair(claims: DataFrame, left_role: str, right_role: str) -> Dat
     """(user_id, other_id, occurrence_id) behind each pair of J9-J11."""
     a = FL.with_role(claims, left_role).select("occurrence_id", "user_id")
     b = _role_rows(claims, right_role).withColumnRenamed("user_id", "other_id")
-    return a.join(b, "occurrence_id").filter(F.col("user_id") != F.col("other_id"))
+    return join_in_blocks(a, b, "occurrence_id").filter(F.col("user_id") != F.col("other_id"))
 
 
 def agents_recorded_with(occurrence_agents: DataFrame) -> DataFrame:
     """(agent_id, other_agent_id) sharing an occurrence the agent recorded."""
     rec = occurrence_agents.filter(F.col("agent_role")).select("occurrence_id", "agent_id").distinct()
     anyrole = occurrence_agents.select("occurrence_id", F.col("agent_id").alias("other_agent_id")).distinct()
-    return (rec.join(anyrole, "occurrence_id").filter(F.col("agent_id") != F.col("other_agent_id"))
+    return (join_in_blocks(rec, anyrole, "occurrence_id").filter(F.col("agent_id") != F.col("other_agent_id"))
             .select("agent_id", "other_agent_id").distinct())
 
 
@@ -137,9 +139,11 @@ def same_family(agents: DataFrame, first_initial: bool = False) -> DataFrame:
     a = agents.filter(F.col("family") != "").select(F.col("id").alias("agent_id"), "family",
                       F.lower(F.substring("given", 1, 1)).alias("initial"))
     b = a.select(F.col("agent_id").alias("other_agent_id"), "family", F.col("initial").alias("o_initial"))
-    out = a.join(b, "family").filter(F.col("agent_id") != F.col("other_agent_id"))
     if first_initial:
-        out = out.filter((F.col("initial") == F.col("o_initial")) & (F.col("initial") != ""))
+        out = join_in_blocks(a.filter(F.col("initial") != ""), b.withColumnRenamed("o_initial", "initial"), ["family", "initial"])
+    else:
+        out = join_in_blocks(a, b, "family")
+    out = out.filter(F.col("agent_id") != F.col("other_agent_id"))
     return out.select("agent_id", "other_agent_id", "family")
 
 
@@ -283,8 +287,8 @@ def unclaimed_candidates(person_agents: DataFrame, occurrence_agents: DataFrame,
                          claims: DataFrame) -> DataFrame:
     """(user_id, occurrence_id, agent_id) candidate occurrences of a person's
     matched agents that the person has not claimed or rejected."""
-    cand = person_agents.select("user_id", "agent_id").join(
-        occurrence_agents.select("agent_id", "occurrence_id"), "agent_id")
+    cand = join_in_blocks(person_agents.select("user_id", "agent_id"),
+                          occurrence_agents.select("agent_id", "occurrence_id"), "agent_id")
     return cand.join(claims.select("user_id", "occurrence_id"), ["user_id", "occurrence_id"], "left_anti")
 
 
@@ -306,7 +310,7 @@ def collector_network(claims: DataFrame) -> DataFrame:
     are not themselves claimed on it: (occurrence_id, user_id)."""
     rec = _role_rows(claims, "recorded")
     edges = recorded_with(claims).select(F.col("user_id").alias("collector"), F.col("other_id").alias("user_id"))
-    hop = (rec.withColumnRenamed("user_id", "collector").join(edges, "collector")
+    hop = (join_in_blocks(rec.withColumnRenamed("user_id", "collector"), edges, "collector")
            .select("occurrence_id", "user_id").distinct())
     return hop.join(rec, ["occurrence_id", "user_id"], "left_anti")
 
@@ -345,7 +349,7 @@ def same_organization_people(user_organizations: DataFrame) -> DataFrame:
     """(user_id, other_id) sharing an organisation."""
     a = user_organizations.select("user_id", "organization_id").distinct()
     b = a.select(F.col("user_id").alias("other_id"), "organization_id")
-    return (a.join(b, "organization_id").filter(F.col("user_id") != F.col("other_id"))
+    return (join_in_blocks(a, b, "organization_id").filter(F.col("user_id") != F.col("other_id"))
             .select("user_id", "other_id").distinct())
 
 

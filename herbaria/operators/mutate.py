@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from herbaria.functions import predicates as P
 from herbaria.functions import scalars as S
 from herbaria.operators import sets as X
+from herbaria.operators.pairs import join_in_blocks
 from herbaria.session import checkpoint_dir
 
-MAX_REDIRECT_ROUNDS = 64
-
 
 def bulk_claim(requests: DataFrame, occurrence_agents: DataFrame, claims: DataFrame,
                occurrences: DataFrame | None = None, conditions: str | None = None) -> DataFrame:
@@ -33,7 +32,7 @@ def bulk_claim(requests: DataFrame, occurrence_agents: DataFrame, claims: DataFr
         from herbaria.operators.filters import where_conditions
         keep = where_conditions(occurrences, conditions).select(F.col("gbifID").alias("occurrence_id"))
         links = links.join(keep, "occurrence_id", "left_semi")
-    j = requests.join(links, "agent_id")
+    j = join_in_blocks(requests, links, "agent_id")
     roles = (j.groupBy("user_id", "occurrence_id", "ignore", "created_by")
              .agg(F.bool_or("agent_role").alias("r"), F.bool_or(~F.col("agent_role")).alias("i")))
     roles = roles.join(claims.select("user_id", "occurrence_id"), ["user_id", "occurrence_id"], "left_anti")
@@ -51,13 +50,14 @@ def bulk_claim_counts(new_rows: DataFrame) -> DataFrame:
     return new_rows.groupBy("user_id").agg(F.count_distinct("occurrence_id").alias("num_attributed"))
 
 
-def resolve_redirects(destroyed: DataFrame, max_rounds: int = MAX_REDIRECT_ROUNDS) -> DataFrame:
+def resolve_redirects(destroyed: DataFrame) -> DataFrame:
     """M8: (identifier, resolved, banned, cycle) following redirect_to to its end.
 
     Pointer jumping: every round replaces a pointer to a destroyed identifier
     by that identifier's pointer, so a chain of length n resolves in log2(n)
     rounds. A chain that ends at a banned entry (blank redirect) resolves to
-    NULL. Pointers still unresolved after ``max_rounds`` are cycles.
+    NULL. While a chain is open, each round closes at least one of its pointers; so
+    pointers still open after a round that closed none lead into a cycle.
     """
     spark = destroyed.sparkSession
     checkpoint_dir(spark)
@@ -65,10 +65,13 @@ def resolve_redirects(destroyed: DataFrame, max_rounds: int = MAX_REDIRECT_ROUND
     ids = d.select(F.col("identifier").alias("nxt"), F.lit(True).alias("is_destroyed"))
     cur = (d.join(ids, "nxt", "left").select("identifier", "nxt",
                                              F.coalesce("is_destroyed", F.lit(False)).alias("open")))
-    for _ in range(max_rounds):
+    before = -1
+    while True:
         cur = cur.checkpoint(eager=True)
-        if cur.filter("open").limit(1).count() == 0:
+        left = cur.filter("open").count()
+        if left in (0, before):
             break
+        before = left
         hop = cur.select(F.col("identifier").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("open").alias("open2"))
         cur = (cur.join(hop, "nxt", "left")
                .select("identifier",
@@ -78,6 +81,21 @@ def resolve_redirects(destroyed: DataFrame, max_rounds: int = MAX_REDIRECT_ROUND
                       (F.col("nxt").isNull() & ~F.col("open")).alias("banned"), F.col("open").alias("cycle"))
 
 
+def merge_people(users: DataFrame, claims: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """M5: the three tables after merging people (src into dest): users without the sources, whose
+    public flag goes over to the destination; claims (``merge_users``); redirect rows
+    (identifier, redirect_to) to append to the destroyed identifiers."""
+    carried = (users.filter("is_public").select(F.col("id").alias("src")).join(pairs, "src")
+               .select(F.col("dest").alias("id")).distinct().withColumn("_public", F.lit(True)))
+    kept = (users.join(pairs.select(F.col("src").alias("id")), "id", "left_anti").join(carried, "id", "left")
+            .withColumn("is_public", F.coalesce("_public", "is_public")).select(*users.columns))
+    named = users.select("id", F.coalesce("orcid", "wikidata", F.col("id").cast("string")).alias("identifier"))
+    redirects = (pairs.join(named.withColumnRenamed("id", "src"), "src")
+                 .join(named.select(F.col("id").alias("dest"), F.col("identifier").alias("redirect_to")), "dest")
+                 .select("identifier", "redirect_to"))
+    return {"users": kept, "claims": merge_users(claims, pairs), "redirects": redirects}
+
+
 def merge_users(claims: DataFrame, pairs: DataFrame) -> DataFrame:
     """M5: rewrite claims for (src, dest) merges.
 
@@ -177,14 +195,28 @@ def resolve_identifier(requests: DataFrame, users: DataFrame, col: str = "identi
     return r.join(identifier_table(users).withColumnRenamed("identifier", col), [col, "priority"], "left").drop("priority")
 
 
+# Order in which an organisation's identifiers are looked up.
+ORGANIZATION_LOOKUP = ["ror", "grid", "wikidata", "ringgold", "isni"]
+
+
+def resolve_organization(requests: DataFrame, organizations: DataFrame, col: str = "identifier") -> DataFrame:
+    """M9 for organisations: the one that holds the identifier under the first kind of
+    ``ORGANIZATION_LOOKUP``; two that share a value: the smaller id."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("value")) for i, c in enumerate(ORGANIZATION_LOOKUP)])
+    long = organizations.select("id", F.explode(kinds).alias("k")).select("id", "k.*").filter("value is not null")
+    best = long.groupBy("value").agg(F.min(F.col("at") * F.lit(1 << 48) + F.col("id")).alias("best"))
+    found = best.select(F.col("value").alias(col), (F.col("best") % F.lit(1 << 48)).alias("organization_id"))
+    return requests.join(found, col, "left")
+
+
 def attach_organization(rows: DataFrame, organizations: DataFrame) -> DataFrame:
     """Organisation id of rows carrying ror/grid/ringgold/wikidata, matched
     in that order; ``new_org`` marks rows with an id but no match (to create);
     rows without any id are skipped."""
     out = rows
     order = ["ror", "grid", "ringgold", "wikidata"]
-    for c in order:
-        o = organizations.filter(F.col(c).isNotNull()).select(F.col(c).alias(c), F.col("id").alias(f"org_{c}"))
+    for c in order:  # an id that two organisations hold names the smaller one
+        o = organizations.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias(f"org_{c}"))
         out = out.join(o, c, "left")
     any_id = F.coalesce(*[F.col(c) for c in order]).isNotNull()
     org = F.coalesce(*[F.col(f"org_{c}") for c in order])
@@ -209,17 +241,10 @@ def archive_missing(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def refresh_datasets(datasets: DataFrame, occurrences: DataFrame, claims: DataFrame,
                      occurrence_agents: DataFrame) -> DataFrame:
-    """Add new dataset keys, drop vanished ones and those without agents,
-    and recompute counters (G28)."""
-    from herbaria.operators.aggs import dataset_counters
-    keys = occurrences.select("datasetKey").distinct()
-    kept = datasets.join(keys, "datasetKey", "left_semi")
-    new = keys.join(datasets.select("datasetKey"), "datasetKey", "left_anti")
-    allk = kept.select("datasetKey").unionByName(new)
-    with_agents = (occurrences.select("datasetKey", F.col("gbifID").alias("occurrence_id"))
-                   .join(occurrence_agents.select("occurrence_id"), "occurrence_id", "left_semi")
-                   .select("datasetKey").distinct())
-    return allk.join(with_agents, "datasetKey", "left_semi").join(dataset_counters(occurrences, claims), "datasetKey")
+    """Add new dataset keys, drop vanished ones and those without agents, and
+    recompute counters; kept datasets keep their other columns, new ones have none."""
+    from herbaria.operators import counters as C
+    return C.refresh_datasets(datasets, C.full_state(occurrences, claims), occurrences, occurrence_agents)
 
 
 def make_public(users: DataFrame, claims: DataFrame, since, now) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from herbaria.functions import scalars as S
-from herbaria.operators.filters import PAGE_SIZES
+from herbaria.functions import predicates as P
 
 
 def running_total(df: DataFrame, value: str, out: str, order=("year", "month")) -> DataFrame:
@@ -46,17 +46,6 @@ def top_k_per_group(df: DataFrame, key: str | list[str], score: str, k: int, tie
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def rank_candidates(candidates: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per person, candidate occurrences ordered by (agent score desc,
-    typeStatus or '' desc, occurrence desc), each occurrence once at its best
-    position; returns (user_id, occurrence_id, position)."""
-    j = candidates.join(scores, ["user_id", "agent_id"])
-    key = F.struct(F.col("score"), F.coalesce("typeStatus", F.lit("")).alias("ts"), F.col("occurrence_id"))
-    best = j.groupBy("user_id", "occurrence_id").agg(F.max(key).alias("k"))
-    w = W.partitionBy("user_id").orderBy(F.col("k").desc())
-    return best.withColumn("position", F.row_number().over(w)).select("user_id", "occurrence_id", "position")
-
-
 def sort_by_column(df: DataFrame, column: str | None, direction: str | None,
                    allowed: list[str] | None = None, tie: str = "gbifID") -> DataFrame:
     """Validated sort; eventDate/dateIdentified sort by their processed
@@ -71,17 +60,6 @@ def sort_by_column(df: DataFrame, column: str | None, direction: str | None,
     return df.orderBy(col, F.col(tie).asc())
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page; size 25, 50, 100 or 250, others raise ValueError; the page is
-    clamped to the last page. The total is counted by Spark (one aggregate)."""
-    if size not in PAGE_SIZES:
-        raise ValueError(f"page size {size} is not one of {PAGE_SIZES}")
-    total = df.count()
-    last = max(1, -(-total // size))
-    number = min(max(1, number), last)
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
-
-
 def random_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """``k`` rows in a seeded hash order of ``key``: reproducible ORDER BY RAND()."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(k)
@@ -98,29 +76,31 @@ def cluster_within_partitions(df: DataFrame, *cols: str) -> DataFrame:
     return df.sortWithinPartitions(*cols)
 
 
-def newest(users: DataFrame, kind: str, n: int = 25) -> DataFrame:
+def newest(users: DataFrame, kind: str, n: int) -> DataFrame:
     """Latest created people with an ORCID (``orcid``) or Wikidata id."""
     return users.filter(F.col(kind).isNotNull()).orderBy(F.col("created").desc(), F.col("id").desc()).limit(n)
 
 
-def specimen_of_the_day(occurrences: DataFrame, claims: DataFrame, users: DataFrame, seed: int,
-                        per_day: int = 50) -> DataFrame:
-    """For every (month, day): up to ``per_day`` holotypes with an image
-    and a collector, each with one seeded-random visible recorded claim and
-    the first two collector names."""
-    from herbaria.functions import predicates as P
+def specimen_of_the_day(occurrences: DataFrame, claims: DataFrame, users: DataFrame, seed: int) -> DataFrame:
+    """For every calendar day one holotype with an image, drawn with a recorded claim on it.
+
+    Every recorded claim on every holotype of the day has the same chance (a seeded
+    hash; the smallest wins). ``collectors`` names the first two people by id with a
+    visible recorded claim on it, joined by ``and``."""
     occ = occurrences.filter((F.lower("typeStatus") == "holotype") & (F.col("hasImage") == 1)
-                             & (F.col("eventDate_processed_year") > 1800) & F.col("recordedBy").isNotNull())
-    rec = claims.filter(P.vis() & P.rec()).select(F.col("occurrence_id").alias("gbifID"), "user_id")
-    pick = (rec.groupBy("gbifID")
-            .agg(F.min_by("user_id", F.xxhash64(F.col("user_id"), F.col("gbifID"), F.lit(seed))).alias("user_id")))
-    names = F.slice(F.split("recordedBy", r"\s*[|;]\s*"), 1, 2)
-    j = (occ.join(pick, "gbifID")
-         .select("gbifID", F.col("eventDate_processed_month").alias("month"),
-                 F.col("eventDate_processed_day").alias("day"), "user_id",
-                 F.array_join(names, ", ").alias("collectors")))
-    w = W.partitionBy("month", "day").orderBy(F.xxhash64(F.col("gbifID"), F.lit(seed)), "gbifID")
-    return j.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_day).drop("_r")
+                             & (F.col("eventDate_processed_year") > 1800))
+    days = occ.select("gbifID", F.col("eventDate_processed_month").alias("month"), F.col("eventDate_processed_day").alias("day"))
+    recorded = claims.filter(P.rec()).select(F.col("occurrence_id").alias("gbifID"), "user_id", "visible")
+    draw = F.md5(F.concat_ws(":", "user_id", "gbifID", F.lit(seed)))
+    drawn = (recorded.join(days, "gbifID").withColumn("draw", draw).groupBy("month", "day")
+             .agg(F.min_by(F.struct("gbifID", "user_id"), "draw").alias("p")).select("month", "day", "p.*"))
+    shown = recorded.filter("visible").select("gbifID", F.col("user_id").alias("id")).join(drawn.select("gbifID").distinct(), "gbifID", "left_semi")
+    w = W.partitionBy("gbifID").orderBy("id")
+    two = shown.withColumn("nth", F.row_number().over(w)).filter("nth <= 2")
+    named = two.join(users.select("id", S.user_names()["viewname"].alias("name")), "id")
+    text = (named.groupBy("gbifID").agg(F.array_sort(F.collect_list(F.struct("nth", "name"))).alias("names"))
+            .select("gbifID", F.array_join(F.transform("names", lambda n: n["name"]), " and ").alias("collectors")))
+    return drawn.join(text, "gbifID", "left").select("month", "day", "gbifID", "user_id", "collectors")
 
 
 def best_statement(statements: DataFrame, entity: str = "entity", prop: str = "property",

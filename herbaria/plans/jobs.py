@@ -108,3 +108,41 @@ def import_source_claims(occurrences: DataFrame, users: DataFrame, claims: DataF
     new = X.classify_roles(people(rec), people(idn)).withColumn("created_by", F.lit(P.SOURCE_AGENT_ID).cast("bigint"))
     target = claims.select("user_id", "occurrence_id", "action", "created_by")
     return X.insert_ignore(target, new, ["user_id", "occurrence_id"], order=["action"])
+
+
+def candidate_counts(claims: DataFrame, occurrence_agents: DataFrame, scores: DataFrame, min_score: float) -> DataFrame:
+    """G23 counts, narrowed to specimens with a candidate (T4); G24 draws from them."""
+    from herbaria.operators import aggs as G
+    from herbaria.operators import candidates as C
+    counts = G.occurrence_counts(claims, occurrence_agents)
+    return C.occurrence_has_candidate(counts, claims, occurrence_agents, scores, min_score)
+
+
+def statistics_rebuild(users: DataFrame, claims: DataFrame, as_of) -> DataFrame:
+    """The blocks of the statistics pages (block, year, month, n, total): monthly claims, attributions
+    and rejections (G32), profiles (G33), and scribes (G31: n attributions, total scribes).
+    The profiles of people are G22 (``operators.profiles.user_stats``)."""
+    from herbaria.operators import aggs as G
+    out = []
+    for kind in ("claims", "attributions", "rejected"):
+        out.append(G.monthly(claims, kind, as_of).select(F.lit(kind).alias("block"), "year", "month", "n", "total"))
+    profiles = G.monthly_profiles(users, as_of)
+    for kind in ("wikidata", "orcid"):
+        out.append(profiles.select(F.lit(f"profiles_{kind}").alias("block"), "year", "month", F.col(f"{kind}_n").alias("n"),
+                                   F.col(f"{kind}_total").alias("total")))
+    none = F.lit(None).cast("int")
+    scribes = G.scribe_stats(claims)
+    out.append(scribes.select(F.lit("scribes").alias("block"), none.alias("year"), none.alias("month"),
+                              F.col("attribution_count").alias("n"), F.col("scribe_count").alias("total")))
+    rows = out[0]
+    for df in out[1:]:
+        rows = rows.unionByName(df)
+    return rows
+
+
+def public_dump(claims: DataFrame, users: DataFrame, countries: DataFrame, base_url: str, path: str) -> None:
+    """The claims of public people as triples (K5) and their profiles (K6), as gzip CSV files."""
+    from herbaria.operators import exports as K
+    options = {"header": True, "compression": "gzip", "escape": '"', "emptyValue": ""}
+    K.claim_triples(claims, users).write.mode("overwrite").options(**options).csv(f"{path}/claims")
+    K.public_profiles(users, countries, base_url).write.mode("overwrite").options(**options).csv(f"{path}/profiles")

@@ -22,8 +22,16 @@ def _code(k: str) -> str:
 
 
 def _orcid(k: str) -> str:
-    return (f"('0000-0002-' || lpad(CAST(({k}) % 10000 AS VARCHAR), 4, '0') || '-' || "
-            f"lpad(CAST((({k}) * 7) % 10000 AS VARCHAR), 4, '0'))")
+    n = f"(CASE WHEN ({k}) < 20000000 THEN ({k}) + 15000000 ELSE 900000000000 + (({k}) - 20000000) % 200000000 END)"
+    d = f"lpad(CAST({n} AS VARCHAR), 15, '0')"
+    # ISO 7064 mod 11-2: fold the digits from the left
+    rest = (f"(12 - list_reduce(list_transform(range(1, 16), lambda i: CAST(substring({d}, CAST(i AS INTEGER), 1) AS BIGINT)), "
+            f"lambda t, x: (t * 2 + x) % 11) * 2 % 11) % 11")
+    return (f"(substring({d}, 1, 4) || '-' || substring({d}, 5, 4) || '-' || substring({d}, 9, 4) || '-' || substring({d}, 13, 3) || "
+            f"CASE WHEN {rest} = 10 THEN 'X' ELSE CAST({rest} AS VARCHAR) END)")
+
+
+_LINKED = "CASE WHEN l_partkey % 10 = 3 THEN -(l_partkey + 1) ELSE l_partkey + 1 END"
 
 
 def _day(start: str, n: str) -> str:
@@ -38,7 +46,6 @@ occ_base AS (
   SELECT p.*, n.n_name, CAST(p_partkey % 25 AS INTEGER) AS nk,
          {_EVENT} AS ev, {_IDENT} AS idt
   FROM part p LEFT JOIN nation n ON CAST(p.p_partkey % 25 AS INTEGER) = n.n_nationkey
-  WHERE (p_partkey + 1) % 50 <> 0
 ),
 occurrences AS (
   SELECT p_partkey + 1 AS gbifID,
@@ -65,8 +72,8 @@ occurrences AS (
          idt AS dateIdentified_processed,
          ev AS eventDate_processed,
          CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS hasImage,
-         CASE WHEN p_partkey % 5 = 0 THEN 'http://www.wikidata.org/entity/Q' || CAST(p_partkey % 300 + 1000 AS VARCHAR) END AS recordedByID,
-         CASE WHEN p_partkey % 7 = 0 THEN 'https://orcid.org/' || {_orcid('p_partkey % 300')} END AS identifiedByID,
+         CASE WHEN p_partkey % 5 = 0 THEN 'http://www.wikidata.org/entity/Q' || CAST(p_partkey * 3 // 4 + 1000 AS VARCHAR) END AS recordedByID,
+         CASE WHEN p_partkey % 7 = 0 THEN 'https://orcid.org/' || {_orcid('p_partkey * 3 // 4')} END AS identifiedByID,
          CAST(year(ev) AS INTEGER) AS eventDate_processed_year,
          CAST(month(ev) AS INTEGER) AS eventDate_processed_month,
          CAST(day(ev) AS INTEGER) AS eventDate_processed_day,
@@ -142,18 +149,17 @@ users AS (
   FROM users_base
 )"""
 
-_CLAIMS = """
+_CLAIMS = f"""
 claims_g AS (
   SELECT o_custkey, l_partkey, min(l_returnflag) AS rf, max(l_linestatus) AS ls,
          min(l_shipdate) AS created, max(l_shipdate) AS updated,
          min(l_linenumber) AS ln_min, max(l_linenumber) AS ln_max, min(l_suppkey) AS sk
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_partkey % 7 <> 3
   GROUP BY o_custkey, l_partkey
 ),
 claims AS (
   SELECT o_custkey + 1 AS user_id,
-         l_partkey + 1 AS occurrence_id,
+         {_LINKED} AS occurrence_id,
          CASE WHEN ls <> 'O' AND ln_min % 2 = 0 THEN NULL
               WHEN rf = 'R' THEN 'recorded'
               WHEN rf = 'A' THEN 'identified'
@@ -185,7 +191,9 @@ occurrence_agents AS (
 _OTHER = f"""
 taxon_occurrences AS (SELECT gbifID AS occurrence_id, family FROM occurrences),
 datasets AS (
-  SELECT DISTINCT p_brand AS datasetKey, 'Dataset ' || p_brand AS title, 'CC_BY_4_0' AS license,
+  SELECT DISTINCT p_brand AS datasetKey, 'Dataset ' || p_brand AS title,
+         'http://creativecommons.org/' || CASE right(p_brand, 1) WHEN '1' THEN 'publicdomain/zero/1.0/' WHEN '2' THEN 'licenses/by-nc/4.0/'
+           ELSE 'licenses/by/4.0/' END || 'legalcode' AS license,
          'occurrence' AS dataset_type FROM part
 ),
 articles AS (
@@ -200,7 +208,7 @@ articles AS (
   FROM orders
 ),
 article_occurrences AS (
-  SELECT DISTINCT l_orderkey + 1 AS article_id, l_partkey + 1 AS occurrence_id FROM lineitem
+  SELECT DISTINCT l_orderkey + 1 AS article_id, {_LINKED} AS occurrence_id FROM lineitem
 ),
 organizations AS (
   SELECT CAST(n_nationkey + 1 AS BIGINT) AS id,
@@ -213,6 +221,14 @@ organizations AS (
          [CAST(n_nationkey + 1 AS VARCHAR), CAST(n_nationkey + 26 AS VARCHAR)] AS institution_codes
   FROM nation
 ),
+organization_records AS (
+  SELECT s_suppkey + 1 AS id, s_name AS name,
+         CASE WHEN s_suppkey % 4 = 0 THEN 'Q7' || s_suppkey // 8 END AS wikidata, CASE WHEN s_suppkey % 3 = 0 THEN 'ror' || s_suppkey // 6 END AS ror,
+         CASE WHEN s_suppkey % 5 = 0 THEN 'grid.' || s_suppkey // 10 END AS grid, CASE WHEN s_suppkey % 7 = 0 THEN '' || s_suppkey // 14 END AS ringgold,
+         CASE WHEN s_suppkey % 11 = 0 THEN 'isni' || s_suppkey // 11 END AS isni, [CAST(s_suppkey + 1 AS VARCHAR)] AS institution_codes
+  FROM supplier
+),
+record_members AS (SELECT c_custkey + 1 AS user_id, c_custkey // 15 + 1 AS organization_id FROM customer),
 user_organizations AS (
   SELECT c_custkey + 1 AS user_id,
          CAST(c_nationkey + 1 AS BIGINT) AS organization_id,

@@ -274,16 +274,14 @@ def g23(m):
 
 
 @query("G25_recorder_report", """
-SELECT oa.agent_id, count(*) AS n,
-  min(CASE WHEN CAST(substring(o."year", 1, 4) AS INTEGER) BETWEEN 1756 AND 2002 THEN CAST(substring(o."year", 1, 4) AS INTEGER) END) AS min_year,
-  max(CASE WHEN CAST(substring(o."year", 1, 4) AS INTEGER) BETWEEN 1756 AND 2002 THEN CAST(substring(o."year", 1, 4) AS INTEGER) END) AS max_year,
-  array_to_string(list_sort(list_distinct(list(o.family))), ', ') AS families,
-  array_to_string(list_sort(list_distinct(list(o.institutionCode))), ', ') AS institutions
+SELECT oa.agent_id, count(*) AS n, concat_ws('–', min(o."year"), max(o."year")) AS event_range,
+  array_to_string(list_sort(list_distinct(list(o.family))), ' | ') AS families,
+  array_to_string(list_sort(list_distinct(list(o.institutionCode))), ' | ') AS institutions
 FROM occurrence_agents oa JOIN occurrences o ON o.gbifID = oa.occurrence_id
 WHERE oa.agent_role GROUP BY oa.agent_id
 """)
 def g25(m):
-    return aggs.recorder_report(m.occurrence_agents, m.occurrences, AS_OF)
+    return aggs.recorder_report(m.occurrence_agents, m.occurrences)
 
 
 @query("G27_orphan_counts", """
@@ -367,14 +365,30 @@ def g33(m):
 
 
 @query("G34_profile_totals", """
-SELECT CASE WHEN orcid IS NOT NULL THEN 'orcid' ELSE 'wikidata' END AS kind, count(*) AS total,
-       count(*) FILTER (WHERE visited) AS visited, count(*) FILTER (WHERE is_public) AS public, count(zenodo_doi) AS doi
-FROM users WHERE orcid IS NOT NULL OR wikidata IS NOT NULL GROUP BY 1
+SELECT 'orcid' AS kind, count(*) AS total, count(*) FILTER (WHERE visited) AS visited,
+       count(*) FILTER (WHERE is_public) AS public, count(zenodo_doi) AS doi FROM users WHERE orcid IS NOT NULL
+UNION ALL
+SELECT 'wikidata', count(*), count(*) FILTER (WHERE visited), count(*) FILTER (WHERE is_public), count(zenodo_doi)
+FROM users WHERE wikidata IS NOT NULL
 """)
 def g34(m):
     return aggs.profile_totals(m.users)
 
 
+@query("G34_site_totals", """
+SELECT 'datasets' AS name, count(*) AS n FROM datasets
+UNION ALL SELECT 'datasets_with_identifiers', count(DISTINCT o.datasetKey) FROM claims c JOIN occurrences o ON o.gbifID = c.occurrence_id
+  WHERE c.created_by = 2
+UNION ALL SELECT 'wikidata_merged', count(*) FROM destroyed_users d JOIN users u ON CAST(u.id AS VARCHAR) = d.identifier
+  WHERE u.wikidata IS NOT NULL
+UNION ALL SELECT 'source_claims', count(*) FROM claims WHERE created_by = 2
+""")
+def g34b(m):
+    gone = m.destroyed_users.join(m.users.select(F.col("id").cast("string").alias("identifier"), "wikidata"), "identifier")
+    gone = gone.select(F.col("wikidata").alias("identifier"))
+    return aggs.site_totals(m.datasets, aggs.dataset_counters(m.occurrences, m.claims), gone, m.claims)
+
+
 @query("G35_org_user_counts", "SELECT organization_id, count(user_id) AS user_count FROM user_organizations GROUP BY 1")
 def g35(m):
     return aggs.org_user_counts(m.user_organizations)
@@ -428,4 +442,4 @@ def n7(m):
 SELECT id, created FROM users WHERE orcid IS NOT NULL ORDER BY created DESC, id DESC LIMIT 25
 """)
 def n9(m):
-    return N.newest(m.users, "orcid").select("id", "created")
+    return N.newest(m.users, "orcid", 25).select("id", "created")

@@ -11,6 +11,7 @@ from herbaria.operators import aggs
 from herbaria.operators import enrich as U
 from herbaria.operators import exports as K
 from herbaria.operators import joins as J
+from herbaria.operators.packages import PACKAGE_OCCURRENCE_COLUMNS
 from herbaria.plans import jobs as B
 from herbaria.plans.registry import query
 from herbaria.sources.testdata import AS_OF
@@ -28,15 +29,26 @@ SELECT 'https://gbif.org/occurrence/' || CAST(c.occurrence_id AS VARCHAR) AS Sub
   {_URI_W} AS Object
 FROM claims c JOIN users u ON u.id = c.user_id,
 LATERAL (SELECT unnest(string_split(c.action, ',')) AS role) r
-WHERE c.visible AND c.action IS NOT NULL AND u.is_public
+WHERE c.action IS NOT NULL AND u.is_public
 """)
 def k5(m):
     return K.claim_triples(m.claims, m.users)
 
 
-@query("K6_public_profiles", "SELECT " + ", ".join(K.PROFILE_COLUMNS) + " FROM users WHERE is_public")
+BASE_URL = "https://people.example.org"
+_WHO = "coalesce({p}.orcid, {p}.wikidata, CAST({p}.id AS VARCHAR))"
+_VIEW = "coalesce({p}.label, " + _FULL + ")"
+
+
+@query("K6_public_profiles", f"""
+SELECT u.family AS Family, u.given AS Given, u.particle AS Particle, u.other_names AS OtherNames, u.label AS LabelName,
+  (SELECT string_agg(c.name, '|' ORDER BY x.at) FROM (SELECT id, unnest(string_split(country_code, '|')) AS code,
+     generate_subscripts(string_split(country_code, '|'), 1) AS at FROM users) x JOIN countries c ON c.code = x.code WHERE x.id = u.id) AS Country,
+  u.keywords AS Keywords, u.wikidata, u.orcid AS ORCID, '{BASE_URL}/' || {_WHO.format(p='u')} AS URL
+FROM users u WHERE u.is_public
+""")
 def k6(m):
-    return K.public_profiles(m.users)
+    return K.public_profiles(m.users, m.countries, BASE_URL)
 
 
 @query("K7_claim_pivot", """
@@ -54,18 +66,30 @@ def k7(m):
 
 @query("K9_article_counts", """
 SELECT c.user_id, ao.article_id, count(*) AS num_specimens, a.doi, coalesce(a.citation, 'NO TITLE') AS reference,
-       'https://doi.org/' || a.doi AS url
+       'https://people.example.org/profile/citation/' || a.doi AS url
 FROM claims c JOIN article_occurrences ao ON ao.occurrence_id = c.occurrence_id JOIN articles a ON a.id = ao.article_id
 WHERE c.visible GROUP BY c.user_id, ao.article_id, a.doi, a.citation
 """)
 def k9(m):
-    return K.article_counts(m.claims, m.article_occurrences, m.articles)
+    return K.article_counts(m.claims, m.article_occurrences, m.articles, BASE_URL)
+
+
+_OCC = ", ".join(f'o."{c}"' for c in PACKAGE_OCCURRENCE_COLUMNS)
+
+
+@query("K10_article_specimens", f"""
+SELECT c.user_id, a.doi AS used_in_doi, o.gbifID, {_OCC}
+FROM claims c JOIN article_occurrences ao ON ao.occurrence_id = c.occurrence_id JOIN articles a ON a.id = ao.article_id
+JOIN occurrences o ON o.gbifID = c.occurrence_id WHERE c.visible
+""")
+def k10(m):
+    return K.article_specimens(m.claims, m.article_occurrences, m.articles, m.occurrences)
 
 
-@query("K12_attributions_given", """
-SELECT c.created_by, c.user_id, c.occurrence_id, o.scientificName,
-  CASE WHEN c.action IN ('recorded','recorded,identified','identified,recorded') THEN coalesce('https://orcid.org/' || u.orcid, 'http://www.wikidata.org/entity/' || u.wikidata) END AS recordedByID,
-  CASE WHEN c.action IN ('identified','recorded,identified','identified,recorded') THEN coalesce('https://orcid.org/' || u.orcid, 'http://www.wikidata.org/entity/' || u.wikidata) END AS identifiedByID
+@query("K12_attributions_given", f"""
+SELECT c.created_by, c.user_id, o.gbifID, {_OCC}, c.action, c.created AS attributed,
+  CASE WHEN c.action LIKE '%recorded%' THEN {_URI.format(p='u')} END AS attributedRecordedByID,
+  CASE WHEN c.action LIKE '%identified%' THEN {_URI.format(p='u')} END AS attributedIdentifiedByID
 FROM claims c JOIN users u ON u.id = c.user_id JOIN occurrences o ON o.gbifID = c.occurrence_id
 WHERE c.visible AND c.created_by <> c.user_id
 """)
@@ -93,10 +117,10 @@ def k19(m):
 WITH orphans AS (SELECT c.user_id, c.created_by FROM claims c
                  WHERE c.visible AND NOT EXISTS (SELECT 1 FROM occurrences o WHERE o.gbifID = c.occurrence_id)),
 per AS (SELECT o.user_id, count(*) AS n,
-               array_to_string(list_sort(list_distinct(list({_FULL.format(p='k')}))), '; ') AS claimants
+               array_to_string(list_sort(list_distinct(list({_VIEW.format(p='k')}))), '; ') AS claimants
         FROM orphans o LEFT JOIN users k ON k.id = o.created_by GROUP BY o.user_id)
 SELECT p.user_id, p.n, p.claimants, coalesce(u.orcid, u.wikidata, CAST(u.id AS VARCHAR)) AS identifier,
-       {_FULL.format(p='u')} AS name
+       {_VIEW.format(p='u')} AS name
 FROM per p JOIN users u ON u.id = p.user_id
 """)
 def k20(m):
@@ -104,7 +128,8 @@ def k20(m):
 
 
 @query("K21_new_identifiers", """
-SELECT coalesce(orcid, wikidata) AS identifier FROM users WHERE is_public AND coalesce(orcid, wikidata) IS NOT NULL
+SELECT identifier FROM (SELECT orcid AS identifier FROM users WHERE is_public UNION ALL SELECT wikidata FROM users WHERE is_public)
+WHERE identifier IS NOT NULL
 EXCEPT ALL SELECT regexp_extract(recordedByID, '(Q[0-9]+)', 1) FROM occurrences WHERE recordedByID IS NOT NULL
 """)
 def k21(m):

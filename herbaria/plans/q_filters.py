@@ -157,7 +157,7 @@ _ROSTER_SQL = {
     "public": "is_public",
     "gallery": "is_public AND image_url IS NOT NULL",
     "signatures": "is_public AND signature_url IS NOT NULL",
-    "help": "id NOT IN (1, 2) AND family IS NOT NULL AND family <> ''",
+    "help": "id NOT IN (1, 2) AND family IS NOT NULL AND label IS NOT NULL",
 }
 for _kind, _cond in _ROSTER_SQL.items():
     query(f"F11_roster_{_kind}", f"SELECT id, family, given FROM users WHERE {_cond}")(

@@ -188,11 +188,15 @@ def a1(m):
     return A.occurrences_table(m.occurrences, m.claims)
 
 
+_VIEWNAME = "coalesce({p}.label, " + _FULLNAME + ")"
+_LIST = """'[' || array_to_string(list_transform({v}, lambda x: '"' || {x} || '"'), ', ') || ']'"""
+
+
 @query("A2_package_users", "WITH " + _CLAIMED_SQL + f"""
-SELECT DISTINCT cl.datasetKey, u.id AS user_id, u.family, u.given, u.orcid, u.wikidata,
-  {_FULLNAME.format(p='u')} AS name,
-  array_to_string(list_filter(list_transform(string_split(u.other_names, '|'), lambda x: trim(x)), lambda x: x <> ''), '; ') AS alternate_names,
-  {_URI.format(p='u')} AS uri
+SELECT DISTINCT cl.datasetKey, u.id, {_VIEWNAME.format(p='u')} AS name, u.family AS familyName, u.particle, u.given AS givenName,
+  {_LIST.format(v="string_split(u.other_names, '|')", x='x')} AS alternateName, {_URI.format(p='u')} AS sameAs, u.orcid, u.wikidata,
+  u.date_born AS birthDate, u.date_born_precision AS birthDatePrecision, u.date_died AS deathDate,
+  u.date_died_precision AS deathDatePrecision
 FROM claims c JOIN claimed cl ON cl.occurrence_id = c.occurrence_id JOIN users u ON u.id = c.user_id
 WHERE c.visible AND u.is_public
 """)
@@ -221,7 +225,8 @@ def a3(m):
 
 
 @query("A4_package_articles", "WITH " + _CLAIMED_SQL + """
-SELECT DISTINCT cl.datasetKey, a.id, a.doi, a.citation, array_to_string(a.gbif_dois, ' ') AS dataset_dois
+SELECT DISTINCT cl.datasetKey, a.id, a.citation AS reference, 'https://doi.org/' || a.doi AS sameAs,
+  """ + _LIST.format(v="a.gbif_dois", x="'https://doi.org/' || x") + """ AS datasets
 FROM claimed cl JOIN article_occurrences ao ON ao.occurrence_id = cl.occurrence_id JOIN articles a ON a.id = ao.article_id
 """)
 def a4(m):
@@ -252,9 +257,11 @@ def a6(m):
 
 
 @query("A7_package_not_them", f"""
-SELECT c.occurrence_id, c.user_id, c.created_by, o.datasetKey, o.catalogNumber, o.recordedBy, o.identifiedBy,
-  {_URI.format(p='u')} AS uri, {_FULLNAME.format(p='u')} AS name
-FROM claims c JOIN occurrences o ON o.gbifID = c.occurrence_id JOIN users u ON u.id = c.user_id
+SELECT o.datasetKey, c.occurrence_id, o.catalogNumber, o.recordedBy, o.recordedByID, o.identifiedBy, o.identifiedByID,
+  {_URI.format(p='u')} AS differentFrom, c.user_id, {_VIEWNAME.format(p='u')} AS name, u.wikidata, u.orcid,
+  {_VIEWNAME.format(p='k')} AS createdBy, {_URI.format(p='k')} AS createdByURI,
+  strftime(c.created, '%Y-%m-%dT%H:%M:%S+00:00') AS createdDateTime, strftime(c.updated, '%Y-%m-%dT%H:%M:%S+00:00') AS modifiedDateTime
+FROM claims c JOIN occurrences o ON o.gbifID = c.occurrence_id JOIN users u ON u.id = c.user_id JOIN users k ON k.id = c.created_by
 WHERE NOT c.visible
 """)
 def a7(m):
@@ -267,17 +274,17 @@ _RES = """CASE WHEN {d} IS NULL THEN NULL
   WHEN {p} = 'month' THEN make_date(CAST(year({d}) AS INTEGER), CAST(month({d}) AS INTEGER), 28)
   ELSE {d} END"""
 _PROBLEM_SQL = f"""
-SELECT c.user_id, c.occurrence_id, u.wikidata, u.date_born, u.date_born_precision, u.date_died, u.date_died_precision,
-       o.datasetKey, o.catalogNumber, o.{{f}} AS d
+SELECT o.datasetKey, c.occurrence_id, o.catalogNumber, c.user_id, u.wikidata, u.date_born AS birthDate,
+       u.date_born_precision AS birthDatePrecision, u.date_died AS deathDate, u.date_died_precision AS deathDatePrecision, {{cols}}
 FROM claims c JOIN users u ON u.id = c.user_id JOIN occurrences o ON o.gbifID = c.occurrence_id
 WHERE c.visible AND c.action <> '{{skip}}' AND u.wikidata IS NOT NULL AND o.{{f}} IS NOT NULL
   AND (coalesce({_RES.format(d='u.date_born', p='u.date_born_precision')} >= o.{{f}}, FALSE)
        OR coalesce({_RES.format(d='u.date_died', p='u.date_died_precision')} <= o.{{f}}, FALSE))
 """
 
-query("A8_package_problem_collector_dates", _PROBLEM_SQL.format(f="eventDate_processed", skip="identified"))(
+query("A8_package_problem_collector_dates", _PROBLEM_SQL.format(f="eventDate_processed", skip="identified", cols='o.eventDate, o."year"'))(
     lambda m: A.problem_dates_table(m.occurrences, m.claims, m.users, "recorded"))
-query("A9_package_problem_determiner_dates", _PROBLEM_SQL.format(f="dateIdentified_processed", skip="recorded"))(
+query("A9_package_problem_determiner_dates", _PROBLEM_SQL.format(f="dateIdentified_processed", skip="recorded", cols="o.dateIdentified"))(
     lambda m: A.problem_dates_table(m.occurrences, m.claims, m.users, "identified"))
 
 

@@ -74,8 +74,7 @@ class Model:
         ident = F.when(k % 11 == 0, F.lit(None).cast("date")).otherwise(
             F.date_add(event, (k * 7 % 900).cast("int")))
         nk = (k % 25).cast("int")
-        occ = (p.filter((k + 1) % 50 != 0)
-               .withColumn("nk", nk)
+        occ = (p.withColumn("nk", nk)
                .join(nation, F.col("nk") == F.col("n_nationkey"), "left")
                .select(
                    (k + 1).alias("gbifID"),
@@ -109,9 +108,9 @@ class Model:
                    event.alias("eventDate_processed"),
                    F.when(k % 3 == 0, F.lit(1)).otherwise(F.lit(0)).alias("hasImage"),
                    F.when(k % 5 == 0, F.concat(F.lit("http://www.wikidata.org/entity/Q"),
-                                               (k % 300 + 1000).cast("string")))
+                                               (_source_person(k) + 1000).cast("string")))
                     .otherwise(F.lit(None).cast("string")).alias("recordedByID"),
-                   F.when(k % 7 == 0, F.concat(F.lit("https://orcid.org/"), _orcid(k % 300)))
+                   F.when(k % 7 == 0, F.concat(F.lit("https://orcid.org/"), _orcid(_source_person(k))))
                     .otherwise(F.lit(None).cast("string")).alias("identifiedByID"),
                ))
         return (occ
@@ -217,26 +216,27 @@ class Model:
     # -- claims --------------------------------------------------------------
     @cached_property
     def claims(self) -> DataFrame:
-        """user_occurrences: one row per (user, occurrence)."""
+        """user_occurrences: one row per (user, occurrence), from every line item.
+
+        Flags are aggregated as character codes, so the aggregate can hash."""
         li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                          "l_returnflag", "l_linestatus", "l_shipdate")
         o = self.raw("orders").select("o_orderkey", "o_custkey")
-        g = (li.filter(F.col("l_partkey") % 7 != 3)
-             .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        g = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
              .groupBy("o_custkey", "l_partkey")
-             .agg(F.min("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls"),
+             .agg(F.min(F.ascii("l_returnflag")).alias("rf"), F.max(F.ascii("l_linestatus")).alias("ls"),
                   F.min("l_shipdate").alias("created"), F.max("l_shipdate").alias("updated"),
                   F.min("l_linenumber").alias("ln_min"), F.max("l_linenumber").alias("ln_max"),
                   F.min("l_suppkey").alias("sk")))
         user_id = F.col("o_custkey") + 1
-        visible = F.col("ls") == "O"
-        base = (F.when(F.col("rf") == "R", F.lit("recorded"))
-                .when(F.col("rf") == "A", F.lit("identified"))
+        visible = F.col("ls") == ord("O")
+        base = (F.when(F.col("rf") == ord("R"), F.lit("recorded"))
+                .when(F.col("rf") == ord("A"), F.lit("identified"))
                 .when(F.col("ln_max") == 7, F.lit("identified,recorded"))
                 .otherwise(F.lit("recorded,identified")))
         return g.select(
             user_id.alias("user_id"),
-            (F.col("l_partkey") + 1).alias("occurrence_id"),
+            _linked_id(F.col("l_partkey")).alias("occurrence_id"),
             F.when(~visible & (F.col("ln_min") % 2 == 0), F.lit(None).cast("string"))
              .otherwise(base).alias("action"),
             visible.alias("visible"),
@@ -287,7 +287,7 @@ class Model:
                   .when(F.col("family") == "", F.lit("[]"))
                   .otherwise(F.to_json(F.array(F.struct(F.col("family"), F.col("given"))))))
         return (g.join(a, (k + 1) == F.col("aid"))
-                .select((F.col("l_orderkey") * 100000 + k).alias("id"),
+                .select(F.concat_ws("-", F.col("l_orderkey"), k).alias("id"),
                         F.when(F.col("family") == "", F.col("unparsed"))
                          .otherwise(F.concat_ws(" ", "given", "family")).alias("agents"),
                         "gbifIDs_recordedBy", "gbifIDs_identifiedBy", parsed.alias("parsed")))
@@ -303,9 +303,21 @@ class Model:
         p = self.raw("part").select("p_brand").distinct()
         return p.select(F.col("p_brand").alias("datasetKey"),
                         F.concat(F.lit("Dataset "), F.col("p_brand")).alias("title"),
-                        F.lit("CC_BY_4_0").alias("license"),
+                        F.concat(F.lit("http://creativecommons.org/"),
+                                 F.when(F.col("p_brand").endswith("1"), F.lit("publicdomain/zero/1.0/"))
+                                 .when(F.col("p_brand").endswith("2"), F.lit("licenses/by-nc/4.0/"))
+                                 .otherwise(F.lit("licenses/by/4.0/")), F.lit("legalcode")).alias("license"),
                         F.lit("occurrence").alias("dataset_type"))
 
+    @cached_property
+    def messages(self) -> DataFrame:
+        """Messages: the customer of an order writes to the person of each of its suppliers."""
+        li = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+        o = self.raw("orders").select("o_orderkey", "o_custkey")
+        return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            (F.col("o_custkey") + 1).alias("user_id"), (F.col("l_suppkey") + 1).alias("recipient_id"),
+            F.col("l_shipdate").alias("created_at"))
+
     # -- articles ------------------------------------------------------------
     @cached_property
     def articles(self) -> DataFrame:
@@ -327,7 +339,7 @@ class Model:
     def article_occurrences(self) -> DataFrame:
         li = self.raw("lineitem").select("l_orderkey", "l_partkey")
         return li.select((F.col("l_orderkey") + 1).alias("article_id"),
-                         (F.col("l_partkey") + 1).alias("occurrence_id")).distinct()
+                         _linked_id(F.col("l_partkey")).alias("occurrence_id")).distinct()
 
     # -- organisations -------------------------------------------------------
     @cached_property
@@ -347,6 +359,32 @@ class Model:
             F.array((k + 1).cast("string"), (k + 26).cast("string")).alias("institution_codes"),
         )
 
+    @cached_property
+    def organization_records(self) -> DataFrame:
+        """Organisations as they come in from several sources, one per supplier: some share identifiers."""
+        s = self.raw("supplier")
+        k = F.col("s_suppkey")
+        none = F.lit(None).cast("string")
+        some = lambda step, text, of: F.when(k % step == 0, F.concat(F.lit(text), F.floor(k / of).cast("string"))).otherwise(none)
+        return s.select((k + 1).alias("id"), F.col("s_name").alias("name"), some(4, "Q7", 8).alias("wikidata"), some(3, "ror", 6).alias("ror"),
+                        some(5, "grid.", 10).alias("grid"), some(7, "", 14).alias("ringgold"), some(11, "isni", 11).alias("isni"),
+                        F.array((k + 1).cast("string")).alias("institution_codes"))
+
+    @cached_property
+    def record_members(self) -> DataFrame:
+        """(user_id, organization_id) members of the organisation records."""
+        k = F.col("c_custkey")
+        return self.raw("customer").select((k + 1).alias("user_id"), (F.floor(k / 15) + 1).alias("organization_id"))
+
+    @cached_property
+    def download_rows(self) -> DataFrame:
+        """(key, gbifID, basisOfRecord) rows of the downloads behind articles that are not processed yet."""
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+        o = self.raw("orders").filter(F.col("o_orderstatus") == "P").select("o_orderkey")
+        return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            F.concat(F.lit("0000"), F.col("l_orderkey").cast("string")).alias("key"), _linked_id(F.col("l_partkey")).alias("gbifID"),
+            F.when(F.col("l_linenumber") == 7, F.lit("HUMAN_OBSERVATION")).otherwise(F.lit("PRESERVED_SPECIMEN")).alias("basisOfRecord"))
+
     @cached_property
     def user_organizations(self) -> DataFrame:
         c = self.raw("customer").select("c_custkey", "c_nationkey")
@@ -389,9 +427,25 @@ class Model:
 
 
 def _orcid(k: Column) -> Column:
-    """ORCID-shaped identifier for a non-negative integer column."""
-    return F.concat(F.lit("0000-0002-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("-"),
-                    F.lpad((k * 7 % 10000).cast("string"), 4, "0"))
+    """ORCID of person ``k``, with its check digit: unique for the first 220 million people."""
+    n = F.when(k < 20_000_000, k + 15_000_000).otherwise(900_000_000_000 + (k - 20_000_000) % 200_000_000)
+    digits = F.lpad(n.cast("string"), 15, "0")
+    total = sum((F.substring(digits, i + 1, 1).cast("int") * pow(2, 15 - i, 11) for i in range(15)), F.lit(0))
+    check = (12 - total % 11) % 11
+    last = F.when(check == 10, F.lit("X")).otherwise(check.cast("string"))
+    return F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 4), F.substring(digits, 9, 4),
+                       F.concat(F.substring(digits, 13, 3), last))
+
+
+def _source_person(k: Column) -> Column:
+    """The person that the source record of part ``k`` names: three of four parts name another one."""
+    return F.floor(k * 3 / 4)
+
+
+def _linked_id(partkey: Column) -> Column:
+    """Occurrence id of a claim or citation: a tenth of the parts is linked by an id that no
+    occurrence has (a negative one), which makes orphans and leaves those occurrences unclaimed."""
+    return F.when(partkey % 10 == 3, -(partkey + 1)).otherwise(partkey + 1)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Model:

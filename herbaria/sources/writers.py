@@ -1,4 +1,4 @@
-"""Writers (K1-K4, K17): table writes and CSV exports.
+"""Writers (K1-K4): table writes and CSV exports; packages are in ``sources.packages``.
 
 Writes go to folders (Parquet/CSV); a JDBC sink uses Spark's batched writer
 (``batchsize``) with one connection per partition, which replaces the
@@ -7,9 +7,6 @@ hand-written batch loops of the source.
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,28 +47,4 @@ def write_id_list_csv(df: DataFrame, path: str, cols: list[str]) -> None:
         .option("escape", '"').csv(path)
 
 
-def write_packages(tables: dict[str, DataFrame], root: str, compression: str = "gzip") -> None:
-    """Every package table for every dataset in one job per table,
-    partitioned by datasetKey (one folder per dataset)."""
-    for name, df in tables.items():
-        (df.write.mode("overwrite").option("header", True).option("compression", compression)
-         .partitionBy("datasetKey").csv(f"{root}/{name}"))
-
-
-def package_descriptor(root: str, tables: list[str], sizes: dict[str, int], hashes: dict[str, str]) -> str:
-    """Small JSON descriptor (names, byte sizes, MD5) — driver-side text
-    over file metadata only, never over rows."""
-    resources = [{"name": t, "path": f"{t}.csv", "bytes": sizes.get(t), "hash": hashes.get(t)} for t in tables]
-    return json.dumps({"profile": "tabular-data-package", "resources": resources}, indent=2)
-
-
-def md5_of(path: str) -> str:
-    h = hashlib.md5()
-    with open(path, "rb") as fh:
-        for chunk in iter(lambda: fh.read(1 << 20), b""):
-            h.update(chunk)
-    return h.hexdigest()
-
-
-__all__ = ["write_table", "write_jdbc", "write_clustered", "id_list_csv", "write_id_list_csv", "write_packages",
-           "package_descriptor", "md5_of", "F"]
+__all__ = ["write_table", "write_jdbc", "write_clustered", "id_list_csv", "write_id_list_csv", "F"]
