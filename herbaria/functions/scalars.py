@@ -428,11 +428,18 @@ def valid_date(col: str | Column, as_of=None) -> Column:
     return F.when((F.year(d) >= MIN_YEAR) & (F.year(d) <= F.year(_as_of(as_of))), d)
 
 
+def _ordinal(n: Column) -> Column:
+    """``21st``, ``22nd``, ``23rd``, ``11th``."""
+    teens = (n % 100).between(11, 13)
+    ending = (F.when(~teens & (n % 10 == 1), "st").when(~teens & (n % 10 == 2), "nd").when(~teens & (n % 10 == 3), "rd").otherwise("th"))
+    return F.concat(n.cast("string"), ending)
+
+
 def _render_date(d: Column, p: Column) -> Column:
     return (F.when(p == "day", F.date_format(d, "MMMM d, yyyy"))
             .when(p == "month", F.date_format(d, "MMMM yyyy"))
             .when(p == "year", F.date_format(d, "yyyy"))
-            .when(p == "century", F.concat((F.floor(F.year(d) / 100) + 1).cast("string"), F.lit("th century")))
+            .when(p == "century", F.concat(_ordinal(F.floor(F.year(d) / 100) + 1), F.lit(" century")))
             .otherwise(F.lit("?")))
 
 

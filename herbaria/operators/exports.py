@@ -4,7 +4,7 @@ writes them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herbaria.functions import predicates as P
@@ -103,25 +103,50 @@ def attributions_given(claims: DataFrame, occurrences: DataFrame, users: DataFra
                     F.when(identified, F.col("uri")).alias("attributedIdentifiedByID"), F.col("created").alias("attributed"))
 
 
-def occurrence_documents(occurrences: DataFrame, claims: DataFrame, users: DataFrame,
-                         article_occurrences: DataFrame, articles: DataFrame) -> DataFrame:
-    """One JSON document per specimen with recorded[], identified[] and
-    references[]; each list is grouped per occurrence after a distinct, so it
-    is bounded by that specimen's claims and citations."""
-    u = users.select(F.col("id").alias("user_id"), S.user_names()["fullname"].alias("name"),
-                     S.person_uri().alias("uri"))
-    c = claims.filter(P.vis()).join(u, "user_id")
-    rec = (c.filter(P.rec()).groupBy("occurrence_id")
-           .agg(F.sort_array(F.collect_list(F.struct("uri", "name"))).alias("recorded")))
-    idn = (c.filter(P.idn()).groupBy("occurrence_id")
-           .agg(F.sort_array(F.collect_list(F.struct("uri", "name"))).alias("identified")))
-    refs = (article_occurrences.join(articles.select(F.col("id").alias("article_id"), "doi"), "article_id")
-            .groupBy("occurrence_id").agg(F.sort_array(F.collect_list("doi")).alias("references")))
-    occ = occurrences.select(F.col("gbifID").alias("occurrence_id"), "scientificName", "eventDate", "datasetKey")
-    j = occ.join(rec, "occurrence_id", "left").join(idn, "occurrence_id", "left").join(refs, "occurrence_id", "left")
-    return j.select("occurrence_id", F.to_json(F.struct(
-        F.col("occurrence_id").alias("@id"), "scientificName", "eventDate", "recorded", "identified",
-        "references")).alias("document"))
+def _person(base_url: str) -> Column:
+    """A person in a JSON-LD document."""
+    alias = F.coalesce(F.split("other_names", r"\|"), F.array().cast("array<string>"))
+    return F.struct(F.lit("Person").alias("@type"), F.concat(F.lit(base_url.rstrip("/") + "/"), S.identifier()).alias("@id"),
+                    S.person_uri().alias("sameAs"), F.col("given").alias("givenName"), F.col("family").alias("familyName"),
+                    S.user_names()["viewname"].alias("name"), alias.alias("alternateName"))
+
+
+def occurrence_documents(occurrences: DataFrame, claims: DataFrame, users: DataFrame, article_occurrences: DataFrame,
+                         articles: DataFrame, base_url: str) -> DataFrame:
+    """One JSON document per specimen: its columns, recorded[], identified[], associatedReferences[] and
+    annotations[] where a collector's known life does not hold the date.
+
+    A person claims a specimen once, so the lists are as long as a specimen has
+    claims and citations, by person and article id."""
+    from herbaria.operators.joins import date_warnings
+    base = base_url.rstrip("/")
+    people = users.select(F.col("id").alias("user_id"), _person(base).alias("person"),
+                          S.user_names()["viewname"].alias("name"), S.lifespan_label().alias("life"))
+    c = claims.filter(P.vis()).select("user_id", "occurrence_id", "action").join(people, "user_id")
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        per = df.groupBy("occurrence_id").agg(F.array_sort(F.collect_list(F.struct("user_id", "person"))).alias("l"))
+        return per.select("occurrence_id", F.transform("l", lambda x: x["person"]).alias(name))
+
+    refs = articles.select(F.col("id").alias("article_id"), F.struct(
+        F.lit("ScholarlyArticle").alias("@type"), F.concat(F.lit(f"{base}/article/"), "doi").alias("@id"),
+        F.concat(F.lit("https://doi.org/"), "doi").alias("sameAs"), F.col("citation").alias("description")).alias("ref"))
+    refs = (article_occurrences.join(refs, "article_id").groupBy("occurrence_id")
+            .agg(F.array_sort(F.collect_list(F.struct("article_id", "ref"))).alias("l"))
+            .select("occurrence_id", F.transform("l", lambda x: x["ref"]).alias("associatedReferences")))
+    warned = date_warnings(users, claims, occurrences).filter("collected_warning").groupBy("occurrence_id").agg(F.min("user_id").alias("user_id"))
+    warned = warned.join(people.select("user_id", "name", "life"), "user_id").select("occurrence_id", "name", "life")
+    occ = occurrences.select(F.col("gbifID").alias("occurrence_id"), *PACKAGE_OCCURRENCE_COLUMNS)
+    j = (occ.join(listed(c.filter(P.rec()), "recorded"), "occurrence_id", "left").join(listed(c.filter(P.idn()), "identified"), "occurrence_id", "left")
+         .join(refs, "occurrence_id", "left").join(warned, "occurrence_id", "left"))
+    note = F.when(F.col("life").isNotNull(), F.array(F.struct(
+        F.lit("oa:Annotation").alias("@type"), F.lit("eventDate").alias("oa:property"),
+        F.concat(F.lit("The date "), F.coalesce("eventDate", F.lit("")), F.lit(" may be incorrect: it falls outside the known lifespan of "),
+                 "name", F.lit(", "), "life").alias("rdf:value"))))
+    body = F.struct(F.lit("PreservedSpecimen").alias("@type"), F.concat(F.lit(f"{base}/occurrence/"), "occurrence_id").alias("@id"),
+                    S.occurrence_uri("occurrence_id").alias("sameAs"), "recorded", "identified", "associatedReferences",
+                    note.alias("annotations"), *PACKAGE_OCCURRENCE_COLUMNS)
+    return j.select("occurrence_id", F.to_json(body).alias("document"))
 
 
 def person_list_by_taxon(claims: DataFrame, taxon_occurrences: DataFrame) -> DataFrame:
@@ -167,11 +192,7 @@ def network_rows(recorded_with: DataFrame, users: DataFrame, base_url: str) -> D
     A document is the person with all rows of theirs; rows stay apart, as a person
     may have any number of co-collectors.
     """
-    alias = F.coalesce(F.split("other_names", r"\|"), F.array().cast("array<string>"))
-    person = F.to_json(F.struct(
-        F.lit("Person").alias("@type"), F.concat(F.lit(base_url.rstrip("/") + "/"), S.identifier()).alias("@id"),
-        F.col("given").alias("givenName"), F.col("family").alias("familyName"), S.user_names()["viewname"].alias("name"),
-        alias.alias("alternateName"), S.person_uri().alias("sameAs")))
+    person = F.to_json(_person(base_url))
     p = users.select("id", person.alias("person"))
     return (recorded_with.select("user_id", "other_id").join(p.withColumnRenamed("id", "user_id"), "user_id")
             .join(p.select(F.col("id").alias("other_id"), F.col("person").alias("co_collector")), "other_id")

@@ -1,10 +1,10 @@
 """People-to-agent matching and document filters (T-series).
 
 The reference asks a search index one name at a time. Here every person's
-name variants are matched against every agent in one job: variants and agents
-are reduced to a blocking key (folded family name + first initial) and joined
-on it; a documented weighted score replaces the index's relevance score
-(see README, "Matching score").
+name variants are matched against every agent in one job, by the folded full name
+and by folded family name and first initial; a documented weighted score replaces
+the index's relevance score (see README, "Matching score"). Search of text (T7) is
+in ``operators.search``, specimens with a candidate (T4) in ``operators.candidates``.
 """
 
 from __future__ import annotations
@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 
 from herbaria.functions import predicates as P
 from herbaria.functions import scalars as S
+from herbaria.operators.paging import rank_within
+from herbaria.operators.pairs import join_in_blocks
 
-# Weights per variant kind (fixed values) and this library's own cut-off: a
-# family + initial match on the full name (25) and on one abbreviation (20)
-# passes; a family-only match (3) does not. The source's cut-offs (65 / 32.5)
-# belong to its index's relevance score and do not carry over.
+# Weights per variant kind (fixed values).
 VARIANT_WEIGHTS = {"fullname": 5, "label": 4, "abbreviation": 4, "family": 3, "other": 1}
 UNPARSED_WEIGHT = 5
-CUTOFF = 40.0
-NETWORK_MIN_SCORE = 0.75 * CUTOFF
+EXACT, INITIAL = 10.0, 5.0
 
 
 def name_variants(users: DataFrame, max_other_names: int | None = None) -> DataFrame:
@@ -83,58 +81,64 @@ def _agent_keys(agents: DataFrame) -> DataFrame:
 
 
 def match_agents(variants: DataFrame, agents: DataFrame) -> DataFrame:
-    """(user_id, agent_id, score) for every person-agent pair sharing a block.
+    """(user_id, agent_id, score) for every person-agent pair with points.
 
-    Blocks: (folded family, first initial) for parsed agents — a variant with
-    no initial blocks on the family alone; the initials key of unparsed agents.
-    Per matching variant: exact folded name = 10 x weight, family + initial
-    = 5 x weight, family only = 1 x weight; unparsed key = 5 x UNPARSED_WEIGHT.
+    Per variant: the agent's folded full name is the variant's: 10 x weight; else
+    the person's family name and the variant's first initial are the agent's: 5 x
+    weight. An agent whose name was not parsed gets 25 for each variant with the
+    same initials key. Agents of a frequent name are dealt to many tasks.
     """
     v = _variant_keys(variants)
     a = _agent_keys(agents)
     parsed = a.filter(F.col("fam") != "")
-    with_ini = v.filter(F.col("ini") != "").join(parsed.select("agent_id", "fam", "ini", F.col("folded").alias("afold")),
-                                                 ["fam", "ini"])
-    fam_only = v.filter(F.col("ini") == "").join(parsed.select("agent_id", "fam", F.col("folded").alias("afold")), "fam")
-    pts = lambda df, base: df.select(
-        "user_id", "agent_id",
-        (F.when(F.col("folded") == F.col("afold"), F.lit(10.0)).otherwise(F.lit(base)) * F.col("weight")).alias("pts"))
-    unparsed = (v.filter(F.col("ikey") != "")
-                .join(a.filter((F.col("fam") == "") & (F.col("ikey") != "")).select("agent_id", "ikey"), "ikey")
-                .select("user_id", "agent_id", F.lit(5.0 * UNPARSED_WEIGHT).alias("pts")))
-    allp = pts(with_ini, 5.0).unionByName(pts(fam_only, 1.0)).unionByName(unparsed)
-    return allp.groupBy("user_id", "agent_id").agg(F.sum("pts").alias("score"))
-
-
-def candidate_agents(users: DataFrame, agents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Agents kept for a person: exact full names are boosted by the
-    cut-off; others must share a known family and a compatible initial; scores
-    below the cut-off (or half of it after boosting) are dropped."""
+    exact = join_in_blocks(v.filter(F.col("folded") != "").select("user_id", "variant", "kind", "weight", "folded"),
+                           parsed.select("agent_id", "folded"), "folded").select("user_id", "agent_id", (EXACT * F.col("weight")).alias("pts"))
+    initial = (join_in_blocks(v.filter(F.col("ini") != "").select("user_id", "variant", "kind", "weight", "fam", "ini", "folded"),
+                              parsed.select("agent_id", "fam", "ini", F.col("folded").alias("afold")), ["fam", "ini"])
+               .filter("folded <> afold").select("user_id", "agent_id", (INITIAL * F.col("weight")).alias("pts")))
+    unparsed = (join_in_blocks(v.filter(F.col("ikey") != "").select("user_id", "variant", "kind", "ikey"),
+                               a.filter((F.col("fam") == "") & (F.col("ikey") != "")).select("agent_id", "ikey"), "ikey")
+                .select("user_id", "agent_id", F.lit(INITIAL * UNPARSED_WEIGHT).alias("pts")))
+    return exact.unionByName(initial).unionByName(unparsed).groupBy("user_id", "agent_id").agg(F.sum("pts").alias("score"))
+
+
+def known_names(variants: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, full_names, families, initials): folded names a person is known by, for T3.
+
+    Other names of two words or more bring their last word as a family name and
+    their first letter as an initial.
+    """
+    full = (variants.groupBy("user_id").agg(F.collect_set(F.array_join(S.name_tokens("variant"), " ")).alias("full_names")))
+    others = F.transform(F.coalesce(S.split_pipe("other_names"), F.array().cast("array<string>")), S.name_tokens)
+    parsed = F.filter(others, lambda t: F.size(t) > 1)
+    own = F.filter(F.array(S.fold_name("family")), lambda x: x.isNotNull())
+    given = F.filter(F.array(F.substring(S.fold_name("given"), 1, 1)), lambda x: x.isNotNull() & (x != ""))
+    names = users.select(F.col("id").alias("user_id"),
+                         F.array_distinct(F.concat(own, F.transform(parsed, lambda t: F.element_at(t, -1)))).alias("families"),
+                         F.array_distinct(F.concat(given, F.transform(parsed, lambda t: F.substring(t[0], 1, 1)))).alias("initials"))
+    return full.join(names, "user_id")
+
+
+def candidate_agents(users: DataFrame, agents: DataFrame, cutoff: float, relaxed: bool = False) -> DataFrame:
+    """(user_id, agent_id, score) of the agents kept for a person.
+
+    An agent with one of the person's full names gains ``cutoff``. Any other is
+    removed if one of the person's known initials is not the agent's, or if the
+    agent's family name is not known; a score over twice ``cutoff`` saves it. Scores
+    below ``cutoff`` are dropped. ``relaxed``: no rule but half of ``cutoff``.
+    """
     variants = name_variants(users)
     scores = match_agents(variants, agents)
-    full_names = (variants.select("user_id", F.array_join(S.name_tokens("variant"), " ").alias("vf"))
-                  .groupBy("user_id").agg(F.collect_set("vf").alias("full_names")))
-    a = _agent_keys(agents).select("agent_id", F.col("folded").alias("afold"))
-    j = scores.join(a, "agent_id").join(full_names, "user_id")
-    boosted = F.when(F.array_contains("full_names", F.col("afold")), F.col("score") + cutoff).otherwise(F.col("score"))
-    return (j.select("user_id", "agent_id", boosted.alias("score"))
-            .filter(F.col("score") >= cutoff))
-
-
-def occurrence_has_candidate(counts: DataFrame, claims: DataFrame, occurrence_agents: DataFrame,
-                             candidates: DataFrame, min_score: float = NETWORK_MIN_SCORE, min_network: int = 2) -> DataFrame:
-    """T4: occurrences (from G23 counts) where a recorder agent matches a
-    co-collector of the claimed collectors who has not claimed it yet, and
-    the occurrence's collector network has at least ``min_network`` people."""
-    from herbaria.operators.joins import collector_network
-    net = collector_network(claims)
-    size = net.groupBy("occurrence_id").agg(F.count(F.lit(1)).alias("network"))
-    rec_agents = occurrence_agents.filter(F.col("agent_role")).select("occurrence_id", "agent_id")
-    good = candidates.filter(F.col("score") > min_score).select("user_id", "agent_id")
-    hit = (net.join(good, "user_id").join(rec_agents, ["occurrence_id", "agent_id"])
-           .select("occurrence_id").distinct())
-    return (counts.join(size.filter(F.col("network") >= min_network), "occurrence_id")
-            .join(hit, "occurrence_id", "left_semi"))
+    if relaxed:
+        return scores.filter(F.col("score") >= 0.5 * cutoff)
+    a = _agent_keys(agents).select("agent_id", F.col("folded").alias("afold"), "fam", "ini")
+    j = scores.join(a, "agent_id").join(known_names(variants, users), "user_id")
+    same = F.array_contains("full_names", F.col("afold"))
+    dissimilar = (F.col("ini") != "") & F.exists("initials", lambda x: x != F.col("ini"))
+    unknown = ~F.array_contains("families", F.col("fam"))
+    score = F.when(same, F.col("score") + cutoff).otherwise(F.col("score"))
+    kept = same | ~(F.coalesce(dissimilar, F.lit(False)) | unknown) | (score > 2 * cutoff)
+    return j.select("user_id", "agent_id", score.alias("score"), kept.alias("kept")).filter(F.col("kept") & (F.col("score") >= cutoff)).drop("kept")
 
 
 def person_documents(users: DataFrame, claims: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -167,27 +171,37 @@ def people_by_family(docs: DataFrame, family: str, role: str = "identified") ->
     return docs.filter(F.coalesce(F.exists(role, lambda x: F.lower(x["family"]) == family.lower()), F.lit(False)))
 
 
-def find_people(queries: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, user_id, score, rank) — folded-token matches of each query
-    against people's names (full name weight 3, other names 1); top ``k``
-    per query (the result page is the feature)."""
-    qt = queries.select("query_id", F.explode(F.array_distinct(S.name_tokens("text"))).alias("tok"))
-    names = S.user_names()
-    ut = (users.select(F.col("id").alias("user_id"), F.explode(F.array_distinct(S.name_tokens(names["fullname"])))
-                       .alias("tok")).withColumn("w", F.lit(3.0))
-          .unionByName(users.select(F.col("id").alias("user_id"),
-                                    F.explode(F.array_distinct(S.name_tokens(F.regexp_replace("other_names", r"\|", " "))))
-                                    .alias("tok")).withColumn("w", F.lit(1.0))))
-    scores = qt.join(ut, "tok").groupBy("query_id", "user_id").agg(F.sum("w").alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("user_id"))
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def might_know(claims: DataFrame, user_organizations: DataFrame, seed: int = 7, k: int = 5) -> DataFrame:
-    """Up to ``k`` suggestions per person from co-collectors and colleagues,
-    chosen by a seeded hash (the sample is the feature)."""
-    from herbaria.operators.joins import recorded_with, same_organization_people
-    cand = (recorded_with(claims).select("user_id", "other_id")
-            .unionByName(same_organization_people(user_organizations)).distinct())
-    w = W.partitionBy("user_id").orderBy(F.xxhash64("user_id", "other_id", F.lit(seed)), "other_id")
-    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+def _neighbours(members: DataFrame, group: str, k: int, seed: int) -> DataFrame:
+    """(group, user_id, other_id): for each member of a group the next ``k`` in a seeded circle of its members.
+
+    A random sample of a person's fellows, all of them in groups of up to k + 1: k
+    rows per member instead of all pairs. A group of any size is ranked in ranges.
+    """
+    rows = members.select(group, "user_id").distinct().withColumn("_h", F.md5(F.concat_ws(":", "user_id", F.lit(seed))))
+    placed = rank_within(rows, group, [F.col("_h"), F.col("user_id")]).select(group, "user_id", "position")
+    sizes = placed.groupBy(group).agg(F.max("position").alias("n"))
+    steps = placed.join(sizes, group).select(group, "user_id", "n", "position", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("j")).filter("j < n")
+    next_ = steps.select(group, "user_id", ((F.col("position") - 1 + F.col("j")) % F.col("n") + 1).alias("position"))
+    return next_.join(placed.withColumnRenamed("user_id", "other_id"), [group, "position"]).select(group, "user_id", "other_id")
+
+
+def might_know(claims: DataFrame, taxon_occurrences: DataFrame, user_organizations: DataFrame, users: DataFrame, seed: int,
+               k: int = 5, colleagues: int = 10) -> DataFrame:
+    """Up to ``k`` suggestions for each person with an ORCID (the sample is the feature).
+
+    Candidates are co-collectors, people who identified the same family (one of the
+    person's, drawn by the seed) and up to ``colleagues`` people of the same
+    organisations. Each kind is sampled in its groups before it is gathered, with at
+    least ``k`` per group, so a person gets as many suggestions as if all pairs had
+    been made.
+    """
+    rec = claims.filter(P.vis() & P.rec()).select("occurrence_id", "user_id")
+    idn = claims.filter(P.vis() & P.idn()).select("occurrence_id", "user_id").join(taxon_occurrences, "occurrence_id").select("user_id", "family").distinct()
+    drawn = idn.groupBy("user_id").agg(F.min_by("family", F.md5(F.concat_ws(":", "user_id", "family", F.lit(seed)))).alias("family"))
+    met = _neighbours(rec, "occurrence_id", k, seed).select("user_id", "other_id")
+    same_family = _neighbours(idn, "family", k, seed).join(drawn, ["user_id", "family"], "left_semi").select("user_id", "other_id")
+    works = _neighbours(user_organizations, "organization_id", colleagues, seed).select("user_id", "other_id")
+    asked = users.filter(F.col("orcid").isNotNull()).select(F.col("id").alias("user_id"))
+    found = met.unionByName(same_family).unionByName(works).filter("user_id <> other_id").join(asked, "user_id", "left_semi").distinct()
+    order = W.partitionBy("user_id").orderBy(F.md5(F.concat_ws(":", "user_id", "other_id", F.lit(seed))), "other_id")
+    return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")

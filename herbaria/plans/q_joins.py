@@ -104,6 +104,15 @@ def j12(m):
     return J.specimens_of_pair(m.claims, "recorded", "recorded")
 
 
+for _name, _left, _right in (("identifications_for", "identified", "recorded"), ("identifications_by", "recorded", "identified")):
+    query(f"J12_{_name}", f"""
+WITH b AS (SELECT DISTINCT occurrence_id, user_id FROM claims WHERE visible AND action IN {REC if _right == "recorded" else IDN})
+SELECT a.user_id, b.user_id AS other_id, a.occurrence_id
+FROM claims a JOIN b ON a.occurrence_id = b.occurrence_id
+WHERE a.visible AND a.action IN {REC if _left == "recorded" else IDN} AND a.user_id <> b.user_id""")(
+        lambda m, left=_left, right=_right: J.specimens_of_pair(m.claims, left, right))
+
+
 @query("J13_agents_recorded_with", """
 SELECT DISTINCT a.agent_id, b.agent_id AS other_agent_id
 FROM occurrence_agents a JOIN occurrence_agents b ON a.occurrence_id = b.occurrence_id
@@ -114,13 +123,16 @@ def j13(m):
 
 
 @query("J14_same_family_first_initial", """
+WITH people AS (SELECT id, family, given FROM agents UNION ALL SELECT id + 1000000000, family, given FROM users)
 SELECT a.id AS agent_id, b.id AS other_agent_id, a.family
-FROM agents a JOIN agents b ON a.family = b.family
+FROM people a JOIN people b ON a.family = b.family
 WHERE a.id <> b.id AND a.family <> '' AND a.given <> ''
   AND lower(substring(a.given, 1, 1)) = lower(substring(b.given, 1, 1))
 """)
 def j14(m):
-    return J.same_family(m.agents, first_initial=True)
+    """Namesakes among agents and people: the few agents of a small scale alone have none."""
+    people = m.users.select((F.col("id") + 1_000_000_000).alias("id"), "family", "given")
+    return J.same_family(m.agents.select("id", "family", "given").unionByName(people), first_initial=True)
 
 
 @query("J14_same_family", """

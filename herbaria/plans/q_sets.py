@@ -123,14 +123,16 @@ def m1(m):
 
 
 @query("X5_dataset_key_diff", """
-SELECT datasetKey, 'new' AS side FROM (SELECT DISTINCT datasetKey FROM occurrences WHERE kingdom = 'Fungi'
-  EXCEPT SELECT datasetKey FROM datasets)
-UNION ALL
-SELECT datasetKey, 'vanished' FROM (SELECT datasetKey FROM datasets
-  EXCEPT SELECT DISTINCT datasetKey FROM occurrences WHERE kingdom = 'Fungi')
+WITH fresh AS (SELECT DISTINCT CASE WHEN collectionCode < 'f' THEN datasetKey || '-new' ELSE datasetKey END AS datasetKey FROM occurrences),
+old AS (SELECT datasetKey FROM datasets UNION SELECT 'Brand#' || p_size FROM part)
+SELECT datasetKey, 'new' AS side FROM (FROM fresh EXCEPT FROM old)
+UNION ALL SELECT datasetKey, 'vanished' FROM (FROM old EXCEPT FROM fresh)
 """)
 def x5(m):
-    new, gone = X.key_diff(m.occurrences.filter(F.col("kingdom") == "Fungi"), m.datasets, "datasetKey")
+    """A download in which some datasets came in under new keys, against a table with keys of the past."""
+    key = F.when(F.col("collectionCode") < "f", F.concat("datasetKey", F.lit("-new"))).otherwise(F.col("datasetKey"))
+    old = m.datasets.select("datasetKey").unionByName(m.raw("part").select(F.concat(F.lit("Brand#"), "p_size").alias("datasetKey"))).distinct()
+    new, gone = X.key_diff(m.occurrences.select(key.alias("datasetKey")), old, "datasetKey")
     return new.withColumn("side", F.lit("new")).unionByName(gone.withColumn("side", F.lit("vanished")))
 
 

@@ -51,8 +51,8 @@ def write_table(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) ->
     """
     files = df.groupBy("datasetKey").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
     part = F.pmod(F.xxhash64(*df.columns), F.col("_files")).cast("int")
-    dealt = df.join(files, "datasetKey").withColumn("part", part).drop("_files").withColumn("dataset", F.col("datasetKey"))
-    cells = dealt if "gbifID" in df.columns else dealt.drop("datasetKey")  # only occurrences repeat the key in their rows
+    cells = [c for c in df.columns if c != "datasetKey" or "gbifID" in df.columns]  # only occurrences repeat the key in their rows
+    cells = df.join(files, "datasetKey").select(*cells, F.col("datasetKey").alias("dataset"), part.alias("part"))
     (cells.repartition("dataset", "part").write.mode("overwrite").partitionBy("dataset", "part")
      .options(header=True, compression="gzip", escape='"', emptyValue="").csv(path))
 

@@ -368,7 +368,7 @@ class Model:
         some = lambda step, text, of: F.when(k % step == 0, F.concat(F.lit(text), F.floor(k / of).cast("string"))).otherwise(none)
         return s.select((k + 1).alias("id"), F.col("s_name").alias("name"), some(4, "Q7", 8).alias("wikidata"), some(3, "ror", 6).alias("ror"),
                         some(5, "grid.", 10).alias("grid"), some(7, "", 14).alias("ringgold"), some(11, "isni", 11).alias("isni"),
-                        F.array((k + 1).cast("string")).alias("institution_codes"))
+                        F.array(F.floor(k * 2 / 3).cast("string")).alias("institution_codes"))
 
     @cached_property
     def record_members(self) -> DataFrame:
@@ -430,11 +430,13 @@ def _orcid(k: Column) -> Column:
     """ORCID of person ``k``, with its check digit: unique for the first 220 million people."""
     n = F.when(k < 20_000_000, k + 15_000_000).otherwise(900_000_000_000 + (k - 20_000_000) % 200_000_000)
     digits = F.lpad(n.cast("string"), 15, "0")
-    total = sum((F.substring(digits, i + 1, 1).cast("int") * pow(2, 15 - i, 11) for i in range(15)), F.lit(0))
-    check = (12 - total % 11) % 11
-    last = F.when(check == 10, F.lit("X")).otherwise(check.cast("string"))
-    return F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 4), F.substring(digits, 9, 4),
-                       F.concat(F.substring(digits, 13, 3), last))
+
+    def written(d: Column) -> Column:
+        total = F.aggregate(F.split(d, ""), F.lit(0), lambda t, c: (t + c.cast("int")) * 2 % 11)
+        last = F.element_at(F.split(F.lit("0 1 2 3 4 5 6 7 8 9 X"), " "), (12 - total) % 11 + 1)
+        return F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 4), F.substring(d, 9, 4), F.concat(F.substring(d, 13, 3), last))
+
+    return F.transform(F.array(digits), written)[0]  # one lambda variable holds the digits, so the expression stays small
 
 
 def _source_person(k: Column) -> Column:
@@ -445,7 +447,7 @@ def _source_person(k: Column) -> Column:
 def _linked_id(partkey: Column) -> Column:
     """Occurrence id of a claim or citation: a tenth of the parts is linked by an id that no
     occurrence has (a negative one), which makes orphans and leaves those occurrences unclaimed."""
-    return F.when(partkey % 10 == 3, -(partkey + 1)).otherwise(partkey + 1)
+    return F.when(partkey % 10 == 5, -(partkey + 1)).otherwise(partkey + 1)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Model:
