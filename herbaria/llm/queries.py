@@ -40,8 +40,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text, encoded and decoded."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.bpe_encode(docs, vocabulary()).drop("text")
-    return bpe.with_digests(bpe.bpe_decode(ids, vocabulary())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.bpe_digests(docs, vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
