@@ -115,11 +115,15 @@ class RollingHash:
         return have
 
     def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Unmixed hashes of ``data[starts[i]:ends[i]]``; mix them before use."""
-        up, down = self._table(len(data) + 1)
-        prefix = np.empty(len(data) + 1, np.uint64)
+        """Unmixed hashes of the bytes ``data[starts[i]:ends[i]]``; mix them before use."""
+        return self.of(self.values[data], starts, ends)
+
+    def of(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Unmixed hashes of the 64-bit numbers ``values[starts[i]:ends[i]]``; mix them before use."""
+        up, down = self._table(len(values) + 1)
+        prefix = np.empty(len(values) + 1, np.uint64)
         prefix[0] = 0
-        np.cumsum(self.values[data] * up[: len(data)], out=prefix[1:])
+        np.cumsum(values * up[: len(values)], out=prefix[1:])
         return (prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64)
 
 
