@@ -36,7 +36,7 @@ ISO_DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD = ("row_key long, page_id long, url string, payload binary, payload_bytes long, payload_digest string, "
-          "record_type string, refers_to long, archive string")
+          "record_type string, refers_to long, refers_row long, archive string")
 
 
 class WarcError(ValueError):
@@ -49,7 +49,8 @@ def _header_value(text: str | None) -> str:
 
 
 def record_bytes(row: dict) -> bytes:
-    """One WARC/1.1 record; a revisit has no block, its header keeps the full payload's length."""
+    """One WARC/1.1 record; a revisit has no block, its header keeps the full payload's length and
+    names its response by that record's WARC-Record-ID, as any reader expects, and by its page."""
     body = b"" if row["record_type"] == "revisit" else row["payload"]
     fields = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", f"<urn:x-row:{row['row_key']}>"), ("WARC-Date", ISO_DATE)]
     if row["url"] is not None:
@@ -58,7 +59,8 @@ def record_bytes(row: dict) -> bytes:
         fields.append(("X-Page-ID", str(row["page_id"])))
     fields += [("WARC-Payload-Digest", f"sha256:{row['payload_digest']}"), ("X-Payload-Length", str(row["payload_bytes"]))]
     if row["record_type"] == "revisit":
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:x-page:{row['refers_to']}>")]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:x-row:{row['refers_row']}>"),
+                   ("X-Refers-To-Page", str(row["refers_to"]))]
     fields += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return head.encode("utf-8") + body + b"\r\n\r\n"
@@ -129,13 +131,14 @@ def parse_record(data: bytes) -> dict:
         raise WarcError(f"unknown digest or type: {algorithm}, {kind}")
     if kind == "response" and (full != length or hashlib.sha256(body).hexdigest() != digest):
         raise WarcError("payload does not match its length or digest")
-    refers = fields.get("WARC-Refers-To")
+    refers, page = fields.get("WARC-Refers-To"), fields.get("X-Refers-To-Page")
     if (kind == "revisit") != (refers is not None) or kind == "revisit" and length:
         raise WarcError("a revisit names its response and has no block")
     return {"row_key": key, "page_id": int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None,
             "url": fields.get("WARC-Target-URI"), "payload": body if kind == "response" else None, "payload_bytes": full,
             "payload_digest": digest, "record_type": kind,
-            "refers_to": int(refers.removeprefix("<urn:x-page:").removesuffix(">")) if refers else None}
+            "refers_to": int(page) if page else None,
+            "refers_row": int(refers.removeprefix("<urn:x-row:").removesuffix(">")) if refers else None}
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -153,16 +156,20 @@ def plan_records(pages: DataFrame) -> DataFrame:
     sized = with_row_key(pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")), "row_key")
     sized = sized.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     first = (sized.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy(F.col("payload_digest").alias("_digest"))
-             .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+             .agg(F.min("page_id").alias("first_id"), F.min_by("row_key", "page_id").alias("first_row"), F.count("*").alias("n"))
+             .filter("n > 1").drop("n"))
     named = sized.join(first, F.col("payload_digest") == F.col("_digest"), "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return named.withColumns({
         "record_type": F.when(again, "revisit").otherwise("response"),
-        "refers_to": F.when(again, F.col("first_id"))}).drop("_digest", "first_id")
+        "refers_to": F.when(again, F.col("first_id")), "refers_row": F.when(again, F.col("first_row"))}).drop("_digest", "first_id", "first_row")
 
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
-    """Write one record per page to Zstandard archives in ``folder``; returns (archive, n_records)."""
+    """Write one record per page to Zstandard archives in ``folder``; returns (archive, n_records).
+
+    A record longer than ``ARCHIVE_BYTES`` makes an archive of its own; repeated rows
+    are records each; an empty table makes no archive."""
     small_batches(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +234,16 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
 
 _SCHEMA = pa.schema([("row_key", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()),
                      ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
-                     ("refers_to", pa.int64()), ("archive", pa.string())])
+                     ("refers_to", pa.int64()), ("refers_row", pa.int64()), ("archive", pa.string())])
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
-    """Write ``pages`` to archives in ``folder`` and read the records back."""
+    """Write ``pages`` to archives in ``folder`` and read the records back.
+
+    One row per page, repeated rows each; a null html is the empty payload, a payload
+    of any length is one record; columns other than page_id, url and html are left
+    out; an empty table gives no archive and no rows.
+    """
     manifest = cut(write_warc(pages, folder), "manifest")
     if manifest.isEmpty():
         return pages.sparkSession.createDataFrame([], RECORD)
