@@ -1,14 +1,15 @@
 """Packing documents into fixed windows by lexical retrieval.
 
-Every text becomes token ids of the tokenizers library and an end id. Documents
-are dealt to shards in the order of min-hashes of their tokens, so that texts with
-much in common share a shard. A task holds one block of a shard at a time, builds
-its BM25 inverted index with the document counts of the whole corpus, and fills
-windows: a seed document asks the index for its unused neighbours, which follow
-it in order of score; the first that does not fit is cut, and its rest seeds the
-next window. A document longer than a window fills windows of its own first.
-Every window but the last of a task is full; that one is split into sequences of
-powers of two, which need no padding.
+Every text becomes token ids of the tokenizers library and an end id. A document
+longer than a window fills windows of its own first; what is left of it, and every
+shorter document, is dealt to shards in the order of min-hashes of its tokens, so
+that texts with much in common share a shard, and shards are of one size. A task
+holds one block of a shard at a time, builds its BM25 inverted index with the
+document counts of the whole corpus, and fills windows: a seed document asks the
+index for its unused neighbours, which follow it in order of score; the first that
+does not fit is cut, and its rest seeds the next window. Every window but the last
+of a task is full; that one is split into sequences of powers of two, which need no
+padding.
 """
 
 from __future__ import annotations
@@ -157,13 +158,14 @@ def _slices(column: pa.Array, kind: str) -> list[np.ndarray]:
     return [data[a:b].view(kind) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def tokenize(df: DataFrame, vocab_path: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """Replace ``text_col`` by ids (packed, see ``id_type``) and pack_key, the place in the shard order.
+def tokenize(df: DataFrame, vocab_path: str, end_id: int, window: int, text_col: str = "text") -> DataFrame:
+    """Replace ``text_col`` by whole, ids and pack_key.
 
-    pack_key is four min-hashes of the ids in one number, so that alike documents
-    sort near. Each task adds a last row with is_count true: its ids are the
-    numbers of the task's documents that hold each id (packed 64-bit), pack_key the
-    number of its documents.
+    whole holds the ids (packed, see ``id_type``) of the first windows of a document
+    that it fills alone, ids the others, pack_key their place in the shard order:
+    four min-hashes in one number, so that alike documents sort near. Each task adds
+    a last row with is_count true: its ids are the numbers of the task's documents
+    that hold each id (packed 64-bit), pack_key the number of its documents.
     """
     check_vocabulary(vocab_path)
     sc, name = df.sparkSession.sparkContext, vocab_path.rsplit("/", 1)[-1]
@@ -171,8 +173,8 @@ def tokenize(df: DataFrame, vocab_path: str, end_id: int, text_col: str = "text"
         sc.addFile(vocab_path)
     small_batches(df.sparkSession)
     kept = [T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name != text_col]  # null in the row of counts
-    schema = T.StructType([*kept, T.StructField("ids", T.BinaryType()), T.StructField("pack_key", T.LongType()),
-                           T.StructField("is_count", T.BooleanType())])
+    schema = T.StructType([*kept, T.StructField("whole", T.BinaryType()), T.StructField("ids", T.BinaryType()),
+                           T.StructField("pack_key", T.LongType()), T.StructField("is_count", T.BooleanType())])
     kind = id_type(vocab_path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +199,15 @@ def tokenize(df: DataFrame, vocab_path: str, end_id: int, text_col: str = "text"
                     else:
                         counts[np.unique(ids[a:b])] += 1
                 docs += n
-                keys = np.zeros(n, np.int64)
-                for h in hashes:
-                    keys = keys << 15 | np.minimum.reduceat(h[ids], begin[:-1]).astype(np.int64)
+                sizes = np.diff(begin)
+                rest = np.repeat(begin[1:] - sizes % window, sizes) <= np.arange(len(ids))
+                tails, tail_begin = ids[rest], np.concatenate(([0], np.cumsum(sizes % window)))
+                keys, some = np.zeros(n, np.int64), np.flatnonzero(sizes % window)
+                for h in hashes if len(some) else []:
+                    keys[some] = keys[some] << 15 | np.minimum.reduceat(h[tails], tail_begin[some]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(f.name) for f in kept], _binary(ids, begin), pa.array(keys), pa.array(np.zeros(n, bool))], names=schema.names)
+                    [*[batch.column(f.name) for f in kept], _binary(ids[~rest], begin - tail_begin), _binary(tails, tail_begin),
+                     pa.array(keys), pa.array(np.zeros(n, bool))], names=schema.names)
 
         size, types = 0, None
         for batch in batches:
@@ -217,7 +223,8 @@ def tokenize(df: DataFrame, vocab_path: str, end_id: int, text_col: str = "text"
             yield from encoded()
         if docs:
             nulls = [pa.nulls(1, types.field(f.name).type) for f in kept]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array([counts.tobytes()], pa.binary()), pa.array([docs]), pa.array([True])], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [*nulls, pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([docs]), pa.array([True])], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -275,10 +282,6 @@ def fill_windows(lengths: np.ndarray, scores, window: int = WINDOW) -> Iterator[
     documents that share no term with the seed follow in their order.
     """
     start = np.zeros(len(lengths), np.int64)
-    for d in np.flatnonzero(lengths >= window):
-        for _ in range(int(lengths[d]) // window):
-            yield [(int(d), int(start[d]), window)]
-            start[d] += window
     open_ = start < lengths
     left, seed, next_doc = int(open_.sum()), -1, 0
     while left:
@@ -332,26 +335,45 @@ def pack(df: DataFrame, vocab_path: str, end_id: int, doc_col: str = "doc_id", t
     names do no harm.
     """
     kind = id_type(vocab_path, end_id)
+    width = np.dtype(kind).itemsize
     kept = df.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-    tokens = cut(tokenize(with_row_key(kept, "row_key"), vocab_path, end_id), "packing-ids")
+    tokens = cut(tokenize(with_row_key(kept, "row_key"), vocab_path, end_id, window), "packing-ids")
     counts = {r["term"]: r["docs"] for r in term_counts(tokens).collect()}  # at most one row per vocabulary entry
     docs = counts.pop(-1, 0)
-    tokens = tokens.filter("not is_count")
-    all_ids = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    all_ids //= np.dtype(kind).itemsize
+    alone = (F.octet_length("whole") / width).cast("long")
+    tokens = tokens.filter("not is_count").withColumns({"alone": alone, "doc_tokens": alone + (F.octet_length("ids") / width).cast("long")})
+    all_ids = tokens.agg(F.sum(F.col("doc_tokens") - F.col("alone"))).first()[0] or 0
     idf = np.zeros(max(counts, default=0) + 1)
     found = np.array(list(counts), np.int64), np.array(list(counts.values()), np.float64)
     if docs:
         idf[found[0]] = np.maximum(0, np.log((docs - found[1] + 0.5) / (found[1] + 0.5)))  # in half of all documents: no weight
-    mean_length = all_ids / max(docs, 1)
+    mean_length = max(1, all_ids) / max(docs, 1)
     shards = max(1, -(-all_ids // SHARD_IDS))
     doc_field = T.StructField(doc_col, tokens.schema["doc"].dataType)
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType([doc_field, T.StructField("ids", T.BinaryType()), *longs])
 
+    def windows_of_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that a document fills alone; their sequences are numbered apart from the others."""
+        next_id = 1 << 62 | TaskContext.get().partitionId() << 32
+        for batch in batches:
+            part = np.cumsum(batch.column("alone").to_numpy()) // BLOCK_IDS  # a few very long documents at a time
+            for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(part)) + 1):
+                if not len(rows):
+                    continue
+                some = batch.slice(int(rows[0]), len(rows))
+                values = np.concatenate(_slices(some.column("whole"), kind)).astype("<u4")
+                each = some.column("alone").to_numpy() // window
+                n, owner = int(each.sum()), np.repeat(np.arange(len(each)), each)
+                start = (np.arange(n) - np.repeat(np.cumsum(each) - each, each)) * window
+                numbers = [start, np.full(n, window), some.column("doc_tokens").to_numpy()[owner], next_id + np.arange(n), np.zeros(n, np.int64)]
+                next_id += n
+                yield pa.RecordBatch.from_arrays([some.column("doc").take(pa.array(owner)), _binary(values, np.arange(n + 1) * window),
+                                                  *[pa.array(c, pa.int64()) for c in numbers]], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id, doc_type, held = TaskContext.get().partitionId() << 32, None, 0
-        rows: list[tuple[object, np.ndarray, int]] = []  # document, all its ids, ids already packed
+        rows: list[tuple[object, np.ndarray, int, int, int]] = []  # document, its ids, how many are packed, ids before them, in all
 
         def emit(windows: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
             nonlocal next_id
@@ -359,9 +381,9 @@ def pack(df: DataFrame, vocab_path: str, end_id: int, doc_col: str = "doc_id", t
             for window_pieces in windows:
                 offset = 0
                 for d, start, n in window_pieces:
-                    _, ids, packed = rows[d]
+                    _, ids, packed, before, doc_tokens = rows[d]
                     pieces.append(ids[packed + start: packed + start + n])
-                    numbers.append((packed + start, n, len(ids), next_id, offset))
+                    numbers.append((before + packed + start, n, doc_tokens, next_id, offset))
                     offset += n
                 next_id += 1
             table = np.array(numbers, np.int64).reshape(len(numbers), len(longs))
@@ -372,20 +394,21 @@ def pack(df: DataFrame, vocab_path: str, end_id: int, doc_col: str = "doc_id", t
 
         def fill(last: bool) -> pa.RecordBatch:
             nonlocal rows
-            block = Block([ids for _, ids, _ in rows], idf, mean_length)
-            done = list(fill_windows(np.array([len(ids) - packed for _, ids, packed in rows]), block.scores, window))
+            block = Block([r[1] for r in rows], idf, mean_length)
+            done = list(fill_windows(np.array([len(r[1]) - r[2] for r in rows]), block.scores, window))
             tail = done.pop() if sum(n for _, _, n in done[-1]) < window else []
             batch = emit(done + (list(_powers(list(tail))) if last else []))
             ends: dict[int, int] = {}
             for d, start, _ in tail:  # the open window's documents go on in the next block
                 ends[d] = min(start, ends.get(d, start))
-            rows = [] if last else [(rows[d][0], rows[d][1], rows[d][2] + start) for d, start in ends.items()]
+            rows = [] if last else [(*rows[d][:2], rows[d][2] + start, *rows[d][3:]) for d, start in ends.items()]
             return batch
 
         for batch in batches:
             doc_type = batch.schema.field("doc").type
-            for doc, ids in zip(batch.column("doc").to_pylist(), _slices(batch.column("ids"), kind)):
-                rows.append((doc, ids, 0))
+            for doc, ids, before, doc_tokens in zip(batch.column("doc").to_pylist(), _slices(batch.column("ids"), kind),
+                                                    batch.column("alone").to_pylist(), batch.column("doc_tokens").to_pylist()):
+                rows.append((doc, ids, 0, before, doc_tokens))
                 held += len(ids)
                 if held >= BLOCK_IDS or len(rows) >= BLOCK_DOCS:
                     yield fill(False)
@@ -393,5 +416,7 @@ def pack(df: DataFrame, vocab_path: str, end_id: int, doc_col: str = "doc_id", t
         if rows:
             yield fill(True)
 
-    dealt = tokens.select("doc", "ids", "pack_key", "row_key").repartitionByRange(shards, "pack_key", "row_key")
-    return dealt.sortWithinPartitions("pack_key", "row_key").select("doc", "ids").mapInArrow(run, schema)
+    long = tokens.filter("alone > 0").select("doc", "whole", "alone", "doc_tokens").mapInArrow(windows_of_one, schema)
+    left = tokens.filter("doc_tokens > alone").select("doc", "ids", "alone", "doc_tokens", "pack_key", "row_key")
+    dealt = left.repartitionByRange(shards, "pack_key", "row_key").sortWithinPartitions("pack_key", "row_key")
+    return long.unionByName(dealt.select("doc", "ids", "alone", "doc_tokens").mapInArrow(run, schema))
