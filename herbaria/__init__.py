@@ -6,7 +6,6 @@ Sub-packages:
 * ``functions`` — column expressions (scalars and predicates)
 * ``operators`` — joins, aggregations, windows, set operations, packages, mutations, matching
 * ``plans``     — composite jobs and the query catalogue used by ``__spark_entry__``
-* ``streaming`` — incremental variants of batch operators
 """
 
 from herbaria.session import get_session, checkpoint_dir  # noqa: F401

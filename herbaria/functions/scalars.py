@@ -543,10 +543,10 @@ def is_valid_json(col: str | Column) -> Column:
 
 
 def primary_contact(col: str | Column) -> Column:
-    """First administrative, primary contact of an array of contact structs."""
+    """First administrative, primary contact of an array of contact structs, null if there is none."""
     picked = F.filter(_c(col), lambda x: (x["type"] == "ADMINISTRATIVE_POINT_OF_CONTACT")
                       & (x["primary"] == F.lit(True)))
-    return F.element_at(picked, 1)
+    return F.get(picked, F.lit(0))
 
 
 def extract_prefixed_tags(col: str | Column, prefix: str = "gbifDOI:") -> Column:

@@ -40,16 +40,19 @@ def public_profiles(users: DataFrame, countries: DataFrame, base_url: str) -> Da
                     F.concat(F.lit(base_url.rstrip("/") + "/"), S.identifier()).alias("URL"))
 
 
-def claim_pivot(claims: DataFrame, users: DataFrame) -> DataFrame:
+def claim_pivot(claims: DataFrame, users: DataFrame, max_ids: int = 100_000) -> DataFrame:
     """K7: (identifier, action, occurrence_ids): per person and role the sorted
     occurrence ids of source-made claims, rendered as ``[1,2]``.
 
     Both spellings of the combined role are one row; claims without a role are
-    left out. One row per person and role; the list is a property of the export
-    format (see README on large lists)."""
+    left out. A person with more than ``max_ids`` claims of a role has several
+    rows, dealt by hash, of about that many ids; readers of the format take any
+    number of rows per person."""
     src = claims.filter((F.col("created_by") == P.SOURCE_AGENT_ID) & F.col("action").isin(P.ALL_ACTIONS))
-    role = F.when(P.both(), F.lit(P.RECORDED_IDENTIFIED)).otherwise(F.col("action"))
-    lists = (src.groupBy("user_id", role.alias("action"))
+    rows = src.select("user_id", F.when(P.both(), F.lit(P.RECORDED_IDENTIFIED)).otherwise(F.col("action")).alias("action"), "occurrence_id")
+    sizes = rows.groupBy("user_id", "action").agg(F.ceil(F.count(F.lit(1)) / max_ids).alias("lists"))
+    dealt = rows.join(sizes, ["user_id", "action"]).withColumn("list", F.pmod(F.xxhash64("occurrence_id"), F.col("lists")))
+    lists = (dealt.groupBy("user_id", "action", "list")
              .agg(S.stringify_ids(F.sort_array(F.collect_list("occurrence_id"))).alias("occurrence_ids")))
     return (lists.join(users.select(F.col("id").alias("user_id"), S.identifier().alias("identifier")), "user_id")
             .select("identifier", "action", "occurrence_ids"))

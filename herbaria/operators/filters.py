@@ -165,22 +165,24 @@ def valid_kingdom(col: str | Column = "kingdom") -> Column:
     return F.coalesce(c.isin(S.KINGDOMS), F.lit(False))
 
 
-def born_on(users: DataFrame, month: int, day: int, kind: str = "born") -> DataFrame:
-    """public people with a day-precise birth (or death) on month/day."""
+def _is_day(month_of: Column, day_of: Column, month: int | None, day: int | None) -> Column:
+    return (F.lit(True) if month is None else month_of == month) & (F.lit(True) if day is None else day_of == day)
+
+
+def born_on(users: DataFrame, month: int | None = None, day: int | None = None, kind: str = "born") -> DataFrame:
+    """people with a day-precise birth (or death), on month/day if given."""
     d = "date_born" if kind == "born" else "date_died"
-    return users.filter((F.col(f"{d}_precision") == "day") & (F.month(d) == month)
-                        & (F.dayofmonth(d) == day))
+    return users.filter((F.col(f"{d}_precision") == "day") & _is_day(F.month(d), F.dayofmonth(d), month, day))
 
 
-def collected_on(occurrences: DataFrame, claims: DataFrame, month: int, day: int) -> DataFrame:
-    """holotypes with an image, collected on month/day after 1800, with a
-    visible recorded claim; newest first."""
+def collected_on(occurrences: DataFrame, claims: DataFrame, month: int | None = None, day: int | None = None) -> DataFrame:
+    """holotypes with an image, collected after 1800, on month/day if given, with a
+    visible recorded claim."""
     occ = occurrences.filter((F.lower("typeStatus") == "holotype") & (F.col("hasImage") == 1)
-                             & (F.col("eventDate_processed_month") == month)
-                             & (F.col("eventDate_processed_day") == day)
-                             & (F.col("eventDate_processed_year") > 1800))
+                             & (F.col("eventDate_processed_year") > 1800)
+                             & _is_day(F.col("eventDate_processed_month"), F.col("eventDate_processed_day"), month, day))
     rec = with_role(claims, "recorded").select(F.col("occurrence_id").alias("gbifID"))
-    return occ.join(rec, "gbifID", "left_semi").orderBy(F.col("eventDate_processed").desc(), "gbifID")
+    return occ.join(rec, "gbifID", "left_semi")
 
 
 def public_roster(users: DataFrame, kind: str = "public") -> DataFrame:
@@ -209,8 +211,9 @@ def datasets_with_source_ids(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("source_attribution_count") > 0)
 
 
-def is_large(counts: DataFrame) -> Column:
-    return F.col("occurrences_count") > LARGE_DATASET
+def is_large(counts: DataFrame, most: int = LARGE_DATASET) -> Column:
+    """a dataset with more occurrences than ``most`` (the source's pages leave such out)."""
+    return counts["occurrences_count"] > most
 
 
 def citable_articles(articles: DataFrame) -> DataFrame:

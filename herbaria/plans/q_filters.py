@@ -119,8 +119,7 @@ SELECT id, CAST(month(date_born) AS INTEGER) AS month, CAST(day(date_born) AS IN
 FROM users WHERE date_born_precision = 'day'
 """)
 def f9(m):
-    u = m.users.filter(F.col("date_born_precision") == "day")
-    return u.select("id", F.month("date_born").alias("month"), F.dayofmonth("date_born").alias("day"))
+    return FL.born_on(m.users).select("id", F.month("date_born").alias("month"), F.dayofmonth("date_born").alias("day"))
 
 
 @query("F9_born_on_day", """
@@ -145,12 +144,8 @@ WHERE lower(o.typeStatus) = 'holotype' AND o.hasImage = 1 AND o.eventDate_proces
               AND c.action IN ('recorded','recorded,identified','identified,recorded'))
 """)
 def f10(m):
-    occ = m.occurrences.filter((F.lower("typeStatus") == "holotype") & (F.col("hasImage") == 1)
-                               & (F.col("eventDate_processed_year") > 1800))
-    rec = FL.with_role(m.claims, "recorded").select(F.col("occurrence_id").alias("gbifID"))
-    return (occ.join(rec, "gbifID", "left_semi")
-            .select("gbifID", F.col("eventDate_processed_month").alias("month"),
-                    F.col("eventDate_processed_day").alias("day")))
+    return FL.collected_on(m.occurrences, m.claims).select(
+        "gbifID", F.col("eventDate_processed_month").alias("month"), F.col("eventDate_processed_day").alias("day"))
 
 
 _ROSTER_SQL = {

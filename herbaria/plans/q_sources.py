@@ -249,3 +249,73 @@ def p36(m):
     time = F.concat(F.lit("+"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))
     rows = o.select(F.col("o_orderkey").alias("id"), time.alias("time"), (7 + F.col("o_orderkey") % 5).alias("p"))
     return rows.select("id", *[c.alias(n) for n, c in S.authority_date("time", "p").items()])
+
+
+# --- P6, P11, P16, P17, P19, P32, F13, F21 -----------------------------------------------------------
+
+@query("P11_agent_names", """
+WITH a AS (SELECT id, nullif(trim(given), '') AS g, nullif(trim(family), '') AS f, CASE WHEN id % 3 = 0 THEN 'Dr.' END AS t,
+             CASE WHEN id % 4 = 0 THEN 'von' END AS p, CASE WHEN id % 5 = 0 THEN 'Jr.' END AS s FROM agents)
+SELECT id, concat_ws(' ', t, g, p, f, s) AS fullname,
+  concat_ws(', ', nullif(concat_ws(' ', p, f), ''), nullif(concat_ws(' ', t, g), '')) AS fullname_reverse FROM a
+""")
+def p11(m):
+    """Agents with titles, particles and suffixes."""
+    k = F.col("id")
+    a = m.agents.withColumns({"title": F.when(k % 3 == 0, "Dr."), "particle": F.when(k % 4 == 0, "von"), "suffix": F.when(k % 5 == 0, "Jr.")})
+    n = S.agent_names()
+    return a.select("id", n["fullname"].alias("fullname"), n["fullname_reverse"].alias("fullname_reverse"))
+
+
+_SITES = [("orcid", "https://orcid.org/"), ("wikidata", "http://www.wikidata.org/entity/"), ("viaf", "http://viaf.org/viaf/"),
+          ("isni", "https://isni.org/"), ("ipni", "https://ipni.org/a?id="), ("bhl", "https://www.biodiversitylibrary.org/creator/"),
+          ("zoobank", "http://zoobank.org/Authors/"), ("loc", "http://id.loc.gov/authorities/names/")]
+_IDS = {"orcid": "u.orcid", "wikidata": "'Q' || u.id", "viaf": "'' || u.id", "isni": "'0000' || u.id || ' X'", "ipni": "u.id || '-1'", "bhl": "'' || u.id",
+        "zoobank": "'AB-' || u.id", "loc": "'n' || u.id"}
+
+
+@query("P16_source_ids", " UNION ALL ".join(
+    f"SELECT u.id, '{k}' AS authority, {_IDS[k]} AS number FROM users u WHERE {_IDS[k]} IS NOT NULL" for k, _ in _SITES))
+def p16(m):
+    """Every kind of person identifier in an address (one with an escaped blank), classified (P17) and taken out."""
+    k = F.col("id").cast("string")
+    ids = {"orcid": F.col("orcid"), "wikidata": F.concat(F.lit("Q"), k), "viaf": k, "isni": F.concat(F.lit("0000"), k, F.lit("%20X")),
+           "ipni": F.concat(k, F.lit("-1")), "bhl": k, "zoobank": F.concat(F.lit("AB-"), k), "loc": F.concat(F.lit("n"), k)}
+    addresses = F.filter(F.array(*[F.concat(F.lit(site), ids[kind]) for kind, site in _SITES]), lambda a: a.isNotNull())
+    rows = m.users.select("id", F.explode(addresses).alias("address"))
+    return rows.select("id", S.classify_source_id("address").alias("c")).select("id", "c.authority", F.col("c.id").alias("number"))
+
+
+@query("P19_license_names", """
+SELECT gbifID, CASE license WHEN 'CC0_1_0' THEN 'CC0' WHEN 'CC_BY_4_0' THEN 'CC BY' WHEN 'CC_BY_NC_4_0' THEN 'CC BY-NC' END AS name,
+  CASE license WHEN 'CC0_1_0' THEN 'https://i.creativecommons.org/p/zero/1.0/88x31.png' WHEN 'CC_BY_4_0' THEN 'https://i.creativecommons.org/l/by/4.0/88x31.png'
+    WHEN 'CC_BY_NC_4_0' THEN 'https://i.creativecommons.org/l/by-nc/4.0/88x31.png' END AS icon FROM occurrences
+""")
+def p19n(m):
+    uri = S.license_uri("license")
+    return m.occurrences.select("gbifID", uri.alias("u")).select("gbifID", S.license_name("u").alias("name"), S.license_icon("u").alias("icon"))
+
+
+@query("P32_transliterate", "SELECT id, strip_accents(given || ' ' || family) AS plain FROM users")
+def p32(m):
+    return m.users.select("id", S.transliterate(F.concat_ws(" ", "given", "family")).alias("plain"))
+
+
+@query("F13_large_datasets", """
+SELECT datasetKey, count(*) AS occurrences_count, count(*) > 8 AS large FROM occurrences GROUP BY 1
+""")
+def f13l(m):
+    from herbaria.operators import filters as FL
+    counts = m.occurrences.groupBy("datasetKey").agg(F.count(F.lit(1)).alias("occurrences_count"))
+    return counts.withColumn("large", FL.is_large(counts, 8))
+
+
+@query("F21_datasets_due", """
+SELECT d.datasetKey FROM datasets d WHERE d.datasetKey LIKE '%1'
+  AND EXISTS (SELECT 1 FROM occurrences o JOIN claims c ON c.occurrence_id = o.gbifID WHERE o.datasetKey = d.datasetKey AND c.visible)
+""")
+def f21d(m):
+    from herbaria.operators import filters as FL
+    packaged = m.datasets.withColumn("packaged", F.when(F.col("datasetKey").endswith("1"), F.lit("2001-01-01").cast("date")))
+    flags = J.dataset_flags(m.datasets, m.occurrences, m.claims, m.occurrence_agents)
+    return FL.deposits_due_datasets(packaged, flags).select("datasetKey")

@@ -414,3 +414,13 @@ def test_source_people_are_unique_and_valid(spark):
     ids = m.users.filter("orcid is not null").select("orcid", S.is_orcid("orcid").alias("ok"))
     assert ids.agg(F.count_distinct("orcid")).first()[0] == ids.count() == ids.filter("ok").count()
     assert m.occurrences.count() == m.raw("part").count() and AS_OF.year == 2002
+
+
+def test_claim_pivot_deals_long_lists(spark):
+    users = spark.createDataFrame([(7, "o7", None), (8, None, "Q8")], "id long, orcid string, wikidata string")
+    claims = spark.createDataFrame([(7, i, "recorded", True, 2) for i in range(1, 51)] + [(8, 3, "identified,recorded", True, 2), (8, 4, None, False, 2)], CLAIM)
+    whole = rows(K.claim_pivot(claims, users))
+    assert whole == [("Q8", "recorded,identified", "[3]"), ("o7", "recorded", str(list(range(1, 51))).replace(" ", ""))]
+    parts = [r for r in K.claim_pivot(claims, users, max_ids=10).collect() if r.identifier == "o7"]
+    lists = [[int(x) for x in r.occurrence_ids.strip("[]").split(",")] for r in parts]
+    assert 3 <= len(lists) <= 5 and all(x == sorted(x) for x in lists) and sorted(sum(lists, [])) == list(range(1, 51))
