@@ -101,6 +101,8 @@ def _fold_tables() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _fold_tables()
+# Capitals of the same letters; a few have none of one character.
+_CAPITALS = [(a.upper(), b.upper()) for a, b in zip(FOLD_FROM, FOLD_TO) if len(a.upper()) == 1]
 
 # Name tokeniser and the initials filter of the search index.
 NAME_SPLIT = r"\.|,| "
@@ -502,9 +504,9 @@ def split_pipe(col: str | Column) -> Column:
 
 
 def transliterate(col: str | Column) -> Column:
-    """Accent folding by a fixed character table (lower-case letters)."""
+    """Accent folding by a fixed character table, case kept."""
     c = F.translate(_c(col), FOLD_FROM, FOLD_TO)
-    return F.translate(c, FOLD_FROM.upper(), FOLD_TO.upper())
+    return F.translate(c, "".join(a for a, _ in _CAPITALS), "".join(b for _, b in _CAPITALS))
 
 
 def fold_name(col: str | Column) -> Column:
