@@ -7,18 +7,20 @@ weighing 1 / size of its group of verified near copies of one label, and entries
 that stand significantly more in toxic documents become voters, beside a seed list.
 
 A generative label model estimates from the votes how often each voter fires on
-toxic and on clean documents (expectation maximisation, labelled rows anchor the
-classes), and the correlations that remain between voters given the class: a
-voter's evidence is divided by its effective number of correlated twins, so ten
-beginnings of one word do not count ten times. Its posterior labels train a
-linear classifier on all of the lexicon's words and word beginnings and on the
-patterns, which scores every document; neutral words are no features, so long
-texts gather no noise.
+toxic and on clean documents (expectation maximisation over documents with and
+without labels; labelled rows anchor the classes), and the correlations that remain
+between voters given the class: a voter's evidence is divided by its effective
+number of correlated twins, so ten beginnings of one word do not count ten times.
+Its posterior labels, of both kinds of documents, train a linear classifier on all
+of the lexicon's words and word beginnings and on the patterns, which scores every
+document; neutral words are no features, so long texts gather no noise.
 
 The label model and the classifier are fitted on the driver on a bounded sample
-(``FIT_ROWS`` rows, taken by hash); counts cover all labelled learning rows, and
-an entry that the sample misses takes its weight from them. The lexicon has no
-bound but the vocabulary of toxic texts; driver and tasks hold it as one dict.
+(about ``FIT_ROWS`` labelled rows, and the unlabelled of as many documents, taken by hash); counts cover all
+labelled learning rows. The classifier starts from the label model's own odds; an
+entry that no sampled row holds keeps the odds counted over all labelled rows. The
+lexicon has no bound but the vocabulary of toxic texts; driver and tasks hold it as
+one dict.
 """
 
 from __future__ import annotations
@@ -35,15 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herbaria.llm.common import RollingHash, cut, mix64, norm_words, shingle_hashes, small_batches, with_row_key
+from herbaria.llm.common import Forest, RollingHash, cut, mix64, norm_words, pairs_of_runs, shingle_hashes, small_batches, whole_runs, with_row_key
 from herbaria.llm.components import connected_components
 
-#: Bounds, documented parameters: rows of the fitting sample, projections of the voters' correlations.
-FIT_ROWS, SKETCH = 12_000, 256
+#: Bound, a documented parameter: rows of the fitting sample.
+FIT_ROWS = 12_000
+#: Pairs of votes that are counted at a time.
+PAIRS = 4_000_000
 #: An entry is mined if more than this share of its documents is toxic, at this many standard errors.
 MIN_SHARE, SURE = 0.5, 1.96
 #: Rows of one label are near copies from this five-word Jaccard on; candidates share two smallest hashes in one of the bands.
 COPY_SIMILARITY, COPY_BANDS = 0.8, 8
+#: Texts of one band that are compared in one group; larger bands are compared block by block.
+COPY_BLOCK = 128
 PREFIXES = (4, 5, 6)
 CUT = 0.3
 
@@ -75,19 +81,15 @@ def word_entries(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def word_shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the five-word runs of a text."""
-    return np.unique(shingle_hashes(_HASH, *norm_words(text), 5))
-
-
 def copy_weights(rows: DataFrame) -> DataFrame:
     """Append weight to rows (row_key, text, toxic): 1 / size of the row's group of near copies; no row is dropped.
 
-    Copies carry the same label and are linked if their five-word Jaccard is
-    ``COPY_SIMILARITY``, verified on the texts. A link that is not found leaves a
-    weight too large. Texts without words are no copies of each other.
+    Copies carry the same label and are linked if the five-word Jaccard of their
+    shingles is ``COPY_SIMILARITY``. Texts that share a band are compared with one
+    another, those of a large band block by block; two that a band has already
+    linked, directly or through others, are not. Texts without words are no copies of each other.
     """
-    small_batches(rows.sparkSession)  # a verified pair holds two texts
+    small_batches(rows.sparkSession)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -100,34 +102,63 @@ def copy_weights(rows: DataFrame) -> DataFrame:
                 out.append((mix64(least[::2] ^ (least[1::2] >> np.uint64(1))) >> np.uint64(1)).tolist())
             yield pd.DataFrame({"row_key": pdf["row_key"], "toxic": pdf["toxic"], "whole": whole, "keys": out})
 
-    @F.pandas_udf(T.BooleanType())
-    def copies(left: pd.Series, right: pd.Series) -> pd.Series:
-        def alike(a: str, b: str) -> bool:
-            x, y = word_shingles(a), word_shingles(b)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return both >= COPY_SIMILARITY * (len(x) + len(y) - both)
-        return pd.Series([alike(a, b) for a, b in zip(left.tolist(), right.tolist())], dtype=bool)
-
     label = (F.col("toxic") == 1).alias("toxic")
     marked = cut(rows.select("row_key", label, "text").mapInPandas(
         keys, "row_key long, toxic boolean, whole binary, keys array<long>"), "copy_keys")
     # Equal texts collapse first, so a text that is repeated often meets its near copies once.
     heads = cut(marked.filter(F.size("keys") > 0).groupBy("toxic", "whole")
                 .agg(F.min("row_key").alias("node"), F.first("keys").alias("keys"), F.count("*").alias("n")), "copy_heads")
-    each = heads.select("node", "toxic", F.posexplode("keys").alias("band", "copy_key"))
-    first = each.groupBy("toxic", "band", "copy_key").agg(F.min("node").alias("other"))
-    pairs = each.join(first, ["toxic", "band", "copy_key"]).filter("node <> other").select("node", "other").distinct()
-    text = rows.select("row_key", "text")
-    links = cut(pairs.join(text.toDF("node", "left"), "node").join(text.toDF("other", "right"), "other")
-                .filter(copies("left", "right")).select("node", "other"), "copy_links")
+    links = cut(_copy_links(heads, rows.select(F.col("row_key").alias("node"), "text")), "copy_links")
     found = connected_components(links, "node", "other")
     grouped = heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     size = grouped.groupBy("component").agg(F.sum("n").alias("size"))
     weights = grouped.join(size, "component").select("toxic", "whole", (1 / F.col("size")).alias("weight"))
-    weights = marked.join(weights, ["toxic", "whole"], "left").select("row_key", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    weights = marked.select("row_key", "toxic", "whole").join(weights, ["toxic", "whole"], "left").select(
+        "row_key", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     return rows.join(weights, "row_key")
 
 
+def _copy_links(heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (node, other) of ``heads`` (toxic, node, keys) that share a band; ``texts`` (node, text)."""
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(_HASH, *norm_words(t), 5)).tobytes() for t in pdf["text"].tolist()]
+            yield pd.DataFrame({"node": pdf["node"], "shingles": sets})
+
+    each = heads.select("node", F.posexplode("keys").alias("band", "key"), "toxic")
+    group = ["toxic", "band", "key"]
+    sizes = each.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1").select(
+        *group, F.ceil(F.col("n") / COPY_BLOCK).cast("int").alias("blocks"))
+    met = cut(each.join(sizes, group), "copy_bands")
+    shingles = texts.join(met.select("node").distinct().hint("shuffle_hash"), "node").mapInPandas(shingled, "node long, shingles binary")
+    dealt = (met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(*group, "node", "mine", F.least("mine", "to").alias("i"), F.greatest("mine", "to").alias("j"))
+             .withColumn("g", F.xxhash64(*group, "i", "j")).join(shingles, "node"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df, ends in whole_runs(batches, ["g"]):
+            sets = [np.frombuffer(s, np.uint64) for s in df["shingles"].tolist()]
+            across, mine, node = (df["i"] != df["j"]).to_numpy(), df["mine"].to_numpy(), df["node"].to_numpy()
+            forest, out = Forest(len(df)), []
+            for x, y in pairs_of_runs(ends):
+                for p, q in zip(x.tolist(), y.tolist()):
+                    if across[p] and mine[p] == mine[q] or forest.root(p) == forest.root(q):
+                        continue
+                    a, b = sets[p], sets[q]
+                    if min(len(a), len(b)) < COPY_SIMILARITY * max(len(a), len(b)):
+                        continue
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= COPY_SIMILARITY * (len(a) + len(b) - both):
+                        forest.join(p, q)
+                        out.append((node[p], node[q]))
+            ab = np.array(out, np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"node": ab[:, 0], "other": ab[:, 1]})
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(compare, "node long, other long")
+
+
 def count_entries(labelled: DataFrame) -> DataFrame:
     """Weight of documents per entry and class, over all labelled rows (text, toxic, weight): (entry, toxic_docs, clean_docs)."""
 
@@ -170,6 +201,29 @@ class Votes:
         """Sum of a value of the rows over the votes of each voter."""
         return np.bincount(self.cols, x[self.owner], self.voters)
 
+    def together(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of voters (i, j), in both orders and with themselves, and the rows on which both vote.
+
+        Voters are taken a few at a time, so that only their pairs are held.
+        """
+        order = np.argsort(self.owner, kind="stable")
+        cols = self.cols[order]
+        size = np.bincount(self.owner, minlength=len(self.toxic))
+        begin = np.cumsum(size) - size
+        by_col = np.argsort(cols, kind="stable")
+        row = self.owner[order][by_col]
+        votes_on = size[row]  # for each vote, the votes of its row
+        work = np.cumsum(votes_on)
+        lo = 0
+        while lo < len(row):
+            last = cols[by_col[min(len(row) - 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + PAIRS)))]]
+            hi = max(int(np.searchsorted(cols[by_col], last, "right")), lo + 1)
+            n, first = votes_on[lo:hi], begin[row[lo:hi]]
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pair, both = np.unique(np.repeat(cols[by_col[lo:hi]], n) * self.voters + cols[at], return_counts=True)
+            yield pair // self.voters, pair % self.voters, both.astype(float)
+            lo = hi
+
     def by_row(self, x: np.ndarray) -> np.ndarray:
         """Sum of a value of the voters over the votes on each row."""
         return np.bincount(self.owner, x[self.cols], len(self.toxic))
@@ -221,24 +275,26 @@ class LabelModel:
     def _correlations(self, v: Votes, q: np.ndarray) -> np.ndarray:
         """Effective number of twins: sum of squared correlations that remain given the class.
 
-        Over ``SKETCH`` voters the sum is estimated by as many random projections, so
-        memory follows the number of voters and not its square.
+        The covariance of two voters is the number of rows on which both vote, less
+        what the classes explain; the latter is linear in four numbers of each voter.
+        So the sums are exact at any number of voters, from the pairs that do vote
+        together and four by four sums, without a matrix of all pairs.
         """
         a, b, r = self.on_toxic, self.on_clean, 1 - q
-        square = (a * a * (q @ q) + 2 * a * b * (q @ r) + b * b * (r @ r)
-                  - 2 * (a * v.by_voter(q) + b * v.by_voter(r)) + v.by_voter(np.ones(len(q))))
+        on_q, on_r, n = v.by_voter(q), v.by_voter(r), v.by_voter(np.ones(len(q)))
+        square = a * a * (q @ q) + 2 * a * b * (q @ r) + b * b * (r @ r) - 2 * (a * on_q + b * on_r) + n
         scale = np.sqrt(np.maximum(square, 1e-9))
-        rng = np.random.default_rng(0)
-        total = np.zeros(v.voters)
-        for k in range(min(v.voters, SKETCH)):
-            if v.voters <= SKETCH:
-                g = np.zeros(v.voters)
-                g[k] = 1 / scale[k]
-            else:
-                g = rng.choice((-1.0, 1.0), v.voters) / np.sqrt(SKETCH) / scale
-            y = v.by_row(g) - q * (a @ g) - r * (b @ g)
-            total += ((v.by_voter(y) - a * (q @ y) - b * (r @ y)) / scale) ** 2
-        return np.maximum(1.0, total)
+        own = np.stack((a, b, on_q, on_r))  # explained(i, j) = part[:, i] @ own[:, j]
+        part = np.stack((a * (q @ q) + b * (q @ r) - on_q, a * (q @ r) + b * (r @ r) - on_r, -a, -b))
+        total = np.einsum("ki,kl,li->i", part, (own / scale**2) @ own.T, part)
+        for i, j, both in v.together():
+            explained = np.einsum("kn,kn->n", part[:, i], own[:, j])
+            total += np.bincount(i, (both * both + 2 * both * explained) / scale[j] ** 2, v.voters)
+        return np.maximum(1.0, total / scale**2)
+
+    def odds(self) -> np.ndarray:
+        """Evidence of each voter's vote: its log odds of toxic, shared with its twins."""
+        return np.log(self.on_toxic / self.on_clean) / self.twins
 
 
 def fit_linear(rows: list[list[int]], target: np.ndarray, start: np.ndarray, rounds: int = 400, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
@@ -273,7 +329,7 @@ class ToxicityModel:
 
         def score(text: str | None) -> float:
             words = set(_WORD.findall((text or "").lower()))
-            if len(known) > 500_000:
+            if len(known) > 250_000:
                 known.clear()
             seen, z = set(), self.bias
             for w in words:
@@ -292,8 +348,8 @@ class ToxicityModel:
         return score
 
 
-def train(labelled: DataFrame) -> ToxicityModel:
-    """Mine voters over all of ``labelled`` (key, text, toxic), fit on a bounded sample of it.
+def train(labelled: DataFrame, others: DataFrame | None = None) -> ToxicityModel:
+    """Mine voters over all of ``labelled`` (key, text, toxic), fit on a bounded sample of it and on ``others`` (text), a sample without labels.
 
     Without any labelled row, or with one class only, the seed list alone is used.
     """
@@ -310,18 +366,16 @@ def train(labelled: DataFrame) -> ToxicityModel:
     z2 = SURE * SURE
     least = (share + z2 / (2 * docs) - SURE * F.sqrt(share * (1 - share) / docs + z2 / (4 * docs * docs))) / (1 + z2 / docs)
     mined = count_entries(rows).filter(least >= MIN_SHARE).collect()  # follows the vocabulary of toxic texts
-    odds = {r["entry"]: (r["toxic_docs"] + 0.5) / (r["clean_docs"] + 0.5) * (1 - base) / base for r in mined}
-    lexicon = list(dict.fromkeys([*SEEDS, *sorted(odds)]))
+    counted = {r["entry"]: np.log((r["toxic_docs"] + 0.5) / (r["clean_docs"] + 0.5) * (1 - base) / base) for r in mined}
+    lexicon = list(dict.fromkeys([*SEEDS, *sorted(counted)]))
     at = {e: i for i, e in enumerate(lexicon)}
-    # Entries that the sample misses keep the evidence of all rows, shared with the other entries of the word.
-    start = np.array([np.log(odds.get(e, 1.0)) / len(word_entries(e.replace("*", "."))) for e in lexicon] + [0.0] * len(_PATTERNS))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def fire(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([fired(t, at) for t in s.tolist()])
 
-    # About FIT_ROWS / 2 rows of each class by hash; the driver gets the numbers of fired voters only.
+    # About FIT_ROWS / 2 rows of each class and FIT_ROWS others by hash; the driver gets the numbers of fired voters only.
     turn = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20))
     part = F.when(F.col("toxic") == 1, F.lit(FIT_ROWS / 2 / totals[True])).otherwise(F.lit(FIT_ROWS / 2 / totals[False]))
     sample = rows.filter(turn < part * (1 << 20)).select(fire("text").alias("hits"), "toxic").limit(2 * FIT_ROWS).collect()
@@ -329,12 +383,23 @@ def train(labelled: DataFrame) -> ToxicityModel:
     if not 0 < known.sum() < len(known):
         return ToxicityModel({e: 4.0 for e in SEEDS}, -3.0, lexicon, base)
     hits = [r["hits"] for r in sample]
+    if others is not None:
+        free = others.select(fire("text").alias("hits")).limit(2 * FIT_ROWS).collect()
+        hits += [r["hits"] for r in free]
+        known = np.append(known, np.full(len(free), np.nan))
     v = votes(hits, len(lexicon))
-    target = LabelModel().fit(v, known).posterior(v)
+    model = LabelModel().fit(v, known)
+    target = model.posterior(v)
+    # Weights start from the evidence of the votes. An entry that no sampled row holds has none; it keeps what all
+    # labelled rows tell of it, shared with the other entries of the word.
+    names = [*lexicon, *(f"<{k}>" for k in _PATTERNS)]
+    seen = np.bincount(v.cols, minlength=v.voters)[: len(names)] > 0
+    rest = np.array([counted.get(e, 0.0) / len(word_entries(e.replace("*", "."))) for e in names])
+    start = np.where(seen, model.odds()[: len(names)], rest)
     w, b = fit_linear(hits, target, start)
     # The sample holds the classes in other shares than the learning rows.
-    b += float(np.log(base / (1 - base)) - np.log(known.mean() / (1 - known.mean())))
-    names = [*lexicon, *(f"<{k}>" for k in _PATTERNS)]
+    mean = target.mean()
+    b += float(np.log(base / (1 - base)) - np.log(mean / (1 - mean)))
     return ToxicityModel({e: float(x) for e, x in zip(names, w) if x}, b, lexicon, base)
 
 
@@ -371,4 +436,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     # Hashed on both sides at every size: the labels grow with the corpus.
     learn = docs.select("doc_id", "text").join(usable.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
-    return score_texts(docs.withColumn("held_out", held_out(F.col("doc_id"))), train(learn))
+    labelled = labels.filter("doc_id is not null").select("doc_id").distinct()
+    # about FIT_ROWS of all documents by hash, those without a label among them; sampled before any shuffle
+    share = min(1.0, FIT_ROWS / max(1, docs.count()))
+    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("others")), F.lit(1 << 20)) < share * (1 << 20))
+    others = some.join(labelled.hint("shuffle_hash"), "doc_id", "left_anti").select("text")
+    return score_texts(docs.withColumn("held_out", held_out(F.col("doc_id"))), train(learn, others))

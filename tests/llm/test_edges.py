@@ -141,15 +141,22 @@ def test_toxicity_keeps_every_mined_entry(spark):
     assert shout("so!!!") > 0.5 > shout("so")
 
 
-def test_sketched_correlations_are_near_the_exact_ones(monkeypatch):
+def test_correlations_are_those_of_the_full_matrix(monkeypatch):
     rng = np.random.default_rng(3)
     y = rng.random(3000) < 0.3
     one = np.where(y, rng.random(3000) < 0.6, rng.random(3000) < 0.1)
-    v = np.stack([one] * 6 + [rng.random(3000) < 0.2 for _ in range(60)], axis=1).astype(np.int8)
-    exact = toxicity.LabelModel().fit(v, y.astype(float)).twins
-    monkeypatch.setattr(toxicity, "SKETCH", 64)
-    sketched = toxicity.LabelModel().fit(v, y.astype(float)).twins
-    assert np.abs(exact[:6] - 6).max() < 1 and np.abs(sketched / exact - 1).max() < 0.8 and abs(np.mean(sketched / exact) - 1) < 0.2
+    v = np.stack([one] * 6 + [rng.random(3000) < 0.2 for _ in range(60)] + [np.zeros(3000, bool)], axis=1).astype(np.int8)
+    model = toxicity.LabelModel()
+    model.on_toxic, model.on_clean = rng.random(67) * 0.5 + 0.1, rng.random(67) * 0.3 + 0.1
+    q = rng.random(3000)
+    rest = v - np.outer(q, model.on_toxic) - np.outer(1 - q, model.on_clean)
+    cov = rest.T @ rest
+    want = np.maximum(1, (cov**2 / np.diag(cov) / np.diag(cov)[:, None]).sum(axis=1))
+    for pairs in (4_000_000, 50):
+        monkeypatch.setattr(toxicity, "PAIRS", pairs)
+        assert np.allclose(model._correlations(toxicity.Votes.of(v), q), want)
+    twins = toxicity.LabelModel().fit(v, y.astype(float)).twins
+    assert np.abs(twins[:6] - 6).max() < 1
 
 
 def test_label_model_discounts_twins():
@@ -281,7 +288,7 @@ def test_pii(spark, odd, none):
     texts = [(1, "mail Bob.Smith@mail.example.com or bob.smith@mail.example.com, call +1 (456) 555-2186 or 456-555-2186."),
              (2, "card 4041894974608795 and 4041 8949 7460 8795 from 42.144.35.254. SSN 123-45-6789"),
              (3, "Mrs. Anna Jones met Mr Jones and Frau JONES; г-жа Иванова."), (4, "no entity, version 1.2 costs 30"), (5, None), (6, "")]
-    got = {r.doc_id: r for r in pii.replace_pii(cut(docs_frame(spark, texts).withColumn("n_entities", F.lit(0)), "in")).collect()}
+    got = {r.doc_id: r for r in pii.replace_pii(cut(docs_frame(spark, texts).withColumn("n_entities", F.lit(0)), "in"), "k").collect()}
     one = got[1].text
     mails = [w for w in one.replace(",", "").split() if "@" in w]
     assert mails[0].lower() == mails[1].lower() and mails[0][0].isupper() and "smith" not in one.lower()
@@ -294,7 +301,7 @@ def test_pii(spark, odd, none):
     family = three.split(" met ")[0].split()[-1]
     assert three.startswith("Mrs. ") and f"Mr {family} and Frau {family.upper()};" in three and three.split()[1].endswith("a") and "Иванова" not in three
     assert got[4].text == texts[3][1] and got[5].text is None and got[6].text == "" and got[4].n_entities == 0
-    assert pii.replace_pii(none).count() == 0 and pii.replace_pii(odd).exceptAll(odd.withColumn("n_entities", F.lit(0).cast("long"))).count() == 0
+    assert pii.replace_pii(none, "k").count() == 0 and pii.replace_pii(odd, "k").exceptAll(odd.withColumn("n_entities", F.lit(0).cast("long"))).count() == 0
 
 
 def test_pii_collisions_are_keyed_again(spark, monkeypatch):
@@ -308,7 +315,7 @@ def test_pii_collisions_are_keyed_again(spark, monkeypatch):
 
 
 def test_pii_plan_is_native(spark, odd):
-    plan = pii.replace_pii(odd)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.replace_pii(odd, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
@@ -346,3 +353,26 @@ def test_densification_keeps_similarity():
     empty = np.full((2, 8), np.uint64(2**64 - 1))
     empty[1, 3] = 7
     assert (densify(empty)[1] == 7).all() and (densify(empty)[0] == empty[0]).all()
+
+
+def test_warc_references_resolve_for_any_reader(spark):
+    """A revisit names the record id of the response that holds its payload."""
+    from herbaria.llm.common import cut as cut_
+    body = "<p>" + "x" * 200 + "</p>"
+    rows = [(5, "u5", body), (3, "u3", body), (9, "u9", body), (7, "u7", "short"), (8, "u8", "short"), (None, "n", body), (3, "u3", body), (11, "u", None)]
+    pages = cut_(spark.createDataFrame(rows, "page_id long, url string, html string"), "pages")
+    folder = scratch(spark, "w")
+    warc.write_warc(pages, folder).collect()
+    fields, bodies = [], {}
+    for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).collect():
+        for record in warc.read_archive(f.content):
+            head, _, rest = record.partition(b"\r\n\r\n")
+            fields.append(dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:]))
+            bodies[fields[-1]["WARC-Record-ID"]] = (fields[-1], rest[:-4])
+    assert len(bodies) == len(rows)
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3
+    for f in revisits:
+        response, payload = bodies[f["WARC-Refers-To"]]
+        assert response["WARC-Type"] == "response" and response["X-Page-ID"] == "3" == f["X-Refers-To-Page"]
+        assert payload == body.encode() and response["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
