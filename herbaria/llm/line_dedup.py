@@ -14,14 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herbaria.llm.common import Forest, cut, drop_cut, mix64, pairs_of_runs, small_batches, whole_runs, with_row_key
+from herbaria.llm.common import Forest, cut, drop_cut, mix64, pairs_of_runs, small_batches, with_row_key
 from herbaria.llm.components import connected_components
 from herbaria.llm.minhash import EMPTY, one_permutation
 
@@ -30,6 +29,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
 BLOCK_ROWS = 256
 #: Rows of an Arrow batch of single lines.
 LINE_ROWS = 2000
+#: Rows of an Arrow batch of bucket numbers, and postings of one task that finds those that are shared.
+KEY_ROWS, PART_POSTINGS = 50_000, 4_000_000
 #: Bits of a line's shingle bitmap, and code points whose shingles are spread at once.
 BITMAP, CHUNK_CHARS = 2048, 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -39,22 +40,24 @@ SPACE = " \t\n\x0b\x0c\r"
 def line_shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-character shingles of every line, repeats included, and the line of each.
 
-    A line shorter than ``n`` characters has one shingle, the whole line.
+    Only the lower bytes of eight characters enter, read as one number: equal
+    shingles have equal hashes, and candidates are verified later. Longer shingles
+    take the hash of every eight characters in them. A line shorter than ``n``
+    characters has one shingle, the whole line.
     """
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    ends = np.cumsum(sizes)
-    h = _gram_hashes(chars, n)
-    whole = np.zeros(len(chars), bool)  # starts of shingles that do not cross a line's end
-    whole[:len(h)] = True
-    for k in range(1, n):
-        at = ends[sizes > 0] - k
-        whole[at[at >= 0]] = False
-    owner = np.repeat(np.arange(len(lines)), sizes)
-    at = np.flatnonzero(whole)
+    low = np.append(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint8)[::4], np.zeros(8, np.uint8))
+    eight = np.ndarray(len(low) - 8, np.uint64, low, 0, (1,))
+    counts = np.maximum(sizes - n + 1, 0)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    h = eight[at] if n >= 8 else eight[at] & np.uint64(256 ** n - 1)
+    for k in [*range(8, n - 8, 8), n - 8] if n > 8 else []:
+        h = mix64(h, 5) ^ eight[at + k]
     short = np.flatnonzero((sizes < n) & (sizes > 0))
     alone = np.array([hash_short(lines[i]) for i in short], np.uint64)
-    return mix64(np.concatenate((h[at], alone)), 17), np.concatenate((owner[at], short))
+    return mix64(np.concatenate((h, alone)), 17), np.concatenate((owner, short))
 
 
 def hash_short(line: str) -> int:
@@ -65,27 +68,6 @@ def hash_short(line: str) -> int:
     return h
 
 
-def _gram_hashes(chars: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes of all n-grams: hashes of lengths a and b join to one of length a + b."""
-    if len(chars) < n:
-        return np.empty(0, np.uint64)
-    done, length = None, 0
-    part, width = chars + np.uint64(1), 1
-    while True:
-        if n & width:
-            if done is None:
-                done, length = part, width
-            else:
-                room = len(chars) - length - width + 1
-                done = done[:room] * np.uint64(pow(int(_M), width, 2**64)) + part[length:length + room]
-                length += width
-        if length == n:
-            return done
-        room = len(part) - width
-        part = part[:room] * np.uint64(pow(int(_M), width, 2**64)) + part[width:]
-        width *= 2
-
-
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> np.ndarray:
     """Bucket of every band, shape (lines, bands)."""
     h, owner = line_shingles(lines, n)
@@ -197,6 +179,112 @@ def _short(key):
     return key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
+def _pack_postings(parts: int):
+    """Postings (key, cid) of a batch of classes, packed by the part of the key's hash: (part, sure, packed).
+
+    Millions of small rows would cost more than the work on them. A key that
+    stands twice in a batch is shared for sure: its classes are dealt evenly, with
+    sure true, and one of them stands for the key, so a key that a third of all classes
+    have sends one posting a batch to its part.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy()
+            cids = np.repeat(batch.column("cid").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(keys, kind="stable")
+            keys, cids = keys[order], cids[order]
+            again = np.append(False, keys[1:] == keys[:-1])
+            shared = again | np.append(again[1:], False)
+            head = ~again
+            # a posting that is sure already still stands for its key, marked by a negative class
+            yield _packed(keys[head], np.where(shared[head], -1 - cids[head], cids[head]), parts, False)
+            if shared.any():
+                yield _packed(keys[shared], cids[shared], parts, True)
+
+    return pack
+
+
+def _packed(keys: np.ndarray, cids: np.ndarray, parts: int, sure: bool) -> pa.RecordBatch:
+    by = cids if sure else keys
+    part = (mix64(by.view(np.uint64), 41) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    pairs = np.stack((keys[order], cids[order]), axis=1)
+    found = np.flatnonzero(np.diff(ends, prepend=0))
+    blobs = [pairs[(ends[p - 1] if p else 0): ends[p]].tobytes() for p in found]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([sure] * len(found)), pa.array(blobs, pa.binary())],
+                                      names=["part", "sure", "packed"])
+
+
+def _unpack_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, key) of postings whose key another posting has too; a task holds those of its parts that are not sure."""
+    held = []
+    for batch in batches:
+        sure = batch.column("sure").to_pylist()
+        for s, blob in zip(sure, batch.column("packed").to_pylist()):
+            if s:
+                pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["cid", "key"])
+            else:
+                held.append(blob)
+    pairs = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
+    keys, cids = pairs[:, 0], pairs[:, 1]
+    order = np.argsort(keys, kind="stable")
+    keys, cids = keys[order], cids[order]
+    same = keys[1:] == keys[:-1]
+    shared = (np.append(False, same) | np.append(same, False)) & (cids >= 0)
+    yield pa.RecordBatch.from_arrays([pa.array(cids[shared]), pa.array(keys[shared])], names=["cid", "key"])
+
+
+def _shared_postings(classes: DataFrame) -> DataFrame:
+    """(cid, key) of the buckets of ``classes`` (cid, keys) that hold two classes or more."""
+    spark = classes.sparkSession
+    small_batches(spark, KEY_ROWS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * BANDS // PART_POSTINGS))
+    packed = classes.select("cid", "keys").mapInArrow(_pack_postings(parts), "part int, sure boolean, packed binary")
+    found = cut(packed.repartition(parts, "part").mapInArrow(_unpack_shared, "cid long, key long"), "shared")
+    small_batches(spark)
+    return found
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Cut a stream sorted by ``keys`` into batches of whole groups, with the end of each row's group.
+
+    Holds one Arrow batch and the group that runs over its end; large groups were
+    split into blocks before.
+    """
+    def numbers(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+
+    def ready(batch: pa.RecordBatch, new: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        heads = np.append(np.flatnonzero(new), len(batch))
+        return batch, np.repeat(heads[1:], np.diff(heads))
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        ends = numbers(batch.take(pa.array([0, len(batch) - 1])))
+        if (ends[0] == ends[1]).all() and (len(held) == 1 or (numbers(held[0].slice(0, 1))[0] == ends[0]).all()):
+            continue  # still inside one group
+        whole = joined()
+        k = numbers(whole)
+        new = np.append(True, (k[1:] != k[:-1]).any(axis=1))
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield ready(whole.slice(0, last), new[:last])
+        held = [whole.slice(last)]
+    if held:
+        whole = joined()
+        k = numbers(whole)
+        yield ready(whole, np.append(True, (k[1:] != k[:-1]).any(axis=1)))
+
+
 def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """Verified links (a, b) among line classes (cid, row_key, pos, keys).
 
@@ -204,10 +292,9 @@ def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -
     already joined both or the bitmaps rule it out; every bucket's pairs are
     covered, block by block where a bucket is large.
     """
-    postings = classes.select("cid", F.explode("keys").alias("key"))
-    sizes = cut(postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(
-        "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "buckets")
-    met = cut(postings.join(sizes.hint("shuffle_hash"), "key"), "met")
+    shared = _shared_postings(classes)
+    sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    met = cut(shared.join(sizes.hint("shuffle_hash"), "key"), "met")
     needed = met.select("cid").distinct().hint("shuffle_hash").join(classes.select(
         "cid", "row_key", "pos", F.transform("keys", _short).alias("keys")), "cid")
     texts = cut(_wanted_lines(docs, needed), "texts")
@@ -217,31 +304,40 @@ def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -
              .select("cid", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
              .join(texts, "cid").repartition(*group).sortWithinPartitions(*group))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df, ends in whole_runs(batches, group):
-            keys, key = np.stack(df["keys"].to_numpy()), (df["key"].to_numpy() & 0x7FFFFFFF).astype(np.int32)
-            across, mine, cid = (df["i"] != df["j"]).to_numpy(), df["mine"].to_numpy(), df["cid"].to_numpy()
-            lines_ = df["line"].tolist()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ends in _runs(batches, group):
+            keys = batch.column("keys").flatten().to_numpy().reshape(len(batch), -1)
+            key = (batch.column("key").to_numpy() & 0x7FFFFFFF).astype(np.int32)
+            mine, cid = batch.column("mine").to_numpy(), batch.column("cid").to_numpy()
+            across = batch.column("i").to_numpy() != batch.column("j").to_numpy()
+            first_met = []
+            for x, y in pairs_of_runs(ends):
+                ok = ~across[x] | (mine[x] != mine[y])
+                x, y = x[ok], y[ok]
+                shared = keys[x] == keys[y]
+                first = key[x] == keys[x, shared.argmax(axis=1)]
+                if first.any():
+                    first_met.append((x[first], y[first]))
+            # most lines of a bucket have met in another one already: only the rest are looked at
+            needed = np.unique(np.concatenate([np.empty(0, np.int64), *[z for xy in first_met for z in xy]]))
+            at = np.zeros(len(batch), np.int64)
+            at[needed] = np.arange(len(needed))
+            lines_ = batch.column("line").take(pa.array(needed)).to_pylist()
             bits, counts = bitmaps(lines_, n)
             sets: dict[int, set[str]] = {}
-            forest, out = Forest(len(df)), []
+            forest, out = Forest(len(batch)), []
 
             def shingles(i: int) -> set[str]:
                 if i not in sets:
                     sets[i] = {lines_[i][k:k + n] for k in range(max(1, len(lines_[i]) - n + 1))}
                 return sets[i]
 
-            for x, y in pairs_of_runs(ends):
-                ok = ~across[x] | (mine[x] != mine[y])
-                x, y = x[ok], y[ok]
-                shared = keys[x] == keys[y]
-                first = key[x] == keys[x, shared.argmax(axis=1)]
-                x, y = x[first], y[first]
-                near = may_match(bits, counts, x, y, similarity)
+            for x, y in first_met:
+                near = may_match(bits, counts, at[x], at[y], similarity)
                 for p, q in zip(x[near].tolist(), y[near].tolist()):
                     if forest.root(p) == forest.root(q):
                         continue
-                    a, b = shingles(p), shingles(q)
+                    a, b = shingles(int(at[p])), shingles(int(at[q]))
                     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
                         continue
                     both = len(a & b)
@@ -249,9 +345,9 @@ def line_links(classes: DataFrame, docs: DataFrame, n: int, similarity: float) -
                         forest.join(p, q)
                         out.append((p, q))
             ab = np.array(out, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"a": cid[ab[:, 0]], "b": cid[ab[:, 1]]})
+            yield pa.RecordBatch.from_arrays([pa.array(cid[ab[:, 0]]), pa.array(cid[ab[:, 1]])], names=["a", "b"])
 
-    return dealt.mapInPandas(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def duplicate_lines(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE,
