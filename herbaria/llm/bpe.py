@@ -37,9 +37,9 @@ from herbaria.llm.common import ARROW_ROWS, small_batches
 #: Fixed value: the word pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = (1 << 31) - 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Pieces whose ids a worker keeps, and bytes of text encoded at a time; results do not depend on them.
-CACHE_PIECES, TEXT_BYTES = 1_000_000, 8 << 20
+CACHE_PIECES, TEXT_BYTES = 400_000, 4 << 20
 #: Fixed value: the white space of the word pattern.
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A scan costs the square of the length, so longer words take their minima from a heap; those
@@ -257,9 +257,9 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(encoder.bytes_of.get(i, b"") for i in range(len(self.byte_sizes))), np.uint8)
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, digests: bool = False) -> None:
         self.known, self.starts, self.sizes = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids, self.digits = np.empty(0, np.int32), []
+        self.ids, self.digits = np.empty(0, np.int32), [] if digests else None
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces, each after a blank, and append them to the table in their order."""
@@ -271,7 +271,8 @@ class Pieces:
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(packed), np.int32)))
-        self.digits += [",".join(map(str, memoryview(p).cast("i").tolist())).encode() for p in packed]
+        if self.digits is not None:
+            self.digits += [",".join(map(str, memoryview(p).cast("i").tolist())).encode() for p in packed]
 
     def _numbers(self, values: pa.Array) -> np.ndarray:
         """Number in the table of each piece."""
@@ -286,8 +287,8 @@ class Pieces:
 
     def encode(self, texts: pa.Array, digests: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts in a row, where each text's begin (one more: the end), and digests of the ids if asked for."""
-        if len(self.known) > CACHE_PIECES:
-            self.forget()
+        if len(self.known) > CACHE_PIECES or digests and self.digits is None:
+            self.forget(digests)
         texts = texts.fill_null("")
         whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
