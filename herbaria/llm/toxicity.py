@@ -42,8 +42,8 @@ from herbaria.llm.components import connected_components
 
 #: Bound, a documented parameter: rows of the fitting sample.
 FIT_ROWS = 12_000
-#: Pairs of votes that are counted at a time.
-PAIRS = 4_000_000
+#: Pairs of votes that are counted at a time, and words that a worker holds.
+PAIRS, COUNTED = 4_000_000, 100_000
 #: An entry is mined if more than this share of its documents is toxic, at this many standard errors.
 MIN_SHARE, SURE = 0.5, 1.96
 #: Rows of one label are near copies from this five-word Jaccard on; candidates share two smallest hashes in one of the bands.
@@ -169,10 +169,15 @@ def count_entries(labelled: DataFrame) -> DataFrame:
                 counts = tox if toxic else clean
                 for e in entries(text):
                     counts[e] += weight
-            keys = list(tox.keys() | clean.keys())
-            if keys:  # Arrow takes an empty column for numbers
-                yield pd.DataFrame({"entry": keys, "toxic_docs": [float(tox[k]) for k in keys],
-                                    "clean_docs": [float(clean[k]) for k in keys]})
+                if len(tox) + len(clean) > COUNTED:  # a worker's memory is bounded; Spark adds the parts
+                    yield totals(tox, clean)
+                    tox, clean = Counter(), Counter()
+            if tox or clean:  # Arrow takes an empty column for numbers
+                yield totals(tox, clean)
+
+    def totals(tox: Counter, clean: Counter) -> pd.DataFrame:
+        keys = list(tox.keys() | clean.keys())
+        return pd.DataFrame({"entry": keys, "toxic_docs": [float(tox[k]) for k in keys], "clean_docs": [float(clean[k]) for k in keys]})
 
     return (labelled.select("text", "toxic", "weight").mapInPandas(count, "entry string, toxic_docs double, clean_docs double")
             .groupBy("entry").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs")))
@@ -329,7 +334,7 @@ class ToxicityModel:
 
         def score(text: str | None) -> float:
             words = set(_WORD.findall((text or "").lower()))
-            if len(known) > 250_000:
+            if len(known) > COUNTED:
                 known.clear()
             seen, z = set(), self.bias
             for w in words:
