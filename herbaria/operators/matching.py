@@ -9,7 +9,7 @@ in ``operators.search``, specimens with a candidate (T4) in ``operators.candidat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,11 +17,14 @@ from herbaria.functions import predicates as P
 from herbaria.functions import scalars as S
 from herbaria.operators.paging import rank_within
 from herbaria.operators.pairs import join_in_blocks
+from herbaria.session import checkpoint_dir
 
 # Weights per variant kind (fixed values).
 VARIANT_WEIGHTS = {"fullname": 5, "label": 4, "abbreviation": 4, "family": 3, "other": 1}
 UNPARSED_WEIGHT = 5
 EXACT, INITIAL = 10.0, 5.0
+#: Agents of one name that travel in one row.
+PACK = 256
 
 
 def name_variants(users: DataFrame, max_other_names: int | None = None) -> DataFrame:
@@ -80,43 +83,82 @@ def _agent_keys(agents: DataFrame) -> DataFrame:
                          full.alias("agent_fullname"), "given", "family")
 
 
+def _person_profiles(variants: DataFrame) -> DataFrame:
+    """(user_id, profile, names): the match keys of all variants of a person; people with equal keys share a profile."""
+    keys = F.sort_array(F.collect_list(F.struct("fam", "ini", "folded", "ikey", "weight")))
+    return _variant_keys(variants).groupBy("user_id").agg(keys.alias("names")).withColumn("profile", _digest("names"))
+
+
+def _agent_profiles(agents: DataFrame) -> DataFrame:
+    """(agent_id, agent_profile, names): the match keys of an agent; agents of one name share a profile."""
+    keys = F.sort_array(F.collect_list(F.struct("fam", "ini", "folded", "ikey")))
+    return _agent_keys(agents).groupBy("agent_id").agg(keys.alias("names")).withColumn("agent_profile", _digest("names"))
+
+
+def _digest(names: str | Column) -> Column:
+    return F.unhex(F.md5(F.to_json(names)))
+
+
+def _names(profiles: DataFrame, key: str) -> DataFrame:
+    return profiles.select(key, "names").distinct().select(key, F.explode("names").alias("n")).select(key, "n.*")
+
+
+def _profile_scores(people: DataFrame, agents: DataFrame) -> DataFrame:
+    """(profile, agent_profile, score) for every pair of profiles with points."""
+    v, a = _names(people, "profile"), _names(agents, "agent_profile")
+    parsed = a.filter(F.col("fam") != "")
+    exact = join_in_blocks(v.filter(F.col("folded") != "").select("profile", "weight", "folded"),
+                           parsed.select("agent_profile", "folded"), "folded").select("profile", "agent_profile", (EXACT * F.col("weight")).alias("pts"))
+    initial = (join_in_blocks(v.filter(F.col("ini") != "").select("profile", "weight", "fam", "ini", "folded"),
+                              parsed.select("agent_profile", "fam", "ini", F.col("folded").alias("afold")), ["fam", "ini"])
+               .filter("folded <> afold").select("profile", "agent_profile", (INITIAL * F.col("weight")).alias("pts")))
+    unparsed = (join_in_blocks(v.filter(F.col("ikey") != "").select("profile", "ikey"),
+                               a.filter((F.col("fam") == "") & (F.col("ikey") != "")).select("agent_profile", "ikey"), "ikey")
+                .select("profile", "agent_profile", F.lit(INITIAL * UNPARSED_WEIGHT).alias("pts")))
+    return exact.unionByName(initial).unionByName(unparsed).groupBy("profile", "agent_profile").agg(F.sum("pts").alias("score"))
+
+
+def _pairs_of(scores: DataFrame, people: DataFrame, agents: DataFrame) -> DataFrame:
+    """(user_id, agent_id, score): the people and agents of scored profiles.
+
+    The agents of a profile travel in packs, so pairs are made in the last join and
+    shuffled no more; a profile of many people and packs is dealt to many tasks.
+    """
+    sizes = agents.groupBy("agent_profile").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("n"))
+    packs = (agents.join(sizes, "agent_profile").groupBy("agent_profile", F.pmod(F.xxhash64("agent_id"), F.col("n")).alias("part"))
+             .agg(F.collect_list(F.struct("agent_id")).alias("agents")))
+    theirs = scores.join(packs, "agent_profile").select("profile", "score", "agents")
+    met = join_in_blocks(people.select("profile", "user_id"), theirs, "profile")
+    return met.select("user_id", "score", F.explode("agents").alias("a")).select("user_id", "a.agent_id", "score")
+
+
 def match_agents(variants: DataFrame, agents: DataFrame) -> DataFrame:
     """(user_id, agent_id, score) for every person-agent pair with points.
 
     Per variant: the agent's folded full name is the variant's: 10 x weight; else
     the person's family name and the variant's first initial are the agent's: 5 x
     weight. An agent whose name was not parsed gets 25 for each variant with the
-    same initials key. Agents of a frequent name are dealt to many tasks.
+    same initials key. Equal names are scored once and give their score to all
+    their people and agents.
     """
-    v = _variant_keys(variants)
-    a = _agent_keys(agents)
-    parsed = a.filter(F.col("fam") != "")
-    exact = join_in_blocks(v.filter(F.col("folded") != "").select("user_id", "variant", "kind", "weight", "folded"),
-                           parsed.select("agent_id", "folded"), "folded").select("user_id", "agent_id", (EXACT * F.col("weight")).alias("pts"))
-    initial = (join_in_blocks(v.filter(F.col("ini") != "").select("user_id", "variant", "kind", "weight", "fam", "ini", "folded"),
-                              parsed.select("agent_id", "fam", "ini", F.col("folded").alias("afold")), ["fam", "ini"])
-               .filter("folded <> afold").select("user_id", "agent_id", (INITIAL * F.col("weight")).alias("pts")))
-    unparsed = (join_in_blocks(v.filter(F.col("ikey") != "").select("user_id", "variant", "kind", "ikey"),
-                               a.filter((F.col("fam") == "") & (F.col("ikey") != "")).select("agent_id", "ikey"), "ikey")
-                .select("user_id", "agent_id", F.lit(INITIAL * UNPARSED_WEIGHT).alias("pts")))
-    return exact.unionByName(initial).unionByName(unparsed).groupBy("user_id", "agent_id").agg(F.sum("pts").alias("score"))
+    checkpoint_dir(agents.sparkSession)
+    people, theirs = _person_profiles(variants).checkpoint(), _agent_profiles(agents).checkpoint()  # read several times below
+    return _pairs_of(_profile_scores(people, theirs), people, theirs)
 
 
-def known_names(variants: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, full_names, families, initials): folded names a person is known by, for T3.
+def known_names(users: DataFrame) -> DataFrame:
+    """(user_id, families, initials): folded names a person is known by, for T3.
 
     Other names of two words or more bring their last word as a family name and
     their first letter as an initial.
     """
-    full = (variants.groupBy("user_id").agg(F.collect_set(F.array_join(S.name_tokens("variant"), " ")).alias("full_names")))
     others = F.transform(F.coalesce(S.split_pipe("other_names"), F.array().cast("array<string>")), S.name_tokens)
     parsed = F.filter(others, lambda t: F.size(t) > 1)
     own = F.filter(F.array(S.fold_name("family")), lambda x: x.isNotNull())
     given = F.filter(F.array(F.substring(S.fold_name("given"), 1, 1)), lambda x: x.isNotNull() & (x != ""))
-    names = users.select(F.col("id").alias("user_id"),
-                         F.array_distinct(F.concat(own, F.transform(parsed, lambda t: F.element_at(t, -1)))).alias("families"),
-                         F.array_distinct(F.concat(given, F.transform(parsed, lambda t: F.substring(t[0], 1, 1)))).alias("initials"))
-    return full.join(names, "user_id")
+    return users.select(F.col("id").alias("user_id"),
+                        F.array_distinct(F.concat(own, F.transform(parsed, lambda t: F.element_at(t, -1)))).alias("families"),
+                        F.array_distinct(F.concat(given, F.transform(parsed, lambda t: F.substring(t[0], 1, 1)))).alias("initials"))
 
 
 def candidate_agents(users: DataFrame, agents: DataFrame, cutoff: float, relaxed: bool = False) -> DataFrame:
@@ -126,19 +168,27 @@ def candidate_agents(users: DataFrame, agents: DataFrame, cutoff: float, relaxed
     removed if one of the person's known initials is not the agent's, or if the
     agent's family name is not known; a score over twice ``cutoff`` saves it. Scores
     below ``cutoff`` are dropped. ``relaxed``: no rule but half of ``cutoff``.
+    Like the points, the rules look at names only and are applied once per name.
     """
-    variants = name_variants(users)
-    scores = match_agents(variants, agents)
+    checkpoint_dir(agents.sparkSession)
+    people, theirs = _person_profiles(name_variants(users)), _agent_profiles(agents).checkpoint()  # read several times below
     if relaxed:
-        return scores.filter(F.col("score") >= 0.5 * cutoff)
-    a = _agent_keys(agents).select("agent_id", F.col("folded").alias("afold"), "fam", "ini")
-    j = scores.join(a, "agent_id").join(known_names(variants, users), "user_id")
+        people = people.checkpoint()
+        return _pairs_of(_profile_scores(people, theirs).filter(F.col("score") >= 0.5 * cutoff), people, theirs)
+    known = known_names(users).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("families", "initials"))).alias("known"))
+    people = people.join(known, "user_id").withColumn("profile", _digest(F.struct("names", "known"))).checkpoint()
+    theirs = theirs.filter(F.col("agent_id").isNotNull())
+    a = _names(theirs, "agent_profile").select("agent_profile", F.col("folded").alias("afold"), "fam", "ini")
+    p = (people.select("profile", "names", "known").distinct()
+         .select("profile", F.col("names.folded").alias("full_names"), F.explode("known").alias("k")).select("profile", "full_names", "k.*"))
+    j = _profile_scores(people, theirs).join(a, "agent_profile").join(p, "profile")
     same = F.array_contains("full_names", F.col("afold"))
     dissimilar = (F.col("ini") != "") & F.exists("initials", lambda x: x != F.col("ini"))
     unknown = ~F.array_contains("families", F.col("fam"))
     score = F.when(same, F.col("score") + cutoff).otherwise(F.col("score"))
     kept = same | ~(F.coalesce(dissimilar, F.lit(False)) | unknown) | (score > 2 * cutoff)
-    return j.select("user_id", "agent_id", score.alias("score"), kept.alias("kept")).filter(F.col("kept") & (F.col("score") >= cutoff)).drop("kept")
+    judged = j.select("profile", "agent_profile", score.alias("score"), kept.alias("kept"))
+    return _pairs_of(judged.filter(F.col("kept") & (F.col("score") >= cutoff)).drop("kept"), people, theirs)
 
 
 def person_documents(users: DataFrame, claims: DataFrame, occurrences: DataFrame) -> DataFrame:
