@@ -17,6 +17,9 @@ from herbaria.functions import predicates as P
 from herbaria.operators.pairs import join_in_blocks
 from herbaria.session import checkpoint_dir
 
+#: People are asked in this many slices: one first, the rest together.
+SLICES = 16
+
 
 def _recorders(claims: DataFrame) -> DataFrame:
     return claims.filter(P.vis() & P.rec()).select("occurrence_id", "user_id").distinct()
@@ -51,13 +54,27 @@ def occurrence_has_candidate(counts: DataFrame, claims: DataFrame, occurrence_ag
     Kept are specimens whose claimed collectors' whole network has ``min_network``
     people, and where a recorder agent matches (``scores``: user_id, agent_id, score
     over ``min_score``) a member of that network who is not one of the collectors.
+    Most such specimens are found among a slice of the people, so one ``SLICES``-th of
+    them is asked first; the others are asked only for specimens not found yet.
     """
     checkpoint_dir(claims.sparkSession)
     counts, recorders = counts.checkpoint(), _recorders(claims).checkpoint()  # read several times below
-    collectors = recorders.join(counts.select("occurrence_id"), "occurrence_id", "left_semi")
     agents = occurrence_agents.filter("agent_role").select("occurrence_id", "agent_id").distinct()
-    good = scores.filter(F.col("score") > min_score).select("agent_id", "user_id").distinct()
-    named = join_in_blocks(agents.join(counts.select("occurrence_id"), "occurrence_id", "left_semi"), good, "agent_id")
+    good = scores.filter(F.col("score") > min_score).select("agent_id", "user_id")
+    first = F.pmod(F.xxhash64("user_id"), F.lit(SLICES)) == 0
+    asked = counts.select("occurrence_id").distinct()
+    found = _hits(asked, recorders, agents, good.filter(first)).checkpoint()
+    left = asked.join(found, "occurrence_id", "left_anti").checkpoint()
+    hit = found.unionByName(_hits(left, recorders, agents, good.filter(~first)))
+    return (counts.join(networked(counts, recorders, min_network), "occurrence_id", "left_semi")
+            .join(hit, "occurrence_id", "left_semi"))
+
+
+def _hits(asked: DataFrame, recorders: DataFrame, agents: DataFrame, good: DataFrame) -> DataFrame:
+    """(occurrence_id) of ``asked`` with an agent that is matched (``good``) with a co-collector of one of its
+    collectors who is not a collector of it."""
+    collectors = recorders.join(asked, "occurrence_id", "left_semi")
+    named = join_in_blocks(agents.join(asked, "occurrence_id", "left_semi"), good, "agent_id")
     named = named.select("occurrence_id", "user_id").distinct().join(collectors, ["occurrence_id", "user_id"], "left_anti")
     asked = join_in_blocks(named.checkpoint(), collectors.withColumnRenamed("user_id", "collector"), "occurrence_id").checkpoint()
     pairs = asked.select("collector", "user_id").distinct()
@@ -65,9 +82,7 @@ def occurrence_has_candidate(counts: DataFrame, claims: DataFrame, occurrence_ag
     theirs = recorders.join(pairs.select("user_id").distinct(), "user_id", "left_semi")
     met = (join_in_blocks(ours, theirs, "occurrence_id").select("collector", "user_id").distinct()
            .join(pairs, ["collector", "user_id"], "left_semi"))
-    hit = asked.join(met, ["collector", "user_id"], "left_semi").select("occurrence_id").distinct()
-    return (counts.join(networked(counts, recorders, min_network), "occurrence_id", "left_semi")
-            .join(hit, "occurrence_id", "left_semi"))
+    return asked.join(met, ["collector", "user_id"], "left_semi").select("occurrence_id").distinct()
 
 
 def open_items(counts: DataFrame, claims: DataFrame, seed: int) -> DataFrame:
