@@ -4,7 +4,9 @@ Every article has tab-separated files, named by download key. Their headers diff
 the id column is ``gbifID`` or ``gbifid``, and columns stand in any order. All files are
 read as lines with the file each came from; the header lines, one per file, say where
 the columns of their file are, and are joined back by file. So thousands of files are
-one job, and a huge file is read in splits by many tasks.
+one job, and a huge file is read in splits by many tasks. Small downloads may come in
+bundles, files of many downloads whose lines each begin with the key of theirs; a
+header then holds for the lines of its file and key.
 """
 
 from __future__ import annotations
@@ -21,24 +23,31 @@ def _is_header(names: Column) -> Column:
     return F.array_contains(F.transform(names, F.lower), ID_COLUMN)
 
 
-def scan_downloads(spark: SparkSession, path: str, key_pattern: str = r"([^/]+)\.tsv[^/]*$", glob: str = "*.tsv*") -> DataFrame:
+def scan_downloads(spark: SparkSession, path: str, key_pattern: str = r"([^/]+)\.tsv[^/]*$", glob: str = "*.tsv*",
+                   bundled: bool = False) -> DataFrame:
     """(key, occurrence_id), distinct, from all files below ``path`` that match ``glob``.
 
-    ``key_pattern`` finds the download key in a file's path. Human observations, rows
+    ``key_pattern`` finds the download key in a file's path; in ``bundled`` files the key is
+    the first cell of each line instead. Human observations, rows
     without a numeric id and files without an id column are left out; a file without
     a basis column keeps all its rows.
     """
     lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob).text(path)
     cells = lines.select(F.split("value", "\t").alias("cells"), F.col("_metadata.file_path").alias("file"))
+    if bundled:
+        rest = F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))
+        cells = cells.select(rest.alias("cells"), "file", F.col("cells")[0].alias("key"))
+    else:
+        cells = cells.withColumn("key", F.regexp_extract("file", key_pattern, 1))
     header = _is_header(F.col("cells"))
     names = F.transform("cells", F.lower)
-    headers = (cells.filter(header).groupBy("file").agg(F.max(F.array_position(names, ID_COLUMN)).alias("id_at"),
-                                                        F.max(F.array_position(names, BASIS_COLUMN)).alias("basis_at")))
-    rows = cells.filter(~header).join(headers, "file")
+    headers = (cells.filter(header).groupBy("file", "key").agg(F.max(F.array_position(names, ID_COLUMN)).alias("id_at"),
+                                                               F.max(F.array_position(names, BASIS_COLUMN)).alias("basis_at")))
+    rows = cells.filter(~header).join(headers, ["file", "key"])
     at = lambda c: F.get("cells", (F.col(c) - 1).cast("int"))
     basis = F.when(F.col("basis_at") > 0, at("basis_at"))
     return (rows.filter(F.coalesce(basis != DROPPED_BASIS, F.lit(True)))
-            .select(F.regexp_extract("file", key_pattern, 1).alias("key"), at("id_at").try_cast("bigint").alias("occurrence_id"))
+            .select("key", at("id_at").try_cast("bigint").alias("occurrence_id"))
             .filter("occurrence_id is not null").distinct())
 
 
@@ -61,14 +70,16 @@ def process_articles(articles: DataFrame, rows: DataFrame, occurrences: DataFram
 
 
 def write_downloads(rows: DataFrame, path: str) -> None:
-    """Write download files as the source delivers them: a folder per key, two header variants.
+    """Write downloads in bundles (a file per download would be a file per few lines), two header variants.
 
-    ``rows`` holds key, gbifID and basisOfRecord; read back with ``scan_downloads(spark,
-    path, r"/key=([^/]+)/", "*.txt")``.
+    ``rows`` holds key (without tabs), gbifID and basisOfRecord; read back with
+    ``scan_downloads(spark, path, glob="*.txt", bundled=True)``. A download stands in one
+    bundle, its header first; there are as many bundles as write tasks.
     """
     odd = F.pmod(F.xxhash64("key"), F.lit(2)) == 1
     line = F.when(odd, F.concat_ws("\t", F.col("gbifID"), F.col("basisOfRecord"))).otherwise(F.concat_ws("\t", F.col("basisOfRecord"), F.col("gbifID")))
     head = F.when(odd, F.lit("gbifid\tbasisOfRecord")).otherwise(F.lit("basisOfRecord\tgbifID"))
     text = rows.select("key", F.lit(1).alias("o"), line.alias("value")).unionByName(
         rows.select("key").distinct().select("key", F.lit(0).alias("o"), head.alias("value")))
-    text.repartition("key").sortWithinPartitions("key", "o").select("key", "value").write.mode("overwrite").partitionBy("key").text(path)
+    value = F.concat(F.coalesce("key", F.lit("")), F.lit("\t"), "value").alias("value")
+    text.repartition("key").sortWithinPartitions("key", "o").select(value).write.mode("overwrite").text(path)
