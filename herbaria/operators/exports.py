@@ -93,7 +93,9 @@ def user_specimens(claims: DataFrame, occurrences: DataFrame, users: DataFrame)
                                       "created")
     k = users.select(F.col("id").alias("created_by"), S.user_names()["viewname"].alias("claimantName"),
                      S.person_uri().alias("claimantURI"))
-    return c.join(occurrences.select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS), "gbifID").join(k, "created_by", "left")
+    # the claimant first: specimen columns are wide, they come in the last join and move no more
+    return (c.join(k, "created_by", "left").join(occurrences.select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS), "gbifID")
+            .select("created_by", "gbifID", "user_id", "action", "created", *PACKAGE_OCCURRENCE_COLUMNS, "claimantName", "claimantURI"))
 
 
 def attributions_given(claims: DataFrame, occurrences: DataFrame, users: DataFrame) -> DataFrame:
