@@ -1,9 +1,9 @@
 """Data packages of all datasets (K17, job B8): tables, files, manifest, descriptors.
 
-Every package table is written once for all datasets, into one folder per dataset
-and part. A table of a dataset is dealt into parts of about ``rows_per_file`` rows
-by a hash, so a huge dataset becomes many files written by many tasks and a small
-one a single file. Sizes and checksums are computed by executors from the files
+Every package table is written once for all datasets, into one folder per dataset.
+Rows are dealt by dataset and Spark splits what is large, so a huge dataset becomes
+many files written by many tasks and a small one a single file; no table is computed
+twice to learn its size. Sizes and checksums are computed by executors from the files
 as they lie in the shared folder; what reaches one row is a dataset's list of files.
 """
 
@@ -44,17 +44,15 @@ def package_tables(occurrences: DataFrame, claims: DataFrame, users: DataFrame,
 
 
 def write_table(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """One CSV file per dataset and part; the part of a row follows from its hash.
+    """CSV files per dataset, none with more than ``rows_per_file`` rows.
 
-    All rows of a dataset and part meet in one task, which writes one file of them;
-    ``rows_per_file`` is met on average.
+    Rows of a dataset meet in one task unless they are many: adaptive execution splits
+    such a dataset by size over several tasks, each of which writes files of its own.
     """
-    files = df.groupBy("datasetKey").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
-    part = F.pmod(F.xxhash64(*df.columns), F.col("_files")).cast("int")
     cells = [c for c in df.columns if c != "datasetKey" or "gbifID" in df.columns]  # only occurrences repeat the key in their rows
-    cells = df.join(files, "datasetKey").select(*cells, F.col("datasetKey").alias("dataset"), part.alias("part"))
-    (cells.repartition("dataset", "part").write.mode("overwrite").partitionBy("dataset", "part")
-     .options(header=True, compression="gzip", escape='"', emptyValue="").csv(path))
+    rows = df.filter(F.col("datasetKey").isNotNull()).select(*cells, F.col("datasetKey").alias("dataset"))
+    (rows.hint("rebalance", "dataset").write.mode("overwrite").partitionBy("dataset")
+     .options(header=True, compression="gzip", escape='"', emptyValue="", maxRecordsPerFile=rows_per_file).csv(path))
 
 
 def _dataset_of(path: Column) -> Column:
