@@ -83,7 +83,8 @@ def article_specimens(claims: DataFrame, article_occurrences: DataFrame, article
     c = claims.filter(P.vis()).select("user_id", F.col("occurrence_id").alias("gbifID"))
     used = (article_occurrences.select("article_id", F.col("occurrence_id").alias("gbifID"))
             .join(articles.select(F.col("id").alias("article_id"), F.col("doi").alias("used_in_doi")), "article_id"))
-    return (c.join(occurrences.select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS), "gbifID").join(used.drop("article_id"), "gbifID")
+    # specimen columns are wide, they come in the last join and move with the specimen alone
+    return (c.join(used.drop("article_id"), "gbifID").join(occurrences.select("gbifID", *PACKAGE_OCCURRENCE_COLUMNS), "gbifID")
             .select("user_id", "used_in_doi", "gbifID", *PACKAGE_OCCURRENCE_COLUMNS))
 
 
