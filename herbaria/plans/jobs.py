@@ -26,21 +26,24 @@ def occurrence_refresh(raw: DataFrame, as_of=None, order: tuple[str, ...] = ("so
 def agent_build(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """B2: parsed names -> agents and (agent, role, occurrence) links.
 
-    U2 expands each job's JSON names (a job with none keeps one row and falls
-    back to its raw string), P8-P10 build the nine-part key, X3 keeps distinct
+    U2 expands the JSON names, once for all jobs with the same ones (a job with none
+    keeps one row and falls back to its raw string), P8-P10 build the nine-part key, X3 keeps distinct
     keys, the surrogate id is the SHA-256 of the key (no read-back from a
     database, and no two keys with one id), U3 explodes both id lists and X2 de-duplicates the links.
     """
     from herbaria.operators import enrich as U
-    names = U.expand_names(jobs)
+    names = U.expand_names(jobs.select("agents", "parsed").distinct())
     cols = [F.col("name")[f].alias(f) for f in S.NAME_FIELDS]
-    named = names.select("id", "agents", "gbifIDs_recordedBy", "gbifIDs_identifiedBy", *cols)
+    named = names.select("agents", "parsed", *cols)
     keyed = S.agent_key(named, raw="agents")
     key_id = F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in S.AGENT_KEY])), 256)
     keyed = keyed.withColumn("agent_id", key_id)
     agents = keyed.select("agent_id", *S.AGENT_KEY).distinct()
-    rec = U.expand_ids(keyed.select("agent_id", "gbifIDs_recordedBy"), "gbifIDs_recordedBy")
-    idn = U.expand_ids(keyed.select("agent_id", "gbifIDs_identifiedBy"), "gbifIDs_identifiedBy")
+    ids = keyed.select(F.col("agents").alias("_agents"), F.col("parsed").alias("_parsed"), "agent_id")
+    same = F.col("agents").eqNullSafe(F.col("_agents")) & F.col("parsed").eqNullSafe(F.col("_parsed"))
+    of = lambda lists: jobs.select("agents", "parsed", lists).join(ids, same).select("agent_id", lists)
+    rec = U.expand_ids(of("gbifIDs_recordedBy"), "gbifIDs_recordedBy")
+    idn = U.expand_ids(of("gbifIDs_identifiedBy"), "gbifIDs_identifiedBy")
     links = X.union_roles(rec.select("agent_id", "occurrence_id"), idn.select("agent_id", "occurrence_id"))
     return agents, links
 
