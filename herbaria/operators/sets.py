@@ -3,7 +3,7 @@
 De-duplication takes the ``min`` of a struct that starts with the declared
 order, not a window: the aggregate combines map-side, so a key with millions of
 copies is reduced before the shuffle. Spark plans it as two sort aggregates, so
-whole rows are sorted on both sides of the shuffle.
+whole rows are sorted on both sides of the shuffle; wide rows (X1) are dealt first.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from herbaria.functions import predicates as P
 
 
+#: Tasks that may share the copies of one gbifID.
+STRETCHES = 4
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keep one row per ``keys``: the smallest by ``order`` then by all other
     columns, so the result never depends on input order (X1, M1)."""
@@ -26,8 +30,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def dedupe_occurrences(raw: DataFrame, order: list[str]) -> DataFrame:
-    """One row per gbifID, chosen by a declared order."""
-    return first_per_key(raw, ["gbifID"], order)
+    """One row per gbifID, chosen by a declared order.
+
+    Rows are dealt by gbifID and stretch first, so a task sorts a share that shrinks
+    with the number of partitions, not a whole input split, which spills. A gbifID
+    with millions of copies is reduced by ``STRETCHES`` tasks before their rows meet.
+    """
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.pmod(F.xxhash64(*order), F.lit(STRETCHES))
+    return first_per_key(raw.repartition(parts, "gbifID", stretch), ["gbifID"], order)
 
 
 def union_roles(recorded: DataFrame, identified: DataFrame) -> DataFrame:
