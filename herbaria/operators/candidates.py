@@ -4,8 +4,7 @@ The reference looks at each counted specimen, fetches the co-collectors of its
 claimed collectors and asks the search index whether one of the specimen's agents
 is among them. The network of all claims is far larger than what is asked for, so
 here it is narrowed from both ends before it is built: to collectors of counted
-specimens on one side, to people whose name matches one of their agents on the
-other.
+specimens on one side, to people with the agents of one of them on the other.
 """
 
 from __future__ import annotations
@@ -15,10 +14,7 @@ from pyspark.sql import functions as F
 
 from herbaria.functions import predicates as P
 from herbaria.operators.pairs import join_in_blocks
-from herbaria.session import checkpoint_dir
-
-#: People are asked in this many slices: one first, the rest together.
-SLICES = 16
+from herbaria.operators.shared import kept, share
 
 
 def _recorders(claims: DataFrame) -> DataFrame:
@@ -54,35 +50,37 @@ def occurrence_has_candidate(counts: DataFrame, claims: DataFrame, occurrence_ag
     Kept are specimens whose claimed collectors' whole network has ``min_network``
     people, and where a recorder agent matches (``scores``: user_id, agent_id, score
     over ``min_score``) a member of that network who is not one of the collectors.
-    Most such specimens are found among a slice of the people, so one ``SLICES``-th of
-    them is asked first; the others are asked only for specimens not found yet.
+    People matched with the same agents share a list, so a specimen names the lists of
+    its agents, not their people, and meets the co-collectors of a collector by list.
+    Most such specimens are found through one of their collectors, which is asked
+    first; all collectors are asked only for specimens not found yet.
     """
-    checkpoint_dir(claims.sparkSession)
-    counts, recorders = counts.checkpoint(), _recorders(claims).checkpoint()  # read several times below
+    counts, recorders = kept(counts), kept(_recorders(claims))  # read several times below
     agents = occurrence_agents.filter("agent_role").select("occurrence_id", "agent_id").distinct()
-    good = scores.filter(F.col("score") > min_score).select("agent_id", "user_id")
-    first = F.pmod(F.xxhash64("user_id"), F.lit(SLICES)) == 0
+    good = scores.filter((F.col("score") > min_score) & F.col("user_id").isNotNull()).select("user_id", "agent_id")
+    people, lists = share(good)
     asked = counts.select("occurrence_id").distinct()
-    found = _hits(asked, recorders, agents, good.filter(first)).checkpoint()
-    left = asked.join(found, "occurrence_id", "left_anti").checkpoint()
-    hit = found.unionByName(_hits(left, recorders, agents, good.filter(~first)))
+    named = kept(join_in_blocks(agents.join(asked, "occurrence_id", "left_semi"), lists.distinct(), "agent_id").select("occurrence_id", "list").distinct())
+    members = kept(recorders.join(people, "user_id").select("occurrence_id", "user_id", "list"))
+    collectors = recorders.join(asked, "occurrence_id", "left_semi")
+    one = collectors.groupBy("occurrence_id").agg(F.min("user_id").alias("user_id"))
+    found = kept(_hits(named, one, recorders, members))
+    left = kept(named.join(found, "occurrence_id", "left_anti"))
+    hit = found.unionByName(_hits(left, collectors.join(left.select("occurrence_id").distinct(), "occurrence_id", "left_semi"), recorders, members))
     return (counts.join(networked(counts, recorders, min_network), "occurrence_id", "left_semi")
             .join(hit, "occurrence_id", "left_semi"))
 
 
-def _hits(asked: DataFrame, recorders: DataFrame, agents: DataFrame, good: DataFrame) -> DataFrame:
-    """(occurrence_id) of ``asked`` with an agent that is matched (``good``) with a co-collector of one of its
-    collectors who is not a collector of it."""
-    collectors = recorders.join(asked, "occurrence_id", "left_semi")
-    named = join_in_blocks(agents.join(asked, "occurrence_id", "left_semi"), good, "agent_id")
-    named = named.select("occurrence_id", "user_id").distinct().join(collectors, ["occurrence_id", "user_id"], "left_anti")
-    asked = join_in_blocks(named.checkpoint(), collectors.withColumnRenamed("user_id", "collector"), "occurrence_id").checkpoint()
-    pairs = asked.select("collector", "user_id").distinct()
+def _hits(named: DataFrame, collectors: DataFrame, recorders: DataFrame, members: DataFrame) -> DataFrame:
+    """(occurrence_id) of ``named`` with a person of one of its lists (``members``: the lists of recorders) who is a
+    co-collector of one of ``collectors`` and not a collector of it."""
+    asked = kept(join_in_blocks(named, collectors.withColumnRenamed("user_id", "collector"), "occurrence_id"))
+    pairs = asked.select("collector", "list").distinct()
     ours = recorders.withColumnRenamed("user_id", "collector").join(pairs.select("collector").distinct(), "collector", "left_semi")
-    theirs = recorders.join(pairs.select("user_id").distinct(), "user_id", "left_semi")
-    met = (join_in_blocks(ours, theirs, "occurrence_id").select("collector", "user_id").distinct()
-           .join(pairs, ["collector", "user_id"], "left_semi"))
-    return asked.join(met, ["collector", "user_id"], "left_semi").select("occurrence_id").distinct()
+    met = (join_in_blocks(ours, members, "occurrence_id").filter("user_id <> collector").select("collector", "list", "user_id")
+           .join(pairs, ["collector", "list"], "left_semi").distinct())
+    return (join_in_blocks(asked, met, ["collector", "list"]).select("occurrence_id", "user_id")
+            .join(recorders, ["occurrence_id", "user_id"], "left_anti").select("occurrence_id").distinct())
 
 
 def open_items(counts: DataFrame, claims: DataFrame, seed: int) -> DataFrame:
